@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .sharding import shard_documents
+from .simhash_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +17,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_sharding": op4_sharding,
+        "op7_simhash_dedup": op7_simhash_dedup,
     }
 
 
