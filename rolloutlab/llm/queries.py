@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash_dedup import near_duplicates
 
@@ -21,10 +22,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), sequence=1024, with_ids=False)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_sharding": op4_sharding,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op10_packing": op10_packing,
     }
 
 
