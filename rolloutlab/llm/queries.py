@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import dedup_lines
+from .mixing import mix_sizes
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash_dedup import near_duplicates
@@ -14,10 +16,19 @@ from .simhash_dedup import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_words=50)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -28,7 +39,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op4_sharding": op4_sharding,
+        "op6_line_dedup": op6_line_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op10_packing": op10_packing,
     }
