@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import near_vectors
+from .fingerprints import fingerprint_documents
 from .line_dedup import dedup_lines
 from .mixing import mix_sizes
 from .packing import pack_documents
@@ -20,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -33,6 +39,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), sequence=1024, with_ids=False)
 
@@ -40,9 +50,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_fingerprints": op3_fingerprints,
         "op4_sharding": op4_sharding,
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_packing": op10_packing,
     }
 
