@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .embedding_dedup import near_vectors
 from .fingerprints import fingerprint_documents
+from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sizes
 from .packing import pack_documents
@@ -30,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_words=50)
@@ -52,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op3_fingerprints": op3_fingerprints,
         "op4_sharding": op4_sharding,
+        "op5_language_id": op5_language_id,
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
