@@ -15,6 +15,7 @@ from .mixing import mix_sizes
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash_dedup import near_duplicates
+from .toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), sequence=1024, with_ids=False)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
