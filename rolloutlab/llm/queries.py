@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .embedding_dedup import near_vectors
 from .fingerprints import fingerprint_documents
+from .html_extraction import extract
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sizes
@@ -24,6 +25,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_html_extraction": op2_html_extraction,
         "op3_fingerprints": op3_fingerprints,
         "op4_sharding": op4_sharding,
         "op5_language_id": op5_language_id,
