@@ -16,6 +16,7 @@ Fitting reads a bounded sample of labelled documents (``toxic_docs``,
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ WINDOW = 24
 LANDMARKS = 30
 RIDGE = 1e-5
 REMEMBERED = 500_000
-TOXIC_DOCS, CLEAN_DOCS, LONGEST = 1500, 3000, 50_000
+TOXIC_DOCS, CLEAN_DOCS, LONGEST = 900, 1600, 20_000
 THRESHOLD = 0.7
 START = "<"
 LONGEST_LANDMARK = 12
@@ -186,47 +187,51 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, imp
     """
     held: Counter[str] = Counter(w for d in clean for w in d)
     family = families(toxic)
-    where: dict[str, set[int]] = defaultdict(set)
+    grouped: dict[int, set[str]] = defaultdict(set)
     for i, d in enumerate(toxic):
-        for w in d:
-            where[w].add(family[i])
+        grouped[family[i]] |= d
+    where: dict[str, list[int]] = defaultdict(list)
+    for i, words in grouped.items():
+        for w in words:
+            where[w].append(i)
+    least = max(4, len(toxic) // 60)
+    scale = len(toxic) / max(1, len(clean))
 
-    def parts(w: str) -> set[str]:
+    def parts(w: str, n: int, known: set[str] | None) -> set[str]:
         w = START + w
-        return {w[a:b] for a in range(len(w) - ORDER + 1) for b in range(a + ORDER + (a == 0), min(len(w), a + LONGEST_LANDMARK) + 1)}
+        found = {w[a: a + n] for a in range(len(w) - n + 1)}
+        return found if known is None else {p for p in found if p[1:] in known and p[:-1] in known}
 
-    least = max(4, len(toxic) // 60)
-    documents: dict[str, set[int]] = defaultdict(set)
-    holders: dict[str, list[str]] = defaultdict(list)
-    for w, at in where.items():
-        for p in parts(w):
-            documents[p].update(at)
-            holders[p].append(w)
-    able = {p for p, d in documents.items() if len(d) >= least}
+    # longer strings only grow from shorter ones that enough documents hold
+    size: dict[str, int] = {}
     against: Counter[str] = Counter()
-    for w, n in held.items():
-        for p in parts(w) & able:
-            against[p] += n
-    scale = len(toxic) / max(1, len(clean))
-    able = {p for p in able if against[p] * scale <= impure * len(documents[p])}
+    known: set[str] | None = None
+    for n in range(ORDER, LONGEST_LANDMARK + 1):
+        counts: Counter[str] = Counter()
+        for words in grouped.values():
+            counts.update(set().union(*[parts(w, n, known) for w in words]))
+        known = {p for p, k in counts.items() if k >= least}
+        if not known:
+            break
+        for w, k in held.items():
+            for p in parts(w, n, None) & known:
+                against[p] += k
+        size.update((p, counts[p]) for p in known if against[p] * scale <= impure * counts[p] and len(p.lstrip(START)) >= ORDER)
     alive = set(where)
     chosen: list[str] = []
-    size = {p: len(documents[p]) for p in able}
     while size and len(chosen) < most:
         best = max(size, key=lambda p: (size[p] - 2 * scale * against[p], len(p), p))
-        # its words now explained; what they counted for is counted anew
-        now: set[int] = set()
-        for w in holders[best]:
-            if w in alive:
-                now.update(where[w])
-        if len(now) < size[best]:
-            if len(now) >= least:
-                size[best] = len(now)
+        # its words that nothing chosen explains yet
+        own = [w for w in alive if best in START + w]
+        now = len(set().union(*[where[w] for w in own]))
+        if now < size[best]:
+            if now >= least:
+                size[best] = now
             else:
                 del size[best]
             continue
         chosen.append(best)
-        alive.difference_update(holders[best])
+        alive.difference_update(own)
         del size[best]
     return chosen
 
@@ -325,7 +330,7 @@ class Scorer:
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: int = 41) -> Model:
     """Learns from toxic and clean texts; with either kind missing every score is the share of toxic ones."""
     rng = np.random.default_rng(seed)
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in clean]
+    bad, good = [set(map(sys.intern, words_of(t))) for t in toxic], [set(map(sys.intern, words_of(t))) for t in clean]
     contrast = landmarks // 6
     marks = telling_strings(bad, good, landmarks - contrast) if bad and good else []
     share = len(bad) / max(1, len(bad) + len(good))
