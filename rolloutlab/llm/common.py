@@ -38,16 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def aside(docs: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all but the needed columns under names that clash with nothing, and the names to give back."""
+    names = {c: f"_aside_{i}_" for i, c in enumerate(docs.columns) if c not in needed}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, bucket: Column,

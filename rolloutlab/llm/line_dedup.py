@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, cut, numbered
+from .common import SPACE, aside, cut, numbered
 
 MIN_WORDS = 50
 RANK_BUCKETS = 256
@@ -118,12 +118,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Texts that lose nothing stay as they are, also null and empty ones; a text
     that loses lines loses its blank lines too, and may end up empty. Repeated
     rows with one doc_id and text share a fate. Empty input gives no rows.
+    Extra columns pass through, but n_lines and n_deleted are this operator's.
     """
+    docs = docs.drop("n_lines", "n_deleted")
+    order = docs.columns
+    docs, names = aside(docs, ("doc_id", "text"))
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "lines")
     tagged = docs.withColumn("_t", F.xxhash64("text"))
     met = tagged.join(gone, tagged["doc_id"].eqNullSafe(gone["_id"]) & (tagged["_t"] == gone["_tag"]), "left")
     lines = text_lines(F.col("text"))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return met.select(*[c for c in docs.columns if c != "text"], F.size(lines).cast("long").alias("n_lines"),
+    out = met.select(*[c for c in docs.columns if c != "text"], F.size(lines).cast("long").alias("n_lines"),
                       F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_deleted"),
                       F.when(F.col("lines").isNull(), F.col("text")).otherwise(left).alias("text"))
+    return out.withColumnsRenamed(names).select(*[c for c in order if c != "text"], "n_lines", "n_deleted", "text")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import WORD, cut, numbered
+from .common import WORD, aside, cut, numbered
 
 BLOCK = 64
 SHARDS = 64
@@ -176,6 +176,8 @@ class Mix:
         spans = (self.pieces().groupBy("source_no", "begin", "pass", "doc_id", "tag", "size")
                  .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans"))
                  .select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("size").alias("_size"), "_spans"))
+        order = docs.columns
+        docs, names = aside(docs, ("doc_id", "text", "source", "n_chars"))
         tagged = docs.withColumn("_t", F.xxhash64("text", "source")).dropDuplicates(["doc_id", "_t"])
         met = tagged.join(spans, tagged["doc_id"].eqNullSafe(spans["_id"]) & (tagged["_t"] == spans["_tag"]))
 
@@ -186,7 +188,7 @@ class Mix:
         out = met.withColumn("text", parts("text", "_size", "_spans"))
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        return out.select(*docs.columns)
+        return out.select(*docs.columns).withColumnsRenamed(names).select(*order)
 
 
 def taken_text(text: str, size: int, spans: Sequence[dict]) -> str:

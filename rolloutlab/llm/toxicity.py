@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
 from .language_id import fold
 
 ORDER = 4
@@ -419,6 +420,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The documents that score below ``threshold``, in their columns."""
-    plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c not in ("doc_id", "text")})
+    order = docs.columns
+    plain, names = aside(docs, ("doc_id", "text"))
     held = scores(plain, learn(docs, labels, **how), plain.columns).filter(F.col("score") < threshold).drop("score")
-    return held.withColumnsRenamed({f"_kept_{c}": c for c in docs.columns})
+    return held.withColumnsRenamed(names).select(*order)
