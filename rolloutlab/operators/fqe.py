@@ -147,3 +147,27 @@ def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, ta
         kept = out.select(*df.columns, *[f"{x}_{p}" for p in targets for x in ("q", "v")])
         done = kept if done is None else done.unionByName(kept)
     return done
+
+
+def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target: str, horizon: int, gamma: float = 1.0) -> DataFrame:
+    """Adds q (three values; null for an action never logged in the cell) and v: means of Bellman targets by step, cell and action.
+
+    Per step one join with the next step's values and one aggregate; where the
+    cell never saw an action its value counts as 0 in v.
+    """
+    done, ahead = None, None
+    for t in range(horizon - 1, -1, -1):
+        rows = df.filter(F.col(STEP) == t)
+        rows = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead, EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
+        y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
+        means = rows.groupBy(*cell).agg(*[F.avg(F.when(F.col(action) == a, y)).alias(f"_q{a}") for a in range(K)])
+        means = means.select(*[F.col(c).alias(f"_of_{c}") for c in cell], F.array(*[F.col(f"_q{a}") for a in range(K)]).alias("q"))
+        on = F.lit(True)
+        for c in cell:
+            on = on & rows[c].eqNullSafe(means[f"_of_{c}"])
+        out = rows.join(means, on).select(*df.columns, "q")
+        value = sum((F.col(target)[a] * F.coalesce(F.col("q")[a], F.lit(0.0)) for a in range(1, K)), F.col(target)[0] * F.coalesce(F.col("q")[0], F.lit(0.0)))
+        out = out.withColumn("v", value)
+        ahead = out.select(EPISODE, F.col("v").alias("_next"))
+        done = out if done is None else done.unionByName(out)
+    return done

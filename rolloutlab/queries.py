@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .operators import diagnostics as D
+from .operators import fqe as Q
 from .operators import gates as G
 from .operators import inference as I
 from .operators import sdr as S
 from .operators import support as U
 from .plans import roles as R
 from .plans import validation as V
+from .scoring.prompts import note_faults
 from .schema import ACTION, ACTIONS, EPISODE, STEP
 from .sources.events import HORIZON, action_name, event_trajectories, smoothed_behavior
 
@@ -63,7 +65,7 @@ episode AS (SELECT patient_id, max(CASE WHEN time_step = 0 THEN v END) AS v0,
   sum(reward) AS factual FROM dr GROUP BY 1)"""
 
 
-def query(name: str, sql: str, places: int | None = 6) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None, places: int | None = 6) -> Callable[[Query], Query]:
     """Registers a query; doubles are rounded, in the SQL by hand."""
 
     def register(f: Query) -> Query:
@@ -73,7 +75,8 @@ def query(name: str, sql: str, places: int | None = 6) -> Callable[[Query], Quer
 
         run.__name__ = name
         QUERIES[name] = run
-        SQL[name] = sql
+        if sql:
+            SQL[name] = sql
         return run
 
     return register
@@ -329,6 +332,23 @@ def per_action_support(spark, sf_dir):
     return U.action_support(with_behavior(spark, sf_dir), threshold=0.3)
 
 
+# ---- fitted Q evaluation ----------------------------------------------------------
+
+
+@query("fqe_tabular", f"""WITH {TRAJ}, rows3 AS (SELECT *, CASE WHEN time_step = 2 THEN 1 ELSE 0 END AS t3 FROM traj WHERE time_step < 3), y2 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE 0 END AS y FROM rows3 r WHERE r.time_step = 2), c2 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y2 GROUP BY 1), s2 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y2 y JOIN c2 USING (previous_no)), y1 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE coalesce(n.v, 0) END AS y FROM rows3 r LEFT JOIN s2 n ON n.patient_id = r.patient_id WHERE r.time_step = 1), c1 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y1 GROUP BY 1), s1 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y1 y JOIN c1 USING (previous_no)), y0 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE coalesce(n.v, 0) END AS y FROM rows3 r LEFT JOIN s1 n ON n.patient_id = r.patient_id WHERE r.time_step = 0), c0 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y0 GROUP BY 1), s0 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y0 y JOIN c0 USING (previous_no)) SELECT patient_id, time_step, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(v, 6) AS v FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)""")
+def fqe_tabular(spark, sf_dir):
+    rows = steps(spark, sf_dir).filter(F.col(STEP) < 3).withColumn("terminal", (F.col(STEP) == 2).cast("int"))
+    return Q.tabular(rows, ["previous_no"], "action_no", "reward", "target", 3).select(EPISODE, STEP, *split("q", "q"), "v")
+
+
+@query("fqe_ridge", None)
+def fqe_ridge(spark, sf_dir):
+    """Distributed ridge over state, action and their products; its test solves the same system by hand."""
+    rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100)).cache()
+    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], HORIZON)
+    return out.groupBy(STEP).agg(F.count("*").alias("rows"), F.avg("v_target").alias("v_target"), F.avg("v_behavior").alias("v_behavior"))
+
+
 # ---- calibration and diagnostics ------------------------------------------------
 
 
@@ -469,6 +489,34 @@ def cyclic_average(spark, sf_dir):
     return steps(spark, sf_dir).select(EPISODE, STEP, cells.alias("x")).select(EPISODE, STEP, "x.*").groupBy(EPISODE, STEP, "action_no").agg(F.avg("p").alias("p"))
 
 
+@query("note_guard", """SELECT doc_id, CASE WHEN length(text) > 4000 THEN 'too long' WHEN regexp_matches(text, '(?i)(?:BEGIN|END)_UNTRUSTED_HANDOFF_NOTE(?:_JSON_V1)?') THEN 'marker' WHEN regexp_matches(text, '<\\|[^|\\r\\n]{1,64}\\|>') THEN 'special token' END AS fault FROM documents""")
+def note_guard(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", note_faults(F.col("text")).alias("fault"))
+
+
+@query("cache_dedupe", "SELECT sha256(text) AS key, count(*)::BIGINT AS requests, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def cache_dedupe(spark, sf_dir):
+    """Requests by key: each distinct prompt is scored once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("requests"), F.min("doc_id").alias("first_id"))
+
+
+@query("controls", f"""WITH {PROP}, m AS (SELECT avg(CASE WHEN action_no = 0 THEN 1 ELSE 0 END) AS m0, avg(CASE WHEN action_no = 1 THEN 1 ELSE 0 END) AS m1, avg(CASE WHEN action_no = 2 THEN 1 ELSE 0 END) AS m2 FROM traj),
+c AS (SELECT patient_id, time_step, ba, 'marginal' AS control, CASE action_no WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS pa FROM prop, m UNION ALL SELECT patient_id, time_step, ba, 'uniform', CAST(1 AS DOUBLE) / 3 FROM prop),
+l AS (SELECT control, time_step, sum(ln(pa) - ln(ba)) OVER (PARTITION BY control, patient_id ORDER BY time_step) AS l FROM c), t AS (SELECT control, max(l) AS m FROM l WHERE time_step = 11 GROUP BY 1)
+SELECT control, round(sum(exp(l - m)) * sum(exp(l - m)) / sum(exp(l - m) * exp(l - m)), 6) AS ess, round(1 / sum(exp(l - m)), 6) AS max_share FROM l JOIN t USING (control) WHERE time_step = 11 GROUP BY 1""")
+def controls(spark, sf_dir):
+    """Terminal weight concentration of the logged marginal and of the uniform policy."""
+    rows = with_behavior(spark, sf_dir)
+    share = D.action_marginal(rows, "action_no").first()
+    out = None
+    for name, p in (("marginal", [share[f"share_{a}"] for a in ACTIONS]), ("uniform", [1 / 3] * 3)):
+        part = rows.withColumns({"control": F.lit(name), "target_logged": X.gather(F.array(*map(F.lit, p)), F.col("action_no"))})
+        out = part if out is None else out.unionByName(part)
+    weighted = S.cumulative_weights(out, (), ["control"]).filter(F.col(STEP) == HORIZON - 1)
+    return U.concentration(weighted, "log_w", ["control"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
