@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, numbered
 
 LONGEST = 12
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 KEY = ["doc_id", "tag"]
 #: Bit offsets of the six blocks and the end.
 BLOCKS = (0, 11, 22, 33, 43, 54, 64)
@@ -101,17 +103,18 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, every: int = 20) ->
     """
     text = F.coalesce("text", F.lit(""))
     n = F.char_length(text)
-    half = F.floor(n / 2)
-    whole = docs.select("doc_id", F.xxhash64(text).alias("tag"), text.alias("text"))
+    tag = F.xxhash64(text)
+    whole = docs.select("doc_id", tag.alias("tag"), text.alias("text"))
     pairs = successors(docs)
     own = cut(fingerprints(whole, KEY, "text"))
-    heads = (docs.select("doc_id", F.xxhash64(text).alias("tag"), F.substring(text, F.lit(1), (n - half).cast("int")).alias("head"))
-             .dropDuplicates(KEY))
-    tails = whole.dropDuplicates(KEY).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("text").alias("tail"))
-    a = pairs.withColumnRenamed("doc_id", "p_id").withColumnRenamed("tag", "p_tag")
-    met = a.join(heads, F.col("p_id").eqNullSafe(F.col("doc_id")) & (F.col("p_tag") == F.col("tag"))).drop("p_id", "p_tag")
-    met = met.join(tails, F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("next_tag") == F.col("_tag"))).drop("_id", "_tag")
-    edited = F.concat("head", F.substring(F.col("tail"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
+    # texts travel once, under keys without nulls: repeats go and the join follows in the same partitions
+    number = F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long"))
+    heads = docs.select(number.alias("_id"), tag.alias("_tag"), F.substring(text, F.lit(1), (n - F.floor(n / 2)).cast("int")).alias("head")).dropDuplicates(["_id", "_tag"])
+    tails = docs.select(number.alias("_nid"), tag.alias("_ntag"), text.alias("tail")).dropDuplicates(["_nid", "_ntag"])
+    ends = pairs.select("*", F.coalesce("next_id", F.lit(NO_ID).cast("long")).alias("_nid"), F.col("next_tag").alias("_ntag")).join(tails, ["_nid", "_ntag"]).drop("_nid", "_ntag")
+    ends = ends.withColumn("tail", F.substring(F.col("tail"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
+    met = ends.select("*", F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("_id"), F.col("tag").alias("_tag")).join(heads, ["_id", "_tag"])
+    edited = F.concat("head", "tail")
     keys = [*KEY, "n_chars", "next_id", "next_tag", "times"]
     made = met.select(*keys, edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     new = cut(fingerprints(made, [*keys, "edited_sha256"], "edited").withColumnRenamed("fp", "edited_fp"))
