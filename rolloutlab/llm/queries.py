@@ -77,5 +77,25 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+near AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT n.a, l.b FROM near n JOIN link l ON n.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM near GROUP BY 1), deg AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT c.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM comp c LEFT JOIN deg USING (vec_id)"""
+
+
+OP6_SQL = r"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+$', '')), lambda x: x <> '') AS ls FROM documents),
+w AS (SELECT doc_id, ls, list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS ws FROM d),
+p AS (SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS i FROM w),
+m AS (SELECT doc_id, ls, i, list_filter(range(1, 51), lambda m: i + m - 1 <= len(ls) AND list_sum(ws[i:i + m - 1]) >= 50)[1] AS ahead, list_filter(range(1, 51), lambda m: i - m + 1 >= 1 AND list_sum(ws[i - m + 1:i]) >= 50)[1] AS back FROM p),
+r AS (SELECT DISTINCT doc_id, start, n, run FROM (SELECT doc_id, i AS start, ahead AS n, ls[i:i + ahead - 1] AS run FROM m WHERE ahead IS NOT NULL UNION ALL SELECT doc_id, i - back + 1, back, ls[i - back + 1:i] FROM m WHERE back IS NOT NULL)),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS place FROM r),
+g AS (SELECT doc_id, list(DISTINCT line) AS gone FROM (SELECT doc_id, unnest(range(start, start + n)) AS line FROM k WHERE place > 1) GROUP BY 1)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_deleted,
+ CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express: op6 by comparing the runs themselves, op8 all pairs of a label."""
+    return {"op6_line_dedup": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
