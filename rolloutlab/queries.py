@@ -344,8 +344,8 @@ def fqe_tabular(spark, sf_dir):
 @query("fqe_ridge", None)
 def fqe_ridge(spark, sf_dir):
     """Distributed ridge over state, action and their products; its test solves the same system by hand."""
-    rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100)).cache()
-    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], HORIZON)
+    rows = with_behavior(spark, sf_dir).filter(F.col(STEP) < 3).withColumns({"features": F.array(F.col("value") / 100), "terminal": (F.col(STEP) == 2).cast("int")}).persist()
+    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], 3)
     return out.groupBy(STEP).agg(F.count("*").alias("rows"), F.avg("v_target").alias("v_target"), F.avg("v_behavior").alias("v_behavior"))
 
 
@@ -414,8 +414,8 @@ slots AS (SELECT b, slot, CAST(('0x' || substr(md5('41:' || b || ':' || slot), 1
 
 
 def with_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    values = I.indexed(episodes(spark, sf_dir), EPISODE)
-    return values, I.hashed_draws(spark, values.count(), RESAMPLES)
+    values = I.indexed(episodes(spark, sf_dir).persist(), EPISODE).persist()
+    return values, I.hashed_draws(spark, values.count(), RESAMPLES).persist()
 
 
 @query("bootstrap_ci", f"""WITH {CELLS}, {DRAWS_SQL}, s AS (SELECT b, avg(v0) AS v0, avg(value_cap_10) AS value_cap_10, avg(factual) AS factual FROM slots JOIN ix USING (idx) GROUP BY b),
