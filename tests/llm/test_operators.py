@@ -184,6 +184,49 @@ def test_similar_documents(odd, spark):
     assert similar_documents(empty(odd)).count() == 0
 
 
+def edited(words, kind, n, fresh):
+    """The words with n of them appended, cut off or replaced at one place, or replaced one by one."""
+    at = len(words) // 3
+    if kind == "append":
+        return words + fresh[:n]
+    if kind == "truncate":
+        return words[:-n]
+    if kind == "block":
+        return words[:at] + fresh[:n] + words[at + n:]
+    out = list(words)
+    for k in range(n):
+        out[(2 * k + 1) * len(words) // (2 * n)] = fresh[k]
+    return out
+
+
+def slow_jaccard(a, b, width=5):
+    a, b = ({tuple(x[i: i + width]) for i in range(len(x) - width + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited_pairs(kind, lengths=(100, 400), each=40, low=0.8, high=0.84):
+    """Pairs of word lists at a Jaccard similarity just over 0.8, by brute force."""
+    out, seed = [], 0
+    for length in lengths:
+        for _ in range(each):
+            seed += 1
+            words, fresh = prose(1000 + seed, length).split(), [f"new{seed}x{k}" for k in range(length)]
+            n = max(n for n in range(1, length // 3) if slow_jaccard(words, edited(words, kind, n, fresh)) >= low)
+            other = edited(words, kind, n, fresh)
+            if slow_jaccard(words, other) <= high:
+                out.append((words, other))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["append", "truncate", "block", "scattered"])
+def test_similar_documents_by_kind_of_edit(spark, kind):
+    pairs = edited_pairs(kind)
+    assert len(pairs) >= 40
+    rows = [(2 * i + k, " ".join(x), "en", "s", 0) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[i] == i - i % 2 for i, *_ in rows)
+
+
 def slow_line_dedup(docs, least):
     seen, out = set(), {}
     for i, text in docs:
