@@ -153,11 +153,10 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS, key: str = "
 
 # ---- documents of a given shingle similarity -------------------------------
 
-SEGMENTS = 6
 #: Hubs that a document is compared with before the pairs that remain.
 ROUNDS = 8
-#: Share of bits in which the signatures of a pair may differ; pairs at Jaccard 0.8 and more differ in 0.055 on average, 0.07 at most as measured.
-APART = 0.1
+#: 64-bit words of the parity bits of a shingle set.
+PARITY = 8
 #: MinHash bands and the minima in each: a pair at Jaccard 0.8 misses all of them in (1 - 0.8**4)**24 = 3e-6 of cases, whatever the edit.
 BANDS = 24
 BAND_ROWS = 4
@@ -166,17 +165,10 @@ SLOPES, OFFSETS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 HASHED_AT_ONCE = 4096
 
 
-def sketch(text: str | None, segments: int = SEGMENTS) -> tuple[int, list[int]]:
-    """Hash of the word sequence, and a SimHash of the distinct words in segments of 32 bits."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    if not words:
-        return node - (1 << 64) * (node >> 63), [0] * segments
-    need = -(-segments // 4)
-    data = b"".join(b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range(need)) for w in set(words))
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 16 * need), axis=1)
-    high = bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)
-    return node - (1 << 64) * (node >> 63), np.packbits(high).view(">u4")[:segments].astype(np.int64).tolist()
+def word_hash(text: str | None) -> int:
+    """Signed hash of the word sequence."""
+    node = xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
+    return node - (1 << 64) * (node >> 63)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -197,6 +189,27 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [k - (1 << 64) * (k >> 63) for k in keys]
 
 
+def parities(shingles: np.ndarray) -> list[int]:
+    """Whether an odd number of the hashes fall to each of the bits, in signed 64-bit words.
+
+    A hash in just one of two sets flips one bit, so that two sets differ in as
+    many hashes as their parities differ in bits, or more.
+    """
+    odd = np.bincount(shingles.view(np.uint32) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
+def within_reach(su: Column, nu: Column, sv: Column, nv: Column, similarity: float) -> Column:
+    """Whether sets of such parities and sizes can have at least the similarity; never false for a pair that has it.
+
+    Sets at similarity s differ in (1 - s) / (1 + s) of their summed sizes at most.
+    """
+    apart = F.lit(0)
+    for k in range(PARITY):
+        apart = apart + F.bit_count(su[k].bitwiseXOR(sv[k]))
+    return F.greatest(apart, F.abs(nu - nv)) * (1 + similarity) <= (nu + nv) * (1 - similarity) + 1e-6
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -224,17 +237,18 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     similarity alone and not on where the texts differ. Every
     bucket member is verified against a few hubs first; then all pairs that
     are not yet connected are, so that a large group whose members are mostly
-    alike doesn't cost all its pairs. Texts of equal words are collapsed first. Null texts count as
+    alike doesn't cost all its pairs. Of these, pairs whose parity bits rule
+    the similarity out never leave the join. Texts of equal words are collapsed first. Null texts count as
     empty; documents with a null doc_id take part. Empty input gives no rows.
     """
 
-    @F.pandas_udf("struct<node: long, segs: array<long>, keys: array<long>>")
+    @F.pandas_udf("struct<node: long, size: int, odd: array<long>, keys: array<long>>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
-        found = [sketch(t) for t in texts]
-        return pd.DataFrame({"node": [n for n, _ in found], "segs": [s for _, s in found], "keys": [bands(shingle_set(t, width)) for t in texts]})
+        sets = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"node": [word_hash(t) for t in texts], "size": [len(s) for s in sets], "odd": [parities(s) for s in sets], "keys": [bands(s) for s in sets]})
 
-    marked = cut(docs.select("doc_id", sketches("text").alias("_s")).select("doc_id", "_s.node", "_s.segs", "_s.keys"))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("segs").alias("segs"), F.first("keys").alias("keys")))
+    marked = cut(docs.select("doc_id", sketches("text").alias("_s")).select("doc_id", "_s.*"))
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "odd", "keys")]))
     variants = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
     buckets = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(variants.join(buckets, "key"))
@@ -243,7 +257,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
 
     @F.pandas_udf("struct<node: long, shingles: array<int>>")
     def shingled(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"node": [sketch(t, 1)[0] for t in texts], "shingles": [shingle_set(t, width) for t in texts]})
+        return pd.DataFrame({"node": [word_hash(t) for t in texts], "shingles": [shingle_set(t, width) for t in texts]})
 
     names = involved.select(F.col("least").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(names, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -259,14 +273,11 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     links = cut(verified(stars, sets, similarity))
     groups = components(links)
     placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # the signature goes with each entry: a pair that differs too much never leaves the join
-    placed = cut(placed.join(nodes.select("node", "segs"), "node"))
-    a = placed.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("segs").alias("su"))
-    b = placed.select(F.col("key").alias("_k"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("segs").alias("sv"))
-    apart = F.lit(0)
-    for k in range(SEGMENTS):
-        apart = apart + F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k]))
-    near = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (apart <= int(APART * 32 * SEGMENTS))
+    # sizes and parities go with each entry: a pair that can't be similar never leaves the join
+    placed = cut(placed.join(nodes.select("node", "size", "odd"), "node"))
+    a = placed.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("odd").alias("su"), F.col("size").alias("nu"))
+    b = placed.select(F.col("key").alias("_k"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("odd").alias("sv"), F.col("size").alias("nv"))
+    near = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & within_reach(F.col("su"), F.col("nu"), F.col("sv"), F.col("nv"), similarity)
     rest = a.join(b, (F.col("key") == F.col("_k")) & near).select("u", "v").distinct()
     links = cut(links.unionByName(verified(rest, sets, similarity)))
     groups = components(links)

@@ -227,6 +227,14 @@ def test_similar_documents_by_kind_of_edit(spark, kind):
     assert all(found[i] == i - i % 2 for i, *_ in rows)
 
 
+def test_similar_documents_in_a_chain(spark):
+    """Windows over one word sequence, each similar to the next one only: most links are left to the pairs after the hubs."""
+    words = [f"w{k}" for k in range(1800)]
+    rows = [(i, " ".join(words[9 * i: 9 * i + 100]), "en", "s", 0) for i in range(180)]
+    assert slow_jaccard(words[:100], words[9: 109]) >= 0.8 > slow_jaccard(words[:100], words[18: 118])
+    assert {r.component_id for r in similar_documents(spark.createDataFrame(rows, DOCS)).collect()} == {0}
+
+
 def slow_line_dedup(docs, least):
     seen, out = set(), {}
     for i, text in docs:
