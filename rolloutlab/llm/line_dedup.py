@@ -35,10 +35,10 @@ def text_lines(text: Column) -> Column:
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """One row per line: doc_id, tag (text hash), line (from 0), two hashes as its ID, words."""
+    """One row per line: doc_id, tag (text hash), line (from 0), two hashes as its ID, words; repeated rows count once."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(text_lines(F.col("text"))).alias("line", "_l"))
     words = F.regexp_count("_l", F.lit(SPACE)) + F.when(F.col("_l").rlike(r"^[\x20\x09-\x0D]"), 0).otherwise(1)
-    return rows.select(*DOC, "line", F.xxhash64("_l").alias("a"), F.hash("_l").alias("b"), words.cast("int").alias("words"))
+    return rows.select(*DOC, "line", F.xxhash64("_l").alias("a"), F.hash("_l").alias("b"), words.cast("int").alias("words")).distinct()
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:

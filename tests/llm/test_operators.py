@@ -263,6 +263,15 @@ def test_line_dedup(spark, least):
     assert got == slow_line_dedup(docs, least)
 
 
+def test_line_dedup_repeated_rows(spark):
+    passage = "\n".join(prose(70 + k, 12) for k in range(5))
+    docs = [(1, "first\n" + passage), (2, passage + "\nsecond"), (3, "third alone")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in [*docs, docs[1], docs[2]]], DOCS)
+    got = [(r.doc_id, r.n_deleted, r.text) for r in dedup_lines(df, 50).orderBy("doc_id").collect()]
+    want = slow_line_dedup(docs, 50)
+    assert want[2] == "second" and got == [(1, 0, want[1])] + [(2, 5, want[2])] * 2 + [(3, 0, want[3])] * 2
+
+
 def test_line_dedup_odd(odd):
     out = dedup_lines(odd, 50)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
