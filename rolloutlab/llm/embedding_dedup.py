@@ -3,10 +3,11 @@
 A vector is described by its nearest reference points in order of nearness;
 vectors at a small angle share most of them. The inverted lists are kept per
 pivot set: every vector is posted under each set of ``share`` of its ``near``
-nearest pivots, so that two vectors meet if and only if they share that many,
-and the number of lists they meet in gives the shared-pivot count. Met pairs
-are verified by their cosine in double precision. Pivots are a bounded sample;
-every vector is indexed.
+nearest pivots, so that two vectors meet if and only if they share that many;
+of the lists they meet in, that of the first pivots they share counts. Met
+pairs are verified by their cosine in double precision. Pivots are a bounded
+sample without near-copies of each other, so that a large group of near-copies
+has one pivot and its members share their nearest; every vector is indexed.
 
 Identical vectors of a label are collapsed first: however large a group of
 copies, it is one entry of the index.
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import BooleanType
 
 from .common import components, cut
 
@@ -28,6 +29,9 @@ PIVOTS = 128
 NEAR = 6
 SHARE = 3
 COSINE = 0.98
+#: Pivots are at most this alike, and chosen from so many candidates a pivot.
+PIVOT_COSINE = 0.9
+CANDIDATES = 16
 
 
 def unit_rows(vectors: list, width: int) -> np.ndarray:
@@ -62,39 +66,53 @@ def close(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def thinned(points: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of the unit rows whose cosine to each one taken is PIVOT_COSINE at most."""
+    free, taken = np.ones(len(points), dtype=bool), []
+    while len(taken) < most and free.any():
+        taken.append(int(free.argmax()))
+        free &= points @ points[taken[-1]] <= PIVOT_COSINE
+        free[taken[-1]] = False
+    return points[taken]
+
+
 def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Reference points per vector width: the ``pivots`` vectors with the smallest hashes, a sample bounded by that number."""
+    """Reference points per vector width: up to ``pivots`` vectors by hash, of CANDIDATES times as many, that aren't near-copies of one before."""
     rows = vectors.select("embedding", F.size("embedding").alias("n"), F.xxhash64("embedding", F.lit(41)).alias("h"))
     widths = [r["n"] for r in rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(64).collect()]
     out = {}
     for n in widths:
-        found = rows.filter(F.col("n") == n).orderBy("h").limit(pivots).collect()
-        out[n] = unit_rows([r["embedding"] for r in found], n)
+        found = rows.filter(F.col("n") == n).orderBy("h").limit(CANDIDATES * pivots).collect()
+        out[n] = thinned(unit_rows([r["embedding"] for r in found], n), pivots)
     return out
 
 
-def keys_of(points: dict[int, np.ndarray], near: int, share: int):
-    """A function from vectors to the pivot sets they are posted under, as longs."""
+def keys_of(points: dict[int, np.ndarray], pivots: int, near: int, share: int):
+    """A function from vectors to the pivot sets they are posted under, as longs, and the bits of their nearest pivots."""
+    most, base = -(-pivots // 64), pivots + 1
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<keys: array<long>, bits: array<long>>")
+    def keys(vectors: pd.Series) -> pd.DataFrame:
         out: list[np.ndarray] = [np.zeros(1, dtype=np.int64)] * len(vectors)
+        bits = np.zeros((len(vectors), most), dtype=np.uint64)
         widths = np.array([len(v) for v in vectors])
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
-            pivots = points.get(int(width))
-            if pivots is None or len(pivots) <= near:
+            chosen_points = points.get(int(width))
+            if chosen_points is None or len(chosen_points) <= near:
                 continue  # so few vectors that they share one list
-            close_by = np.sort(np.argsort(-(unit_rows([vectors.iat[i] for i in rows], int(width)) @ pivots.T), axis=1, kind="stable")[:, :near], axis=1)
+            close_by = np.sort(np.argsort(-(unit_rows([vectors.iat[i] for i in rows], int(width)) @ chosen_points.T), axis=1, kind="stable")[:, :near], axis=1)
+            for c in close_by.T:
+                bits[rows, c // 64] |= np.uint64(1) << (c % 64).astype(np.uint64)
             sets = np.zeros((len(rows), 0), dtype=np.int64)
             for chosen in combinations(range(near), share):
                 key = np.full(len(rows), 1, dtype=np.int64)
                 for c in chosen:
-                    key = key * (len(pivots) + 1) + close_by[:, c]
+                    key = key * base + close_by[:, c]
                 sets = np.column_stack([sets, key])
             for at, row in zip(rows, sets):
                 out[at] = row
-        return pd.Series(out)
+        return pd.DataFrame({"keys": out, "bits": list(bits.view(np.int64))})
 
     return keys
 
@@ -118,10 +136,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     # a name of its own for each distinct vector: the smallest vec_id, told apart where rows share one
     reps = cut(distinct.withColumn("rep", F.xxhash64("label", "h", "least", "copies")))
     points = choose_pivots(reps, pivots)
-    postings = reps.select("rep", "label", F.explode(keys_of(points, near, share)("embedding")).alias("key"))
-    left, right = postings.select(F.col("rep").alias("u"), "label", "key"), postings.select(F.col("rep").alias("v"), F.col("label").alias("_l"), F.col("key").alias("_k"))
-    met = left.join(right, (F.col("label") == F.col("_l")) & (F.col("key") == F.col("_k")) & (F.col("u") < F.col("v")))
-    pairs = met.groupBy("u", "v").agg(F.count("*").alias("shared"))
+    found = reps.select("rep", "label", keys_of(points, pivots, near, share)("embedding").alias("_p"))
+    postings = found.select("rep", "label", F.col("_p.bits").alias("bits"), F.explode("_p.keys").alias("key"))
+    left = postings.select(F.col("rep").alias("u"), "label", "key", F.col("bits").alias("bu"))
+    right = postings.select(F.col("rep").alias("v"), F.col("label").alias("_l"), F.col("key").alias("_k"), F.col("bits").alias("bv"))
+    # a pair counts in the list of the first pivots it shares: up to the list's last pivot it shares no others
+    last = F.col("key") % (pivots + 1)
+    shared = F.lit(0)
+    for w in range(-(-pivots // 64)):
+        upto = F.when(last >= 64 * w + 63, F.lit(-1).cast("long")).when(last < 64 * w, F.lit(0).cast("long")).otherwise(F.expr(f"~shiftleft(-1L, cast(key % {pivots + 1} as int) - ({64 * w - 1}))"))
+        shared = shared + F.bit_count(F.col("bu")[w].bitwiseAND(F.col("bv")[w]).bitwiseAND(upto))
+    once = (F.col("key") == 0) | (shared == share)
+    pairs = left.join(right, (F.col("label") == F.col("_l")) & (F.col("key") == F.col("_k")) & (F.col("u") < F.col("v")) & once).select("u", "v")
     a, b = reps.select(F.col("rep").alias("u"), F.col("embedding").alias("ea")), reps.select(F.col("rep").alias("v"), F.col("embedding").alias("eb"))
     links = cut(pairs.join(a, "u").join(b, "v").filter(close("ea", "eb", F.lit(float(cosine)))).select("u", "v"))
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -301,6 +301,21 @@ def test_embedding_dedup(spark):
     assert near_vectors(empty(df)).count() == 0
 
 
+def test_embedding_dedup_of_a_large_group(spark):
+    """A third of the vectors are near-copies of one; the others stand in pairs."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    pairs = unit(rng.normal(size=(300, 64)))
+    pairs = np.concatenate([pairs, unit(pairs + rng.normal(size=pairs.shape) * 0.015)])
+    group = unit(unit(rng.normal(size=64)) + rng.normal(size=(300, 64)) * 0.015)
+    v = np.concatenate([group, pairs])
+    rows = [(i, [float(x) for x in row], 0) for i, row in enumerate(v)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = (v @ v.T >= 0.98).sum(axis=1) - 1
+    assert want[:300].mean() > 150
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_packing_plan():
     rng = np.random.default_rng(1)
     histogram = np.zeros(65, dtype=np.int64)
