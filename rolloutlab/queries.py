@@ -344,8 +344,8 @@ def fqe_tabular(spark, sf_dir):
 @query("fqe_ridge", None)
 def fqe_ridge(spark, sf_dir):
     """Distributed ridge over state, action and their products; its test solves the same system by hand."""
-    rows = with_behavior(spark, sf_dir).filter(F.col(STEP) < 3).withColumns({"features": F.array(F.col("value") / 100), "terminal": (F.col(STEP) == 2).cast("int")}).persist()
-    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], 3)
+    rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100)).persist()
+    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], HORIZON)
     return out.groupBy(STEP).agg(F.count("*").alias("rows"), F.avg("v_target").alias("v_target"), F.avg("v_behavior").alias("v_behavior"))
 
 

@@ -397,5 +397,23 @@ def test_queries_match_sql(spark, data, name):
     assert len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
 
 
+def test_fqe_ridge_runs_whole_episodes(spark, data):
+    frame = registry.with_behavior(spark, data).toPandas()
+    sizes = frame.groupby(STEP).size().to_dict()
+    assert sorted(sizes) == list(range(12))
+    ahead, want = {}, {}
+    for t in range(11, -1, -1):
+        part = frame[frame[STEP] == t]
+        value, no = part["value"].to_numpy()[:, None] / 100, part.action_no.to_numpy()
+        y = part.reward.to_numpy() + np.array([ahead.get(e, 0.0) for e in part[EPISODE]])
+        x = lambda a: np.column_stack([value, np.eye(3)[a], value * np.eye(3)[a]])  # noqa: B023, E731
+        w, b = fit_ridge(x(no), y, 5.0)
+        v = sum(np.stack(part.target)[:, a] * (x(np.full(len(part), a)) @ w + b) for a in range(3))
+        ahead, want[t] = dict(zip(part[EPISODE], v)), v.mean()
+    ridge = registry.queries()["fqe_ridge"](spark, data).toPandas().set_index(STEP)
+    assert ridge.rows.to_dict() == sizes
+    assert all(abs(ridge.v_target[t] - want[t]) < 2e-6 for t in want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 12
