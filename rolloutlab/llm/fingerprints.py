@@ -10,16 +10,20 @@ three blocks, keyed by them.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE, cut, numbered
+from .common import SPACE, cut
 
 LONGEST = 12
-#: Stands for a null doc_id in joins.
+#: Fills the place of a null doc_id in comparisons that tell null ones apart first.
 NO_ID = -(1 << 63)
+#: Documents that the ranges are balanced on.
+SAMPLED = 20_000
 KEY = ["doc_id", "tag"]
 #: Bit offsets of the six blocks and the end.
 BLOCKS = (0, 11, 22, 33, 43, 54, 64)
@@ -71,25 +75,53 @@ def within(fps: DataFrame, asked: DataFrame, radius: int = 3) -> DataFrame:
     return met.select(F.col("asked").alias("fp"), "found").distinct()
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """Distinct documents with the next one: doc_id, tag, n_chars, next_id, next_tag, times.
+def bounds(ids: DataFrame, parts: int) -> list[tuple]:
+    """Up to parts - 1 pairs (doc_id, tag), in order, that cut the distinct documents into about equal ranges.
+
+    They come from a sample of about SAMPLED documents by hash, whatever their
+    number: only the balance of the ranges hangs on it, no result does.
+    """
+    n = ids.count()
+    drawn = F.pmod(F.xxhash64("doc_id", "tag", F.lit(7)), F.lit(1_000_003)) * max(n, 1) < F.lit(1_000_003 * SAMPLED)
+    found = [tuple(r) for r in ids.filter(drawn).select(*KEY).limit(4 * SAMPLED).collect()]
+    found.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    step = max(1, len(found) // parts)
+    return found[step::step][: parts - 1]
+
+
+def range_of(cuts: list[tuple]) -> Column:
+    """The number of the range of a document: how many of the cuts it doesn't come before."""
+    pairs = F.from_json(F.lit(json.dumps([{"known": i is not None, "id": NO_ID if i is None else i, "tag": t} for i, t in cuts])),
+                        "array<struct<known: boolean, id: bigint, tag: bigint>>")
+    number = F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long"))
+    at = F.struct(F.col("doc_id").isNotNull().alias("known"), number.alias("id"), F.col("tag").alias("tag"))
+    widths = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    # a binary search, as there are as many cuts as tasks
+    return F.aggregate(widths, F.lit(0), lambda low, w: F.when(F.get(pairs, low + w - 1) <= at, low + w).otherwise(low))
+
+
+def with_successors(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, tag, text) with next_id, next_tag and next_text, those of the next document.
 
     Documents go by doc_id (null first) and, where it is shared, by text hash;
     the last is followed by the first. Of repeated rows each is followed by
-    its like and the last by the next document: ``times`` counts the rows.
+    its like and the last by the next document. ``ids`` are the distinct
+    documents. Whole texts travel once, to the task of their range, and look
+    ahead one row there; the first document of a range goes to the range
+    before too, where it stands behind the last one.
     """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    known = docs.select("doc_id", F.xxhash64(text).alias("tag"), F.char_length(text).cast("long").alias("n_chars"))
-    known = known.groupBy(*KEY, "n_chars").agg(F.count("*").alias("copies"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut(known.repartitionByRange(parts, "doc_id", "tag").withColumn("_part", F.spark_partition_id()))
-    at = cut(numbered(spread, [], KEY, "at", F.col("_part")).drop("_part"))
-    total = max(1, at.count())
-    after = at.select(F.pmod(F.col("at") - 1, F.lit(total)).alias("_at"), F.col("doc_id").alias("next_id"), F.col("tag").alias("next_tag"))
-    last = at.join(after, F.col("at") == F.col("_at")).select(*KEY, "n_chars", "next_id", "next_tag", F.lit(1).cast("long").alias("times"))
-    like = at.filter("copies > 1").select(*KEY, "n_chars", F.col("doc_id").alias("next_id"), F.col("tag").alias("next_tag"), (F.col("copies") - 1).alias("times"))
-    return cut(last.unionByName(like))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = range_of(bounds(ids, parts))
+    first = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), *KEY)).alias("_f"))
+    heads = sorted((r["part"], r["_f"]["doc_id"], r["_f"]["tag"]) for r in first.collect())  # one row per range
+    before = F.from_json(F.lit(json.dumps({f"{i}:{tag}": heads[k - 1][0] for k, (_, i, tag) in enumerate(heads)})), "map<string,int>")
+    lead = before[F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.col("tag").cast("string"))]
+    here = F.struct(F.lit(False).alias("behind"), part.alias("part"))
+    places = F.when(lead.isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.lit(True).alias("behind"), lead.alias("part"))))
+    placed = docs.select("doc_id", "tag", "text", F.explode(places).alias("_p")).select("doc_id", "tag", "text", "_p.*")
+    w = Window.partitionBy("part").orderBy("behind", F.asc_nulls_first("doc_id"), "tag")
+    ahead = placed.withColumns({"next_id": F.lead("doc_id").over(w), "next_tag": F.lead("tag").over(w), "next_text": F.lead("text").over(w)})
+    return ahead.filter("not behind").drop("behind", "part")
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
@@ -99,32 +131,25 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, every: int = 20) ->
     code points of the next document. n_near, for doc_ids divisible by
     ``every``, counts the distinct other fingerprints within ``radius`` bits;
     null elsewhere. Null texts count as empty; texts without words have
-    fingerprint zero. Empty input gives no rows; extra columns are left out.
+    fingerprint zero. Repeated rows stay rows. Empty input gives no rows;
+    extra columns are left out.
     """
     text = F.coalesce("text", F.lit(""))
-    n = F.char_length(text)
-    tag = F.xxhash64(text)
-    whole = docs.select("doc_id", tag.alias("tag"), text.alias("text"))
-    pairs = successors(docs)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     own = cut(fingerprints(whole, KEY, "text"))
-    # texts travel once, under keys without nulls: repeats go and the join follows in the same partitions
-    number = F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long"))
-    heads = docs.select(number.alias("_id"), tag.alias("_tag"), F.substring(text, F.lit(1), (n - F.floor(n / 2)).cast("int")).alias("head")).dropDuplicates(["_id", "_tag"])
-    tails = docs.select(number.alias("_nid"), tag.alias("_ntag"), text.alias("tail")).dropDuplicates(["_nid", "_ntag"])
-    ends = pairs.select("*", F.coalesce("next_id", F.lit(NO_ID).cast("long")).alias("_nid"), F.col("next_tag").alias("_ntag")).join(tails, ["_nid", "_ntag"]).drop("_nid", "_ntag")
-    ends = ends.withColumn("tail", F.substring(F.col("tail"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
-    met = ends.select("*", F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("_id"), F.col("tag").alias("_tag")).join(heads, ["_id", "_tag"])
-    edited = F.concat("head", "tail")
-    keys = [*KEY, "n_chars", "next_id", "next_tag", "times"]
-    made = met.select(*keys, edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    new = cut(fingerprints(made, [*keys, "edited_sha256"], "edited").withColumnRenamed("fp", "edited_fp"))
+    n = F.char_length("text").cast("long")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
+    made = with_successors(whole, own.select(*KEY)).select(*KEY, n.alias("n_chars"), "next_id", "next_tag", edited.alias("edited"))
+    made = made.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("row", F.monotonically_increasing_id())
+    keys = ["row", *KEY, "n_chars", "next_id", "next_tag", "edited_sha256"]
+    new = cut(fingerprints(made, keys, "edited").withColumnRenamed("fp", "edited_fp"))
     near = within(own, own.filter(F.col("doc_id") % every == 0), radius).filter("fp <> found").groupBy("fp").agg(F.count("*").alias("_near"))
     mine = own.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "fp")
     theirs = own.select(F.col("doc_id").alias("_nid"), F.col("tag").alias("_ntag"), F.col("fp").alias("next_fp"))
     out = (new.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
            .join(theirs, F.col("next_id").eqNullSafe(F.col("_nid")) & (F.col("next_tag") == F.col("_ntag")))
            .join(near, "fp", "left"))
-    out = out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
