@@ -77,6 +77,21 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             .drop("_local", "_base", "_bucket", *[f"_r_{k}" for k in ks]))
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], size: str, total: int, by: Sequence[str], ways: int = 64, most: int = 1000) -> DataFrame:
+    """Inner join of many rows with few that have one row per key, so that no key meets in one task.
+
+    ``size`` of few says how many rows of ``many`` have the key, ``total`` about
+    how many there are. Keys with over ``total / most`` rows, of which there are
+    fewer than ``most``, are dealt by ``by`` over ``ways`` tasks; only these
+    keys are broadcast. Null keys meet nothing.
+    """
+    bar = max(1000, total // most)
+    hot = F.broadcast(few.filter(F.col(size) > bar).select(*keys, F.lit(True).alias("_hot")))
+    left = many.join(hot, list(keys), "left").withColumn("_way", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(ways)).cast("int")).otherwise(0)).drop("_hot")
+    right = few.withColumn("_way", F.explode(F.when(F.col(size) > bar, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_way"]).drop("_way")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of long edges (u, v): rows (node, component), component the smallest node reached.
 
