@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, spread_join
 
 RADIUS = 3
 SEED = 42
@@ -143,20 +143,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS, key:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
-    """The documents that name their component: one of each group stays, of repeated rows with its doc_id one."""
-    found = near_duplicates(docs, width, radius, key)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.dropDuplicates([key])
-    return first.join(chosen, first[key].eqNullSafe(chosen["doc_id"]), "left_semi")
-
-
 # ---- documents of a given shingle similarity -------------------------------
 
-#: Hubs that a document is compared with before the pairs that remain.
-ROUNDS = 8
 #: 64-bit words of the parity bits of a shingle set.
-PARITY = 8
+PARITY = 16
+#: Entries of a bucket that the others of another component are compared with in one task.
+BUCKET = 2048
 #: MinHash bands and the minima in each: a pair at Jaccard 0.8 misses all of them in (1 - 0.8**4)**24 = 3e-6 of cases, whatever the edit.
 BANDS = 24
 BAND_ROWS = 4
@@ -165,10 +157,11 @@ SLOPES, OFFSETS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 HASHED_AT_ONCE = 4096
 
 
-def word_hash(text: str | None) -> int:
-    """Signed hash of the word sequence."""
-    node = xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
-    return node - (1 << 64) * (node >> 63)
+def word_hashes(text: str | None) -> tuple[int, int]:
+    """Two signed hashes of the word sequence, of 64 and 32 bits."""
+    words = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    node, more = xxhash.xxh64_intdigest(words, SEED), xxhash.xxh32_intdigest(words, SEED)
+    return node - (1 << 64) * (node >> 63), more - (1 << 32) * (more >> 31)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -210,22 +203,47 @@ def within_reach(su: Column, nu: Column, sv: Column, nv: Column, similarity: flo
     return F.greatest(apart, F.abs(nu - nv)) * (1 + similarity) <= (nu + nv) * (1 - similarity) + 1e-6
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have at least the similarity; a v may stand in most of them."""
+    pairs = cut(pairs)
+    often = pairs.groupBy("v").agg(F.count("*").alias("_n"))
+    seconds = cut(sets.select(F.col("node").alias("v"), F.col("shingles").alias("_b")).join(often, "v"))
+    met = spread_join(pairs, seconds, ["v"], "_n", pairs.count(), ["u"]).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_a")), "u")
+    both = F.size(F.array_intersect("_a", "_b"))
+    whole = F.size("_a") + F.size("_b") - both
+    return met.filter((whole == 0) | (both / F.greatest(whole, F.lit(1)) >= similarity)).select("u", "v")
+
 
+def central_pairs(shared: DataFrame, total: int) -> DataFrame:
+    """(u, v): every member of a bucket with the bucket's hub, that with the most company over all its buckets.
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least the similarity."""
+    In a group of near-copies that is the text the others were made from, or
+    the one least changed; mostly all buckets of the group have the same.
+    """
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    best = F.max(F.struct("company", (-F.col("node")).alias("last"), F.col("node").alias("hub")))
+    hubs = shared.join(company, "node").groupBy("key").agg(best.alias("_h"), F.count("*").alias("n")).select("key", "_h.hub", "n")
+    met = spread_join(shared.drop("n"), cut(hubs), ["key"], "n", total, ["node"])
+    return met.select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)])
 
-    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("_b"))
-    return pairs.join(left, "u").join(right, "v").filter(alike("_a", "_b")).select("u", "v")
+def pairs_left(placed: DataFrame, total: int, similarity: float) -> DataFrame:
+    """(u, v): members of one bucket in different components that sizes and parities don't keep apart.
+
+    ``placed`` has key, node, component, size, odd. Buckets of one component
+    are done. In the others, what isn't in the largest component there (by its
+    last name) meets all members, dealt over as many tasks as the bucket needs.
+    """
+    per = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("main"), F.count("*").alias("n")).filter("low <> main")
+    open_ = spread_join(placed, cut(per.drop("low")), ["key"], "n", total, ["node"])
+    open_ = cut(open_.withColumn("ways", F.ceil(F.col("n") / BUCKET).cast("int")))
+    a = open_.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("node").alias("u"), F.col("component").alias("cu"),
+                                                 F.col("odd").alias("su"), F.col("size").alias("nu"))
+    b = open_.select(F.col("key").alias("_k"), F.pmod(F.xxhash64("node"), F.col("ways")).cast("int").alias("_w"), F.col("node").alias("v"), F.col("component").alias("cv"), "main",
+                     F.col("odd").alias("sv"), F.col("size").alias("nv"))
+    once = (F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))
+    near = (F.col("cu") != F.col("cv")) & once & within_reach(F.col("su"), F.col("nu"), F.col("sv"), F.col("nv"), similarity)
+    return a.join(b, (F.col("key") == F.col("_k")) & (F.col("way") == F.col("_w")) & near).select("u", "v").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -234,61 +252,62 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     Documents link if their sets of ``width``-word shingles have a Jaccard
     similarity of at least ``similarity``. Each is indexed under the BANDS keys
     of its MinHash bands; whether a pair meets depends on its Jaccard
-    similarity alone and not on where the texts differ. Every
-    bucket member is verified against a few hubs first; then all pairs that
-    are not yet connected are, so that a large group whose members are mostly
-    alike doesn't cost all its pairs. Of these, pairs whose parity bits rule
-    the similarity out never leave the join. Texts of equal words are collapsed first. Null texts count as
-    empty; documents with a null doc_id take part. Empty input gives no rows.
+    similarity alone and not on where the texts differ. Every bucket member is
+    compared with the bucket's hub first, which joins most of a group at the
+    cost of one pair a member; then members of one bucket that are in
+    different components still are compared, unless sizes and parity bits of
+    their shingle sets prove them less alike. Texts of equal words are
+    collapsed first (two hashes of the word sequence, 96 bits). Null texts
+    count as empty; documents with a null doc_id take part. Empty input gives
+    no rows.
     """
 
-    @F.pandas_udf("struct<node: long, size: int, odd: array<long>, keys: array<long>>")
+    @F.pandas_udf("struct<node: long, more: int, size: int, odd: array<long>, keys: array<long>>")
     def sketches(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
-        return pd.DataFrame({"node": [word_hash(t) for t in texts], "size": [len(s) for s in sets], "odd": [parities(s) for s in sets], "keys": [bands(s) for s in sets]})
+        names = [word_hashes(t) for t in texts]
+        return pd.DataFrame({"node": [n for n, _ in names], "more": [m for _, m in names], "size": [len(s) for s in sets], "odd": [parities(s) for s in sets], "keys": [bands(s) for s in sets]})
 
     marked = cut(docs.select("doc_id", sketches("text").alias("_s")).select("doc_id", "_s.*"))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "odd", "keys")]))
-    variants = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
-    buckets = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = cut(variants.join(buckets, "key"))
+    texts_of = marked.groupBy("node", "more").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "odd", "keys")])
+    # the written number stands for the two hashes from here on
+    nodes = cut(texts_of.withColumnRenamed("node", "hash").withColumn("node", F.monotonically_increasing_id()))
+    total = nodes.count() * BANDS
+    variants = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(spread_join(variants, cut(buckets), ["key"], "n", total, ["node"]))
 
-    involved = shared.select("node").distinct().join(nodes, "node").select("least", "node")
+    involved = cut(shared.select("node").distinct().join(nodes, "node").select("least", "hash", "more", "node"))
 
-    @F.pandas_udf("struct<node: long, shingles: array<int>>")
+    @F.pandas_udf("struct<hash: long, more: int, shingles: array<int>>")
     def shingled(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"node": [word_hash(t) for t in texts], "shingles": [shingle_set(t, width) for t in texts]})
+        names = [word_hashes(t) for t in texts]
+        return pd.DataFrame({"hash": [n for n, _ in names], "more": [m for _, m in names], "shingles": [shingle_set(t, width) for t in texts]})
 
     names = involved.select(F.col("least").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(names, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.select(shingled("text").alias("_h")).select("_h.*").join(involved.select("node"), "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]))
-
-    # each round every bucket has another hub, by hash; a member is compared with one hub a round
-    rounds = [f"m{r}" for r in range(ROUNDS)]
-    members = shared.select("key", "node")
-    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"))).alias(m) for r, m in enumerate(rounds)])
-    chosen = members.join(hubs, "key").groupBy("node").agg(*[F.min(m).alias(m) for m in rounds])
-    stars = chosen.select(F.col("node").alias("u"), F.explode(F.array(*[F.col(f"{m}.hub") for m in rounds])).alias("v")).filter("u <> v").distinct()
-    links = cut(verified(stars, sets, similarity))
+    sets = texts.select(shingled("text").alias("_h")).select("_h.*").join(involved.select("hash", "more", "node"), ["hash", "more"])
+    sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
+
+    links = cut(verified(central_pairs(shared, total), sets, similarity))
     groups = components(links)
     placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # sizes and parities go with each entry: a pair that can't be similar never leaves the join
     placed = cut(placed.join(nodes.select("node", "size", "odd"), "node"))
-    a = placed.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("odd").alias("su"), F.col("size").alias("nu"))
-    b = placed.select(F.col("key").alias("_k"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("odd").alias("sv"), F.col("size").alias("nv"))
-    near = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & within_reach(F.col("su"), F.col("nu"), F.col("sv"), F.col("nv"), similarity)
-    rest = a.join(b, (F.col("key") == F.col("_k")) & near).select("u", "v").distinct()
-    links = cut(links.unionByName(verified(rest, sets, similarity)))
-    groups = components(links)
-    known = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = cut(known).groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = known.join(named, "component").select("node", "component_id")
-    return marked.join(classes, "node").select("doc_id", "component_id")
+    rest = cut(verified(pairs_left(placed, total, similarity), sets, similarity))
+    groups = components(links.unionByName(rest))
+    known = cut(nodes.select("hash", "more", "node", "least", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = cut(known.join(named, "component").select(F.col("hash").alias("node"), "more", "component_id", "copies"))
+    return spread_join(marked.select("doc_id", "node", "more"), classes, ["node", "more"], "copies", total // BANDS, ["doc_id"]).select("doc_id", "component_id")
 
 
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest doc_id; of rows with its doc_id one."""
+    """One document of each group of similar ones: that with the smallest doc_id; of rows with its doc_id one.
+
+    Columns stay as they are, whatever their names. Null and empty texts are
+    alike and form one group; a group without any doc_id keeps one row. Empty
+    input gives no rows.
+    """
     found = similar_documents(docs, width, similarity)
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_chosen")).distinct()
     first = docs.dropDuplicates(["doc_id"])
