@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, aside, cut, numbered
+from .common import SPACE, aside, cut, numbered, spread_join
 
 MIN_WORDS = 50
 RANK_BUCKETS = 256
+#: A class of more than total / MOST_HOT lines is dealt over WAYS tasks.
+MOST_HOT, WAYS = 1000, 64
 DOC = ["doc_id", "tag"]
 
 
@@ -44,8 +46,9 @@ def line_ids(docs: DataFrame) -> DataFrame:
 def first_ranks(lines: DataFrame) -> DataFrame:
     """Lines that occur more than once, with the rank r0 of their ID and the size of its class."""
     ids = lines.groupBy("a", "b").agg(F.count("*").alias("size")).filter("size > 1")
-    ranked = numbered(ids, [], ["a", "b"], "r0", F.shiftright("a", 54).cast("int"), "size")
-    return lines.join(ranked, ["a", "b"]).drop("a", "b")
+    ranked = cut(numbered(ids, [], ["a", "b"], "r0", F.shiftright("a", 54).cast("int"), "size"))
+    total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return spread_join(lines, ranked, ["a", "b"], "size", total, [*DOC, "line"], WAYS, MOST_HOT).drop("a", "b")
 
 
 def double(at: DataFrame, k: int, total: int) -> DataFrame:
@@ -53,14 +56,18 @@ def double(at: DataFrame, k: int, total: int) -> DataFrame:
     old, new = f"r{k}", f"r{k + 1}"
     ahead = Window.partitionBy(*DOC).orderBy("line").rangeBetween(2**k, 2**k)
     seen = at.withColumn("_next", F.when(F.col("size") > 1, F.coalesce(F.max(old).over(ahead), F.lit(-1))))
-    classes = seen.filter("size > 1").groupBy(old, "_next").agg(F.count("*").alias("_size"))
+    classes = seen.filter("size > 1").groupBy(old, "_next").agg(F.count("*").alias("_size"), F.max("size").alias("_whole"))
     step = max(1, total // RANK_BUCKETS)
     classes = numbered(classes, [old], ["_next"], "_before", F.floor(F.col("_next") / step).cast("int"), "_size")
-    classes = classes.withColumnRenamed(old, "_old").withColumnRenamed("_next", "_then")
-    met = seen.join(classes, (F.col(old) == F.col("_old")) & (F.col("_next") == F.col("_then")), "left")
+    # lines know how large their class was, so both sides know which classes are dealt
+    large = max(1000, total // MOST_HOT)
+    ways = F.when(F.col("_whole") > large, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    classes = classes.withColumn("_there", F.explode(ways)).drop("_whole").withColumnRenamed(old, "_old").withColumnRenamed("_next", "_then")
+    seen = seen.withColumn("_way", F.when(F.col("size") > large, F.pmod(F.xxhash64(*DOC, "line"), F.lit(WAYS)).cast("int")).otherwise(0))
+    met = seen.join(classes, (F.col(old) == F.col("_old")) & (F.col("_next") == F.col("_then")) & (F.col("_way") == F.col("_there")), "left")
     return (met.withColumn(new, F.col(old) + F.coalesce("_before", F.lit(0)))
             .withColumn("size", F.coalesce("_size", F.lit(1)))
-            .drop("_next", "_old", "_then", "_size", "_before"))
+            .drop("_next", "_old", "_then", "_size", "_before", "_way", "_there"))
 
 
 def shortest_runs(at: DataFrame, min_words: int) -> DataFrame:
@@ -106,8 +113,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         keyed = keyed.withColumn("tail", F.col("head"))
     keyed = cut(keyed.select(*DOC, "start", "m", "head", "tail"))
     place = F.struct(*DOC, "start")
-    firsts = keyed.groupBy("m", "head", "tail").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = keyed.join(firsts, ["m", "head", "tail"]).filter(place > F.col("_first"))
+    firsts = cut(keyed.groupBy("m", "head", "tail").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
+    later = spread_join(keyed, firsts, ["m", "head", "tail"], "_n", 2 * total, [*DOC, "start"], WAYS, MOST_HOT).filter(place > F.col("_first"))
     gone = later.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("line"))
     return gone.groupBy(*DOC).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
