@@ -1,13 +1,16 @@
 """Toxicity by a subsequence-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two strings counts their common subsequences of ORDER letters,
+The kernel of two words counts their common subsequences of ORDER letters,
 each weighted by DECAY to the length it spans in either, so that gaps and
-inserted characters lower a match and don't break it. Landmarks are strings
-that labelled toxic sentences hold and clean ones don't, and frequent clean
-words. A string's normalised kernel values against them, whitened, are its
-features; a linear support vector machine on these separates words of toxic
-sentences from words of clean ones. A document's score is a logistic curve
-over the largest margins of its words, fitted on labelled documents.
+inserted characters lower a match and don't break it. A sentence's kernel with
+a landmark is the sum over its words (of matches of NOTABLE at least, capped),
+itself a kernel. Landmarks are strings that labelled toxic documents hold and
+clean ones don't, or hold many words with where clean ones have one by
+chance, and frequent clean words. A sentence's kernel values against them,
+whitened, are its features; a linear support vector machine on these separates
+sentences of toxic documents from sentences of clean ones. A document's score
+is a logistic curve over the largest margins of its sentences and the number
+of positive ones, fitted on labelled documents.
 
 Fitting reads a bounded sample of labelled documents (``toxic_docs``,
 ``clean_docs``, ``longest``); scoring reads whole texts.
@@ -32,18 +35,34 @@ from .language_id import fold
 
 ORDER = 4
 DECAY = 0.7
-#: Power of the normalised kernel, itself a kernel; lowers half matches.
-POWER = 2
+#: Powers of the kernel, themselves kernels, that lower half matches: for strings of which one word tells, and of which it takes two.
+POWER, DENSE_POWER = 2, 6
 WINDOW = 24
 LANDMARKS = 30
 RIDGE = 1e-5
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Kernel values that count in a sentence, and the most that one landmark adds up to.
+NOTABLE, MOST_ALIKE = 0.2, 2.0
+#: Sentences are cut after so many words; dense strings have so many characters at least.
+SENTENCE_WORDS, DENSE = 40, 6
+#: Weight of a landmark's near misses in clean documents against its sentences in toxic ones.
+NEAR_MISS = 0.5
 TOXIC_DOCS, CLEAN_DOCS, LONGEST = 900, 1600, 20_000
 THRESHOLD = 0.7
 START = "<"
 LONGEST_LANDMARK = 12
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def sentences_of(text: str) -> list[str]:
+    """Stretches up to a sentence's or line's end, of SENTENCE_WORDS words at most."""
+    out = []
+    for part in ENDS.split(text):
+        words = part.split(" ")
+        out += [part] if len(words) <= SENTENCE_WORDS else [" ".join(words[k: k + SENTENCE_WORDS]) for k in range(0, len(words), SENTENCE_WORDS)]
+    return out
 
 
 def words_of(text: str) -> set[str]:
@@ -106,13 +125,14 @@ def kernel_pairs(words: list[str], of: np.ndarray, others: list[str], to: np.nda
 
 @dataclass
 class Kernel:
-    """Normalised kernel values of words against the landmarks; a word starts with START.
+    """Kernel values of words against the landmarks, 1 where a word holds a whole landmark; a word starts with START.
 
     The longest common subsequence, found bit-parallel, tells which pairs have
     no common subsequence of ORDER: their value is zero.
     """
 
     landmarks: list[str]
+    powers: np.ndarray
     norms: np.ndarray = field(init=False)
     letters: dict[str, int] = field(init=False)
     masks: np.ndarray = field(init=False)
@@ -154,16 +174,15 @@ class Kernel:
             of, to = np.nonzero(self.common(part) >= ORDER)
             if len(of):
                 used, inverse = np.unique(of, return_inverse=True)
-                local = [part[k] for k in used]
-                every = np.arange(len(local))
-                norms = np.sqrt(np.maximum(kernel_pairs(local, every, local, every), 1e-20))
-                out[rows[of], to] = (kernel_pairs(local, inverse, self.landmarks, to) / norms[inverse] / self.norms[to]) ** POWER
+                found = kernel_pairs([part[k] for k in used], inverse, self.landmarks, to) / (self.norms[to] * self.norms[to])
+                out[rows[of], to] = np.minimum(found, 1.0) ** self.powers[to]
         return out
 
 
 def families(docs: list[set[str]]) -> list[int]:
-    """A number for each document, shared by those that have two of their five least long words (by hash) in common."""
+    """A number for each document, shared by those that have two of their five least long words (by hash) in common; fewer words tell no copy."""
     least = [sorted((w for w in d if len(w) > 6), key=lambda w: zlib.crc32(w.encode()))[:5] for d in docs]
+    least = [words if len(words) == 5 else [] for words in least]
     root = list(range(len(docs)))
 
     def find(i: int) -> int:
@@ -180,13 +199,14 @@ def families(docs: list[set[str]]) -> list[int]:
     return [find(i) for i in range(len(docs))]
 
 
-def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, impure: float = 0.15) -> list[str]:
-    """Strings of ORDER letters or more that words of toxic documents hold and those of clean ones hardly do.
+def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, stray: float = 0.04, impure: float = 0.15) -> list[tuple[str, bool]]:
+    """Strings of ORDER letters or more that tell toxic documents from clean ones, and whether it takes two words to tell.
 
-    The one in most toxic documents comes first (of equals the longest); the
-    words it explains are set aside, and so on. Copies count once.
+    Words of toxic documents hold them and those of clean ones hardly do (share
+    ``stray``); or many toxic documents have two such words or more and hardly
+    a clean one does (share ``impure``). The one in most toxic documents comes first (of equals the longest);
+    the words it explains are set aside, and so on. Copies count once.
     """
-    held: Counter[str] = Counter(w for d in clean for w in d)
     family = families(toxic)
     grouped: dict[int, set[str]] = defaultdict(set)
     for i, d in enumerate(toxic):
@@ -195,7 +215,8 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, imp
     for i, words in grouped.items():
         for w in words:
             where[w].append(i)
-    least = max(4, len(toxic) // 60)
+    held: Counter[str] = Counter(w for d in clean for w in d)
+    least = max(6, len(toxic) // 33)
     scale = len(toxic) / max(1, len(clean))
 
     def parts(w: str, n: int, known: set[str] | None) -> set[str]:
@@ -205,33 +226,54 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, imp
 
     # longer strings only grow from shorter ones that enough documents hold
     size: dict[str, int] = {}
-    against: Counter[str] = Counter()
+    twice: set[str] = set()
+    against: dict[str, float] = {}
     known: set[str] | None = None
     for n in range(ORDER, LONGEST_LANDMARK + 1):
+        holds = {w: found for w in where if (found := parts(w, n, known))}
         counts: Counter[str] = Counter()
+        pairs: Counter[str] = Counter()
         for words in grouped.values():
-            counts.update(set().union(*[parts(w, n, known) for w in words]))
+            own = Counter(p for w in words if w in holds for p in holds[w])
+            counts.update(own.keys())
+            if n >= DENSE:
+                pairs.update(p for p, k in own.items() if k > 1)
         known = {p for p, k in counts.items() if k >= least}
         if not known:
             break
-        for w, k in held.items():
-            for p in parts(w, n, None) & known:
-                against[p] += k
-        size.update((p, counts[p]) for p in known if against[p] * scale <= impure * counts[p] and len(p.lstrip(START)) >= ORDER)
+        hit = {w: found for w in held if (found := parts(w, n, None) & known)}
+        once: Counter[str] = Counter()
+        for w, found in hit.items():
+            for p in found:
+                once[p] += held[w]
+        more: Counter[str] = Counter()
+        if n >= DENSE:
+            for d in clean:
+                own = Counter(p for w in d if w in hit for p in hit[w])
+                more.update(p for p, k in own.items() if k > 1)
+        for p in known:
+            if len(p.lstrip(START)) < ORDER:
+                continue
+            if once[p] * scale <= stray * counts[p]:
+                size[p], against[p] = counts[p], once[p]
+            elif n >= DENSE and pairs[p] >= least and more[p] * scale <= impure * pairs[p]:
+                size[p], against[p] = pairs[p], more[p]
+                twice.add(p)
     alive = set(where)
-    chosen: list[str] = []
+    chosen: list[tuple[str, bool]] = []
     while size and len(chosen) < most:
         best = max(size, key=lambda p: (size[p] - 2 * scale * against[p], len(p), p))
         # its words that nothing chosen explains yet
         own = [w for w in alive if best in START + w]
-        now = len(set().union(*[where[w] for w in own]))
+        docs = Counter(i for w in own for i in where[w])
+        now = sum(k > 1 for k in docs.values()) if best in twice else len(docs)
         if now < size[best]:
             if now >= least:
                 size[best] = now
             else:
                 del size[best]
             continue
-        chosen.append(best)
+        chosen.append((best, best in twice))
         alive.difference_update(own)
         del size[best]
     return chosen
@@ -279,50 +321,58 @@ class Model:
     weights: np.ndarray
     curve: np.ndarray
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        if not self.kernel.landmarks:
-            return np.full(len(words), -1.0)
-        return self.kernel.values(words) @ (self.whiten @ self.weights[:-1]) + self.weights[-1]
-
-    def floor(self) -> float:
-        """The margin of a word that has nothing in common with the landmarks."""
-        return float(self.weights[-1])
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        """Of sentences, from their kernel values with the landmarks."""
+        return np.minimum(vectors, MOST_ALIKE) @ (self.whiten @ self.weights[:-1]) + self.weights[-1]
 
     def features(self, margins: np.ndarray) -> list[float]:
-        """Of a document, from the margins of its words that pass the floor: the two largest, and how many are positive."""
-        top = np.sort(margins)[::-1]
-        top = np.concatenate([top, [self.floor()] * 2])
-        return [float(top[0]), float(top[1]), float(np.log1p((margins > 0).sum())), 1.0]
+        """Of a document, from the margins of its sentences with a notable word: the three largest, and how many are positive."""
+        top = np.concatenate([np.sort(np.minimum(margins, 3.0))[::-1], [float(self.weights[-1])] * 3])
+        return [float(top[0]), float(top[1]), float(top[2]), float(np.log1p((margins > 0).sum())), 1.0]
 
 
 class Scorer:
-    """Scores texts; words are scored once and remembered, only those above the floor with their margin."""
+    """Scores texts; words are compared with the landmarks once and remembered, only notable ones with their kernel values."""
 
     def __init__(self, model: Model):
         self.model = model
         self.seen: set[str] = set()
-        self.high: dict[str, float] = {}
+        self.notable: dict[str, np.ndarray] = {}
 
     def learn(self, words: set[str]) -> None:
+        if not self.model.kernel.landmarks:
+            return
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-            self.high.clear()
+            self.notable.clear()
             new = list(words)
         new.sort()
         for s in range(0, len(new), 8192):
             part = new[s: s + 8192]
-            margins = self.model.margins(part)
-            self.high.update((part[i], float(margins[i])) for i in np.flatnonzero(margins > -0.5))
+            values = self.model.kernel.values(part)
+            values[values < NOTABLE] = 0
+            self.notable.update((part[i], values[i].copy()) for i in np.flatnonzero(values.any(axis=1)))
             self.seen.update(part)
 
+    def vectors(self, text: str, words: set[str]) -> np.ndarray:
+        """Kernel values of the sentences that have a notable word; ``words`` are the text's."""
+        out = []
+        if any(w in self.notable for w in words):
+            for sentence in sentences_of(text):
+                found = [self.notable[w] for w in words_of(sentence) if w in self.notable]
+                if found:
+                    out.append(np.sum(found, axis=0))
+        return np.array(out, dtype=np.float64).reshape(-1, len(self.model.kernel.landmarks))
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = []
         for s in range(0, len(texts), 64):
-            docs = [words_of(t or "") for t in texts[s: s + 64]]
+            part = [t or "" for t in texts[s: s + 64]]
+            docs = [words_of(t) for t in part]
             self.learn(set().union(*docs))
-            out += [self.model.features(np.array([self.high[w] for w in d if w in self.high])) for d in docs]
-        return np.array(out).reshape(-1, 4)
+            out += [self.model.features(self.model.margins(self.vectors(t, d)) if self.model.kernel.landmarks else np.zeros(0)) for t, d in zip(part, docs)]
+        return np.array(out).reshape(-1, 5)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.curve, -30, 30)))
@@ -333,42 +383,58 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
     rng = np.random.default_rng(seed)
     bad, good = [set(map(sys.intern, words_of(t))) for t in toxic], [set(map(sys.intern, words_of(t))) for t in clean]
     contrast = landmarks // 6
-    marks = telling_strings(bad, good, landmarks - contrast) if bad and good else []
+    told = telling_strings(bad, good, landmarks - contrast) if bad and good else []
+    marks = [m for m, _ in told]
     share = len(bad) / max(1, len(bad) + len(good))
     if not marks:
         base = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
-        return Model(Kernel([]), np.zeros((0, 0)), np.full(1, -1.0), np.array([0.0, 0.0, 0.0, base]))
+        return Model(Kernel([], np.zeros(0)), np.zeros((0, 0)), np.full(1, -1.0), np.array([0.0, 0.0, 0.0, 0.0, base]))
     common = Counter(w for d in good for w in d)
     telling = list(marks)
     marks += [START + w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) < LONGEST_LANDMARK][:contrast]
-    kernel = Kernel(marks)
+    powers = np.array([DENSE_POWER if dense else POWER for _, dense in told] + [POWER] * (len(marks) - len(told)), dtype=np.float32)
+    kernel = Kernel(marks, powers)
     every = np.arange(len(marks))
     gram = kernel_pairs(marks, np.repeat(every, len(marks)), marks, np.tile(every, len(marks))).reshape(len(marks), -1).astype(float)
-    gram = (gram / np.outer(kernel.norms, kernel.norms)) ** POWER
+    gram = (gram / np.outer(kernel.norms, kernel.norms)) ** ((powers[:, None] + powers) / 2)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0.0)
-    often = Counter(w for d in bad for w in d)
-    pure = {w: n for w, n in often.items() if common[w] * len(bad) <= 0.15 * n * len(good)}
+    model = Model(kernel, whiten, np.append(np.zeros(len(marks)), -1.0), np.zeros(5))
+    scorer = Scorer(model)
+    scorer.learn(set().union(*bad, *good))
+    # sentences of toxic documents with a telling string: every string weighs the same, its sentences alike
     yes, weight_yes = [], []
-    for m in telling:  # every telling string weighs the same, its words as often as they occur
-        own = sorted(w for w in pure if m in START + w)
-        wide = sorted({stretched(w, rng) for w in (own * 8)[:400] if len(w) < WINDOW // 2} - set(common))
-        total = sum(pure[w] for w in own)
-        yes += own + wide
-        weight_yes += [0.7 * pure[w] / max(1, total) for w in own] + [0.3 / max(1, len(wide))] * len(wide)
-    no = sorted(w for w in common if w not in pure)
-    no = [no[i] for i in sorted(rng.choice(len(no), min(len(no), 60_000), replace=False))]
-    raw = kernel.values(no)
-    near = np.argsort(-raw[:, : len(telling)].max(axis=1), kind="stable")[:6000]
-    rest = rng.choice(len(no), min(len(no), 4000), replace=False)
-    picked = np.unique(np.concatenate([near, rest]))
-    x = np.concatenate([kernel.values(yes), raw[picked]]).astype(float) @ whiten
+    stretch = {m: [] if dense else sorted({stretched(w, rng) for w in sorted(w for w in scorer.notable if m in START + w and len(w) < WINDOW // 2)[:50] * 8} - set(common)) for m, dense in told}
+    scorer.learn(set().union(*map(set, stretch.values())))
+    none = np.zeros(len(marks))
+    by_mark: dict[str, list[np.ndarray]] = defaultdict(list)
+    for text, words in zip(toxic, bad):
+        if not any(w in scorer.notable for w in words):
+            continue
+        for sentence in sentences_of(text):
+            found = [w for w in words_of(sentence) if w in scorer.notable]
+            for m in telling:
+                if any(m in START + w for w in found):
+                    by_mark[m].append(np.sum([scorer.notable[w] for w in found], axis=0))
+    for m in telling:
+        wide = [scorer.notable.get(w, none) for w in stretch[m]]
+        yes += by_mark[m] + wide
+        weight_yes += [0.7 / max(1, len(by_mark[m]))] * len(by_mark[m]) + [0.3 / max(1, len(wide))] * len(wide)
+    # sentences of clean documents; those without a notable word are all alike
+    no = [v for t, d in zip(clean, good) for v in scorer.vectors(t, d)]
+    no = [no[i] for i in np.argsort([-v[: len(telling)].max() for v in no], kind="stable")[:20_000]]
+    x = np.minimum(np.array(yes + no + [none]).reshape(-1, len(marks)), MOST_ALIKE) @ whiten
     x = np.column_stack([x, np.ones(len(x))])
-    y = np.concatenate([np.ones(len(yes)), -np.ones(len(picked))])
-    seen_in = np.sqrt([common[no[i]] for i in picked])
-    weight = np.concatenate([np.array(weight_yes) / len(telling), 2 * seen_in / seen_in.sum()])
-    model = Model(kernel, whiten, squared_hinge(x, y, weight, RIDGE), np.zeros(4))
-    seen = Scorer(model).features(toxic + clean)
+    y = np.concatenate([np.ones(len(yes)), -np.ones(len(no) + 1)])
+    # a clean sentence that holds a telling string weighs as all of a toxic document's do, by how often documents of its kind are drawn; near misses are shared out by landmark
+    scale = len(bad) / max(1, len(good))
+    each = np.array([scale / (len(telling) * max(1, sum(any(m in START + w for w in d) for d in bad))) for m in telling])
+    likest = np.array([int(np.argmax(v[: len(telling)])) for v in no], dtype=np.int64)
+    company = np.bincount(likest, minlength=len(telling))
+    weight_no = [max((each[j] for j in np.flatnonzero(v[: len(telling)] >= 1)), default=NEAR_MISS / (len(telling) * company[k])) for v, k in zip(no, likest)]
+    weight = np.concatenate([np.array(weight_yes) / len(telling), weight_no, [0.5]])
+    model.weights = squared_hinge(x, y, weight, RIDGE)
+    seen = scorer.features(toxic + clean)
     goal = np.concatenate([np.full(len(bad), (len(bad) + 1) / (len(bad) + 2)), np.full(len(good), 1 / (len(good) + 2))])
     model.curve = logistic(seen, goal)
     return model
