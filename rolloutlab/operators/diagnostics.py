@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import N, Reward, gather, items, margin, top_action, total, total_variation
 from ..schema import ACTION, ACTIONS, EVENTS
+from .quantiles import exact_quantiles
 
 
 def log_loss(p: Column, action_no: Column) -> Column:
@@ -97,9 +98,10 @@ def action_marginal(df: DataFrame, action_no: str) -> DataFrame:
 def robust_scale(df: DataFrame, values: str, floor: float = 0.05) -> DataFrame:
     """One row: 1.4826 times the median absolute deviation of all action values; their deviation where that is under the floor; the floor at least."""
     flat = df.select(F.explode(values).alias("x"))
-    middle = flat.agg(F.median("x").alias("m"), F.stddev_pop("x").alias("sd")).first()
-    mad = flat.agg((F.median(F.abs(F.col("x") - F.lit(middle["m"]))) * 1.4826).alias("mad"))
-    return mad.select(F.greatest(F.lit(floor), F.when(F.col("mad") < floor, F.lit(middle["sd"])).otherwise(F.col("mad"))).alias("scale"))
+    sd = flat.agg(F.stddev_pop("x").alias("sd")).first()["sd"]
+    middle = exact_quantiles(flat, F.col("x"), [], {"m": 0.5}).first()["m"]
+    mad = exact_quantiles(flat, F.abs(F.col("x") - F.lit(middle)), [], {"m": 0.5}).select((F.col("m") * 1.4826).alias("mad"))
+    return mad.select(F.greatest(F.lit(floor), F.when(F.col("mad") < floor, F.lit(sd)).otherwise(F.col("mad"))).alias("scale"))
 
 
 def greedy_identity(df: DataFrame, left: str, right: str) -> DataFrame:

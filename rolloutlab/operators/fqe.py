@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bellman
@@ -46,8 +46,14 @@ class FittedQ:
         """``rewards`` and ``target`` (three probabilities) lie row by row beside the frame."""
         if self.learner not in ("hist_gradient_boosting", "ridge"):
             raise ContractError(f"unknown learner {self.learner}")
+        if not 0 <= self.gamma <= 1:
+            raise ContractError("gamma must lie between 0 and 1")
         steps, action = frame[STEP].to_numpy(), action_numbers(frame)
         terminal, ids = frame["terminal"].to_numpy() == 1, frame[EPISODE].astype(str).to_numpy()
+        whole = set(ids)
+        for t in range(self.horizon):
+            if missing := whole - set(ids[steps == t]):
+                raise ContractError(f"episode {min(missing)} has no step {t}")
         ahead: dict[str, float] = {}
         for t in range(self.horizon - 1, -1, -1):
             rows = np.flatnonzero(steps == t)
@@ -86,6 +92,28 @@ class FittedQ:
         return out
 
 
+def stage_rows(df: DataFrame, step: int) -> DataFrame:
+    """The rows of one step, one per episode."""
+    return df.filter(F.col(STEP) == step)
+
+
+def initial_values(df: DataFrame, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, episode and ``direct``: the value of each episode's first step."""
+    return stage_rows(df, 0).select(*keys, EPISODE, F.col(value).alias("direct"))
+
+
+def step_faults(df: DataFrame, horizon: int) -> DataFrame:
+    """One row: rows, and how many have a step that no stage is fitted for."""
+    outside = ~F.coalesce((F.col(STEP) >= 0) & (F.col(STEP) < horizon) & (F.col(STEP).cast("double") == F.floor(F.col(STEP).cast("double"))), F.lit(False))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(outside.cast("long")), F.lit(0)).alias("outside"))
+
+
+def design(features: Sequence[Column], action_no: Column, interactions: bool = True) -> list[Column]:
+    """State, one column per action, and (for linear learners) their products."""
+    hot = [F.when(action_no == a, 1.0).otherwise(0.0) for a in range(K)]
+    return [*features, *hot, *([f * h for h in hot for f in features] if interactions else [])]
+
+
 def sums(df: DataFrame, features: str, action: str, targets: Sequence[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Gram sums of state, action and their products, and of these with the targets: each partition adds up its own rows, the driver adds one row per partition."""
     size = width + K + K * width
@@ -125,7 +153,7 @@ def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, ta
     """
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
-        rows = df.filter(F.col(STEP) == t)
+        rows = stage_rows(df, t)
         if ahead is None:
             rows = rows.withColumns({f"_n_{p}": F.lit(0.0) for p in targets})
         else:
@@ -158,7 +186,7 @@ def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target
     """
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
-        rows = df.filter(F.col(STEP) == t)
+        rows = stage_rows(df, t)
         rows = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead, EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
         y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
         means = rows.groupBy(*cell).agg(*[F.avg(F.when(F.col(action) == a, y)).alias(f"_q{a}") for a in range(K)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,80 @@ def resampled_means(values: DataFrame, draws: DataFrame, columns: Sequence[str])
     return met.groupBy("b").agg(*[(F.sum(F.col(c) * F.col("m")) / F.sum("m")).alias(c) for c in columns])
 
 
+def bootstrap_samples(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str) -> DataFrame:
+    """b, policy, value, difference: the mean of every resample, and what it is above the baseline's."""
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("value"), (F.col(p) - F.col(baseline)).alias("difference")) for p in policies]))
+    return resampled_means(values, draws, policies).select("b", rows.alias("_x")).select("b", "_x.*")
+
+
+def summarised(samples: DataFrame, horizon: int, confidence: float = 0.95) -> DataFrame:
+    """Per policy of bootstrap samples: interval of the total and per decision."""
+    low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
+    out = samples.groupBy("policy").agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
+    return out.withColumns({"low_per_decision": F.col("low") / horizon, "high_per_decision": F.col("high") / horizon})
+
+
+def raw_availability(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
+    """Per policy of unclipped values (null, NaN or infinite where weights overflow): available, finite_fraction, reason, and what the bootstrap says.
+
+    A policy with a value that isn't finite has no estimate; it isn't clipped.
+    Differences need an available baseline, too.
+    """
+    facts = values.agg(*[F.avg(F.coalesce(~F.isnan(p) & (F.abs(p) != float("inf")), F.lit(False)).cast("double")).alias(p) for p in policies]).first()  # one row
+    share = {p: facts[p] or 0.0 for p in policies}
+    usable = [p for p in policies if share[p] == 1.0]
+    kind = "policy string, available boolean, finite_fraction double, reason string, difference_reason string"
+    rows = [(p, p in usable, share[p], None if p in usable else "an unclipped weight gave a value that is not finite",
+             None if p in usable and baseline in usable else "no estimate" if p not in usable else "the baseline has no estimate") for p in policies]
+    table = values.sparkSession.createDataFrame(rows, kind)
+    if not usable:
+        return table.select("*", *[F.lit(None).cast("double").alias(c) for c in ("mean", "difference", "low", "high", "difference_low", "difference_high")])
+    found = paired_bootstrap(values, draws, usable, baseline if baseline in usable else usable[0], confidence)
+    if baseline not in usable:
+        found = found.withColumns({c: F.lit(None).cast("double") for c in ("difference", "difference_low", "difference_high")})
+    return table.join(found, "policy", "left")
+
+
+def block_sums(values: DataFrame, columns: Sequence[str], resamples: int, blocks: int, seed: int = 41) -> DataFrame:
+    """b, and per column the sum over resample b, its size ``m``: multinomial draws of any number of episodes without a row per draw.
+
+    Episodes are dealt into blocks by hash. How many of a resample's draws fall
+    to each block is drawn first, by block size; each block then draws its own,
+    and one row per block and resample leaves it. ``values`` has one row per
+    episode.
+    """
+    names = list(columns)
+    dealt = values.select(F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"), "idx", *names)
+    sizes = np.zeros(blocks, dtype=np.int64)
+    for row in dealt.groupBy("block").count().collect():  # one row per block
+        sizes[row["block"]] = row["count"]
+    n = int(sizes.sum())
+    shares = np.random.default_rng(seed).multinomial(n, sizes / max(1, n), size=resamples)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(key[0])
+        v = frame.sort_values("idx")[names].to_numpy(dtype=float)
+        out = np.zeros((resamples, len(names)))
+        for b in range(resamples):
+            m = np.random.default_rng((seed, b, block)).multinomial(shares[b, block], np.full(len(v), 1 / len(v)))
+            out[b] = m @ v
+        return pd.DataFrame({"b": np.arange(resamples), "m": shares[:, block], **{c: out[:, i] for i, c in enumerate(names)}})
+
+    parts = dealt.groupBy("block").applyInPandas(run, "b long, m long, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("b").agg(F.sum("m").alias("m"), *[F.sum(c).alias(c) for c in names])
+
+
+def permuted_rows(df: DataFrame, order: Sequence[str], column: str, seed: int = 41) -> DataFrame:
+    """``column`` dealt anew over the rows: the row at place i by key gets the value of the row at place i by hash."""
+    from .numbering import text_bucket
+
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), *order), 256)
+    rows = df.withColumn("_d", digest)
+    own = numbered(rows, [], order, "_i", text_bucket(df, order[0]))
+    other = numbered(rows.select("_d", *order, F.col(column).alias("_moved")), [], ["_d", *order], "_i", F.conv(F.substring("_d", 1, 3), 16, 10).cast("int")).select("_i", "_moved")
+    return own.join(other, "_i").withColumn(column, F.col("_moved")).drop("_i", "_moved", "_d")
+
+
 def paired_bootstrap(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
     """Per policy: mean, difference from the baseline, and percentile intervals of both."""
     if not 0 < confidence < 1 or baseline not in policies:

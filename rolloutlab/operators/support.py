@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import INFINITY, LARGEST_EXPONENT, entropy, expectation, mass_below, overlap, safe_exp
 from ..plans.validation import finite
-from ..schema import ACTIONS, EPISODE
+from ..schema import ACTIONS, EPISODE, STEP
+from .quantiles import exact_quantiles
+from .sdr import cap_name, cumulative_weights
 
 #: Quantiles of weights and ratios, besides the maximum.
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
@@ -34,23 +37,37 @@ def concentration(df: DataFrame, log_weight: str, keys: Sequence[str]) -> DataFr
                        F.coalesce(F.try_divide(F.lit(1.0), F.col("_s")), F.lit(0.0)).alias("max_share"))
 
 
-def finite_quantiles(value: Column, prefix: str) -> list[Column]:
-    """Exact quantiles and the maximum of the finite values."""
-    kept = F.when(finite(value), value)
-    return [*[F.percentile(kept, F.lit(q)).alias(f"{prefix}p{round(q * 100)}") for q in QUANTILES], F.max(kept).alias(f"{prefix}max")]
+def finite_quantiles(df: DataFrame, value: Column, keys: Sequence[str], prefix: str = "") -> DataFrame:
+    """keys and the exact quantiles and the maximum of the finite values; groups without one have no row."""
+    named = {f"{prefix}p{round(q * 100)}": q for q in QUANTILES} | {f"{prefix}max": 1.0}
+    return exact_quantiles(df, F.when(finite(value), value), keys, named)
 
 
 def weight_summary(df: DataFrame, log_weight: str, keys: Sequence[str]) -> DataFrame:
-    """keys, overflow_count, linear_scale_valid, zero_fraction and the weights' quantiles (null once one overflows)."""
+    """keys, overflow_count, linear_scale_valid, zero_fraction and the weights' quantiles (null once one overflows), also on the log scale."""
     lw = F.col(log_weight)
     over = F.sum((lw > LARGEST_EXPONENT).cast("long"))
-    out = df.groupBy(*keys).agg(over.alias("overflow_count"), F.avg((lw == -INFINITY).cast("double")).alias("zero_fraction"),
-                                *finite_quantiles(lw, "log_"), *finite_quantiles(safe_exp(lw), ""))
+    out = df.groupBy(*keys).agg(over.alias("overflow_count"), F.avg((lw == -INFINITY).cast("double")).alias("zero_fraction"))
+    for part in (finite_quantiles(df, lw, keys, "log_"), finite_quantiles(df, safe_exp(lw), keys)):
+        out = out.join(part.withColumnsRenamed({k: f"_of_{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True)), "left").drop(*[f"_of_{k}" for k in keys])
     valid = F.col("overflow_count") == 0
     plain = [f"p{round(q * 100)}" for q in QUANTILES] + ["max"]
     return out.withColumns({c: F.when(valid, F.col(c)) for c in plain}).withColumn("linear_scale_valid", valid)
 
 
+def support_report(df: DataFrame, caps: Sequence[float], thresholds: Sequence[float] = (0.01, 0.05), low_pressure: float = 65.0) -> dict[str, DataFrame]:
+    """All that is known of a policy's support: ``state``, ``low_pressure`` (the slice under that), ``actions``, ``ratios`` (quantiles of
+    target over behaviour) and ``weights`` (by step and cap, null for none: effective sample size, largest share, quantiles)."""
+    weighted = cumulative_weights(df, caps)
+    weights = None
+    for cap in (None, *caps):
+        column = "log_w" if cap is None else f"log_w_{cap_name(cap)}"
+        part = concentration(weighted, column, [STEP]).join(weight_summary(weighted, column, [STEP]), STEP).withColumn("cap", F.lit(cap).cast("double"))
+        weights = part if weights is None else weights.unionByName(part)
+    return {"state": state_support(df, (), thresholds=thresholds), "low_pressure": slice_support(df, F.col("map_mm_hg") < low_pressure, thresholds=thresholds), "actions": action_support(df),
+            "ratios": finite_quantiles(weighted, F.col("ratio"), []), "weights": weights}
+
+
 def state_support(df: DataFrame, keys: Sequence[str] = (), target: str = "target", behavior: str = "behavior", thresholds: Sequence[float] = (0.01, 0.05)) -> DataFrame:
     """keys, mean target distribution, entropy, overlap, behaviour under the target, and target mass where behaviour is rare."""
     p, b = F.col(target), F.col(behavior)

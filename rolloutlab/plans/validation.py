@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import INFINITY, PRIMARY, items, total
+from ..functions.expressions import INFINITY, PRIMARY, items, normalized, total
 from ..schema import ACTION, ACTIONS, EPISODE, EVENTS, OUTCOMES, POST_PREFIXES, STEP, ContractError, policy_columns
 
 
@@ -89,23 +91,86 @@ def validate_environment(df: DataFrame, observed: list[str] | tuple[str, ...]) -
     return df
 
 
-def require_disjoint(**roles: DataFrame) -> None:
-    """Raises if an episode has two roles; each table needs the episode key."""
+def role_overlaps(**roles: DataFrame) -> DataFrame:
+    """left_role, right_role, shared, example: pairs of roles that have episodes in common, how many and the first of them."""
     rows = None
-    for name, df in roles.items():
-        part = df.select(EPISODE).distinct().withColumn("role", F.lit(name))
+    for no, (name, df) in enumerate(roles.items()):
+        part = df.select(F.col(EPISODE).cast("string").alias(EPISODE)).distinct().select(EPISODE, F.struct(F.lit(no).alias("no"), F.lit(name).alias("role")).alias("_r"))
         rows = part if rows is None else rows.unionByName(part)
-    shared = rows.groupBy(EPISODE).agg(F.array_sort(F.collect_set("role")).alias("roles")).filter(F.size("roles") > 1)
-    example = shared.orderBy("roles", EPISODE).first()
-    if example:
-        raise ContractError(f"roles {' and '.join(example['roles'][:2])} share episodes, for example {example[EPISODE]}")
+    held = rows.groupBy(EPISODE).agg(F.array_sort(F.collect_set("_r")).alias("_rs")).filter(F.size("_rs") > 1)  # at most one entry per role
+    pairs = [F.when(F.size("_rs") > j, F.struct(F.col("_rs")[i]["role"].alias("left_role"), F.col("_rs")[j]["role"].alias("right_role"))) for i in range(len(roles)) for j in range(i + 1, len(roles))]
+    met = held.select(EPISODE, F.explode(F.array_compact(F.array(*pairs))).alias("_p")).select(EPISODE, "_p.*")
+    return met.groupBy("left_role", "right_role").agg(F.count("*").alias("shared"), F.min(EPISODE).alias("example"))
+
+
+def require_disjoint(**roles: DataFrame) -> None:
+    """Raises if an episode has two roles; each table needs the episode key."""
+    found = role_overlaps(**roles).orderBy("left_role", "right_role").first()
+    if found:
+        raise ContractError(f"roles {found['left_role']} and {found['right_role']} share episodes, for example {found['example']}")
+
+
+def role_cover(whole: DataFrame, *parts: DataFrame) -> DataFrame:
+    """One row: rows of the whole, rows of the parts together, and whether they agree."""
+    both = whole.select(F.lit(1).alias("w"), F.lit(0).alias("p"))
+    for part in parts:
+        both = both.unionByName(part.select(F.lit(0).alias("w"), F.lit(1).alias("p")))
+    return both.agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("whole_rows"), F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("part_rows")).withColumn("covered", F.col("whole_rows") == F.col("part_rows"))
 
 
 def require_cover(whole: DataFrame, *parts: DataFrame) -> None:
     """Raises unless the parts have as many rows as the whole."""
-    n, m = whole.count(), sum(p.count() for p in parts)
-    if n != m:
-        raise ContractError(f"roles cover {m} of {n} rows")
+    found = role_cover(whole, *parts).first()
+    if not found["covered"]:
+        raise ContractError(f"roles cover {found['part_rows']} of {found['whole_rows']} rows")
+
+
+def realignment(left: DataFrame, right: DataFrame, keys: Sequence[str] = (EPISODE, STEP)) -> DataFrame:
+    """One row: keys on both sides, on one only, and repeated ones; the sides align one to one if only the first isn't zero."""
+    a = left.groupBy(*keys).agg(F.count("*").alias("_a"))
+    b = right.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count("*").alias("_b"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    met = a.join(b, on, "full")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return met.agg(count(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("matched"), count(F.col("_b").isNull()).alias("left_only"), count(F.col("_a").isNull()).alias("right_only"),
+                   count((F.coalesce("_a", F.lit(0)) > 1) | (F.coalesce("_b", F.lit(0)) > 1)).alias("repeated"))
+
+
+def require_realigned(left: DataFrame, right: DataFrame, keys: Sequence[str] = (EPISODE, STEP)) -> None:
+    found = realignment(left, right, keys).first()
+    if found["left_only"] or found["right_only"] or found["repeated"]:
+        raise ContractError(f"rows do not align one to one: {found['left_only']} and {found['right_only']} keys on one side only, {found['repeated']} repeated")
+
+
+def horizon_faults(df: DataFrame, horizon: int) -> DataFrame:
+    """One row: episodes, and how many don't have each step of the horizon once."""
+    steps = df.groupBy(EPISODE).agg(F.count("*").alias("_n"), F.countDistinct(STEP).alias("_d"), F.min(STEP).alias("_low"), F.max(STEP).alias("_high"))
+    whole = (F.col("_n") == horizon) & (F.col("_d") == horizon) & (F.col("_low") == 0) & (F.col("_high") == horizon - 1)
+    return steps.agg(F.count("*").alias("episodes"), F.coalesce(F.sum((~F.coalesce(whole, F.lit(False))).cast("long")), F.lit(0)).alias("incomplete"))
+
+
+def scope_audit(fitted: DataFrame, allowed: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
+    """component, episodes, outside, same: how many episodes each part was fitted on, how many of them aren't allowed, and whether they are exactly
+    the allowed ones; ``ok`` if none lies outside and a component of ``exact`` misses none.
+
+    ``fitted`` has component and the episode key, ``allowed`` the key.
+    """
+    known = allowed.select(F.col(EPISODE).cast("string").alias("_id")).distinct()
+    rows = fitted.select("component", F.col(EPISODE).cast("string").alias(EPISODE)).distinct()
+    met = rows.join(known, F.col(EPISODE) == F.col("_id"), "left").groupBy("component").agg(F.count("*").alias("episodes"), F.sum(F.col("_id").isNull().cast("long")).alias("outside"))
+    n = known.count()
+    same = (F.col("outside") == 0) & (F.col("episodes") == n)
+    return met.withColumn("same", same).withColumn("ok", (F.col("outside") == 0) & (F.col("same") | ~F.col("component").isin(*(exact or [""]))))
+
+
+def blend_error(blend: Column, behavior: Column, weight: float) -> Column:
+    """How far a convex blend is from the one made again of the part that is recovered from it (clipped at zero, renormalised)."""
+    if not 0 < weight <= 1:
+        raise ContractError("the blend weight must lie between 0 and 1")
+    part = normalized(F.array(*[F.greatest((p - b * (1 - weight)) / weight, F.lit(0.0)) for p, b in zip(items(blend), items(behavior))]))
+    return F.greatest(*[F.abs(x * weight + b * (1 - weight) - p) for x, b, p in zip(items(part), items(behavior), items(blend))])
 
 
 def sdr_checks(behavior: Column, target: Column, numbers: list[Column]) -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,13 +65,26 @@ def json_safe(value):
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def write_artifacts(result, roles: DataFrame, root: str) -> None:
+def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
+    """One CSV file with a header in a folder, rows in key order where there is a key; for small tables."""
+    keys = [c for c in (EPISODE, STEP) if c in df.columns]
+    one = df.coalesce(1)
+    (one.sortWithinPartitions(*keys) if keys else one).write.mode("overwrite").option("header", True).option("lineSep", line_end).csv(path)
+
+
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """A nested value as one JSON text with sorted keys, in a folder."""
+    text = json.dumps(json_safe(value), sort_keys=True, indent=2, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_artifacts(result, roles: DataFrame, root: str, more: Mapping[str, DataFrame] | None = None) -> None:
     """The tables of an evaluation as Parquet, the comparison and roles as CSV, the verdict as JSON text."""
     from ..plans.evaluate import comparison
 
-    for name in ("episodes", "summary", "support", "calibration", "simultaneous"):
-        getattr(result, name).write.mode("overwrite").parquet(f"{root}/{name}")
-    comparison(result).write.mode("overwrite").option("header", True).csv(f"{root}/comparison")
-    roles.write.mode("overwrite").option("header", True).csv(f"{root}/roles")
-    text = json.dumps(json_safe({"verdict": result.verdict, "receipt": result.receipt}), sort_keys=True, indent=2, default=str)
-    roles.sparkSession.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{root}/verdict")
+    names = ("episodes", "summary", "support", "calibration", "simultaneous", "stress", "raw", "gaps", "samples", "shortcut", "runtime")
+    for name, df in ({n: getattr(result, n) for n in names} | dict(more or {})).items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    write_csv(comparison(result), f"{root}/comparison")
+    write_csv(roles, f"{root}/roles")
+    write_json(roles.sparkSession, {"verdict": result.verdict, "receipt": result.receipt}, f"{root}/verdict")
