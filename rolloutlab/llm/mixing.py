@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WORD, aside, cut, numbered
 
@@ -87,9 +88,10 @@ def permute(index: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray
     return at.astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def permuted(index: pd.Series, size: pd.Series, salt: pd.Series) -> pd.Series:
-    return pd.Series(permute(index.to_numpy(), size.to_numpy(), salt.to_numpy()))
+@F.pandas_udf(StructType([StructField("slot", LongType()), StructField("block", LongType())]))
+def dealt(place: pd.Series, slots: pd.Series, shard_salt: pd.Series, rank: pd.Series, blocks: pd.Series, source_salt: pd.Series) -> pd.DataFrame:
+    """The slot of a place in a shard and the block of a rank in a source: one call for both, so that a task needs one worker."""
+    return pd.DataFrame({"slot": permute(place.to_numpy(), slots.to_numpy(), shard_salt.to_numpy()), "block": permute(rank.to_numpy(), blocks.to_numpy(), source_salt.to_numpy())})
 
 
 class Mix:
@@ -141,10 +143,10 @@ class Mix:
                 .select("shard", "source_no", "shard_slots", (F.col("rank") + F.col("_n")).alias("rank"), (F.col("place") + F.col("_n")).alias("place")))
         rows = rows.join(self.sources.select("source_no", "blocks", "owed", "last"), "source_no")
         turn = F.expr("rank div blocks")
-        return rows.select(
-            "shard", permuted("place", "shard_slots", F.col("shard") * 2 + F.lit(1 + 2 * self.seed * 1_000_003)).alias("slot"), "source_no", turn.alias("pass"),
-            permuted(F.col("rank") % F.col("blocks"), "blocks", F.col("source_no") * 2_000_006 + turn * 2 + F.lit(2 * self.seed)).alias("block"),
-            F.when(F.col("rank") == F.col("owed") - 1, F.col("last")).otherwise(F.lit(self.block)).alias("room"))
+        both = dealt("place", "shard_slots", F.col("shard") * 2 + F.lit(1 + 2 * self.seed * 1_000_003), F.col("rank") % F.col("blocks"), "blocks",
+                     F.col("source_no") * 2_000_006 + turn * 2 + F.lit(2 * self.seed))
+        room = F.when(F.col("rank") == F.col("owed") - 1, F.col("last")).otherwise(F.lit(self.block))
+        return rows.select("shard", "source_no", turn.alias("pass"), room.alias("room"), both.alias("_d")).select("shard", F.col("_d.slot").alias("slot"), "source_no", "pass", F.col("_d.block").alias("block"), "room")
 
     def pieces(self) -> DataFrame:
         """One row per slot and document in it: the slot's columns, source_no, begin (the document), first and words (its words taken)."""
@@ -159,12 +161,32 @@ class Mix:
         return met.withColumn("words", F.least("_to", "room") - F.col("_from")).filter("words > 0").drop("_from", "_to", "room")
 
     def per_document(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken: one row per document, also those that the mix leaves out."""
-        taken = self.pieces().groupBy("source_no", "begin").agg(F.sum("words").alias("_taken"))
+        """doc_id, source, size, source_size, target, taken, first_shard, first_slot (where the mix first uses it): one row per document, also those that the mix leaves out."""
+        taken = self.pieces().groupBy("source_no", "begin").agg(F.sum("words").alias("_taken"), F.min(F.struct("shard", "slot")).alias("_at"))
         key = (F.col("s.source_no") == F.col("t.source_no")) & (F.col("s.begin") == F.col("t.begin")) & (F.col("s.size") > 0)
-        rows = self.stream.alias("s").join(taken.alias("t"), key, "left").select("s.*", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+        rows = self.stream.alias("s").join(taken.alias("t"), key, "left").select("s.*", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.col("_at.shard").alias("first_shard"), F.col("_at.slot").alias("first_slot"))
         return (rows.join(self.sources.drop("source", "blocks", "owed", "last"), "source_no")
-                .select("doc_id", "source", "size", "source_size", "target", "taken"))
+                .select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard", "first_slot"))
+
+    def packed(self, docs: DataFrame) -> DataFrame:
+        """The mix as it is written out: shard, slot (gapless from 0 in each shard), source, words and text, one row per block.
+
+        A block's words are joined by single spaces; the last block of a
+        source may be shorter than the others.
+        """
+        texts = docs.select("doc_id", "text", F.xxhash64("text", "source").alias("tag")).dropDuplicates(["doc_id", "tag"])
+        texts = texts.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+        pieces = self.pieces()
+        met = pieces.join(texts, pieces["doc_id"].eqNullSafe(texts["_id"]) & (pieces["tag"] == texts["_tag"]))
+
+        @F.pandas_udf("string")
+        def part(texts: pd.Series, first: pd.Series, words: pd.Series) -> pd.Series:
+            return pd.Series([" ".join(m[0] for m in islice(re.finditer(WORD, t), int(a), int(a + n))) for t, a, n in zip(texts, first, words)])
+
+        cut_out = met.select("shard", "slot", "source_no", "begin", "words", part("text", "first", "words").alias("_part"))
+        ordered = F.sort_array(F.collect_list(F.struct("begin", "_part")))  # a block has few pieces
+        blocks = cut_out.groupBy("shard", "slot", "source_no").agg(F.sum("words").alias("words"), F.array_join(F.transform(ordered, lambda x: x["_part"]), " ").alias("text"))
+        return blocks.join(self.sources.select("source_no", "source"), "source_no").select("shard", "slot", "source", "words", "text")
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The documents as the mix takes them, in the columns of ``docs``: one row per document and pass, n_chars renewed.
@@ -207,10 +229,18 @@ def taken_text(text: str, size: int, spans: Sequence[dict]) -> str:
 
 
 def mix_sizes(docs: DataFrame, **how) -> DataFrame:
+    """How much of each document the mix takes: one row per document, also of null and empty texts (size 0, none taken); repeated rows are documents of their own."""
     return Mix(docs, **how).per_document()
 
 
+def mix_blocks(docs: DataFrame, **how) -> DataFrame:
+    """The mix as packed blocks by output shard and slot; null and empty texts give none, an empty input no rows."""
+    return Mix(docs, **how).packed(docs)
+
+
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """The documents as the mix takes them, in their columns: one row per document and pass. Null and empty texts aren't taken; of repeated rows with one
+    doc_id, text and source any one's further columns stand for all; columns may have any names; empty input gives no rows."""
     return Mix(docs, **how).documents(docs)
 
 
