@@ -28,10 +28,14 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def action_number(action: Column) -> Column:
+    """0-based index of an action, null if it is unknown."""
+    return reduce(lambda c, i: c.when(action == ACTIONS[i], i), range(1, N), F.when(action == ACTIONS[0], 0))
+
+
 def action_index(action: Column) -> Column:
     """0-based index of an action; an unknown one raises."""
-    found = reduce(lambda c, i: c.when(action == ACTIONS[i], i), range(1, N), F.when(action == ACTIONS[0], 0))
-    return found.otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit("null")))))
+    return F.coalesce(action_number(action), F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit("null")))).cast("int"))
 
 
 def gather(values: Column, index: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import bellman
 from ..schema import ACTIONS, EPISODE, STEP, ContractError
+from ..sources.files import settled
 from .booster import BoostConfig, Booster
 from .learners import Features, action_numbers, fit_ridge, solve_ridge
 
@@ -171,8 +172,8 @@ def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, ta
                 values.append(cell)
             out = out.withColumn(f"q_{p}", F.array(*values))
             out = out.withColumn(f"v_{p}", sum((F.col(p)[a] * F.col(f"q_{p}")[a] for a in range(1, K)), F.col(p)[0] * F.col(f"q_{p}")[0]))
-        # one small row per episode; kept, so that no step recomputes the steps after it
-        ahead = out.select(EPISODE, *[F.col(f"v_{p}").alias(f"_n_{p}") for p in targets]).persist()
+        # one small row per episode, written, so that no step recomputes the steps after it
+        ahead = settled(out.select(EPISODE, *[F.col(f"v_{p}").alias(f"_n_{p}") for p in targets]))
         kept = out.select(*df.columns, *[f"{x}_{p}" for p in targets for x in ("q", "v")])
         done = kept if done is None else done.unionByName(kept)
     return done
@@ -197,6 +198,7 @@ def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target
         out = rows.join(means, on).select(*df.columns, "q")
         value = sum((F.col(target)[a] * F.coalesce(F.col("q")[a], F.lit(0.0)) for a in range(1, K)), F.col(target)[0] * F.coalesce(F.col("q")[0], F.lit(0.0)))
         out = out.withColumn("v", value)
-        ahead = out.select(EPISODE, F.col("v").alias("_next")).persist()
+        # one small row per episode, written: the plan of a step would otherwise hold those of all steps after it twice over
+        ahead = settled(out.select(EPISODE, F.col("v").alias("_next")))
         done = out if done is None else done.unionByName(out)
     return done

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import softmax
+from ..functions.expressions import blend, reranked, softmax
 from ..schema import ACTIONS
 from .learners import softmax_rows
 
@@ -85,6 +85,15 @@ def rerank(base: np.ndarray, values: np.ndarray, support: np.ndarray, temperatur
     return softmax_rows(scores)
 
 
+def improved(base: Column, values: Column, support: Column, variant: str, parameters: Mapping[str, float], scale: float, floor: float = 0.01, penalty: float = 0.0) -> Column:
+    """The improved policy as an expression: a base moved by action values and anchored to behaviour, by variant."""
+    if variant == "zero_shot":
+        return base
+    a = variant_parameters(variant, parameters)
+    moved = reranked(base, values, support, temperature=a["base_temperature"], advantage=a["advantage_weight"], anchor=a["support_weight"], scale=scale, floor=floor, penalty=penalty)
+    return blend(moved, support, BLENDS[variant]) if variant in BLENDS else moved
+
+
 @dataclass
 class Improved:
     """A base policy moved by distilled advantages and anchored to behaviour."""

@@ -31,7 +31,7 @@ def finite(c: Column) -> Column:
 
 def distribution_faults(p: Column) -> Column:
     """True unless p holds three finite probabilities that sum to 1 within 1e-8."""
-    parts = items(p)
+    parts = [F.get(p, F.lit(i)) for i in range(len(ACTIONS))]
     ok = F.coalesce(F.size(p) == len(ACTIONS), F.lit(False))
     for x in parts:
         ok = ok & finite(x) & F.coalesce(x >= 0, F.lit(False))
@@ -76,16 +76,20 @@ def validate_trajectory(df: DataFrame, horizon: int | None = None) -> DataFrame:
     return df
 
 
+def environment_checks(df: DataFrame) -> dict[str, Column]:
+    checks = trajectory_checks(df)
+    checks["outcome not finite or event not binary"] = PRIMARY.faults()
+    if "previous_action" in df.columns:
+        checks["first step not preceded by maintain"] = (F.col("_place") == 0) & ~F.coalesce(F.col("previous_action") == ACTIONS[0], F.lit(False))
+    return checks
+
+
 def validate_environment(df: DataFrame, observed: list[str] | tuple[str, ...]) -> DataFrame:
     """As validate_trajectory; outcomes must be finite, events binary, first steps preceded by ``maintain``, and policies see no outcome."""
     names = policy_columns(observed)
     if missing := sorted({*names, *OUTCOMES, *EVENTS, EPISODE, STEP, ACTION, "terminal"} - set(df.columns)):
         raise ContractError(f"columns are missing: {', '.join(missing)}")
-    checks = trajectory_checks(df)
-    checks["outcome not finite or event not binary"] = PRIMARY.faults()
-    if "previous_action" in df.columns:
-        checks["first step not preceded by maintain"] = (F.col("_place") == 0) & ~F.coalesce(F.col("previous_action") == ACTIONS[0], F.lit(False))
-    require(marked_trajectory(df), checks, "environment")
+    require(marked_trajectory(df), environment_checks(df), "environment")
     if any(c.startswith(POST_PREFIXES) for c in names):
         raise ContractError("a policy sees an outcome")
     return df

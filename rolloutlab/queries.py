@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .operators import diagnostics as D
+from .operators.digests import block_digest, line_digest
 from .operators import fqe as Q
 from .operators import gates as G
 from .operators import inference as I
@@ -82,6 +83,11 @@ def query(name: str, sql: str | None, places: int | None = 6) -> Callable[[Query
     return register
 
 
+def user() -> Column:
+    """The user number of an episode; faults are planted by it."""
+    return F.col(EPISODE).cast("long")
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_trajectories(spark, sf_dir)
 
@@ -146,9 +152,15 @@ def role_manifest(spark, sf_dir):
     return R.manifest(R.training_roles(steps(spark, sf_dir), 0.6, 41))
 
 
-@query("group_folds", f"WITH {TRAJ}, ids AS (SELECT patient_id, count(*) AS n FROM traj GROUP BY 1) SELECT patient_id, CAST((row_number() OVER (ORDER BY n DESC, patient_id) - 1) % 3 AS INTEGER) AS fold FROM ids")
+@query("group_folds", """WITH RECURSIVE ids AS (SELECT CAST(user_id AS VARCHAR) AS patient_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) AS r FROM events GROUP BY 1),
+g AS (SELECT 0::BIGINT AS r, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, -1 AS fold UNION ALL
+ SELECT i.r, CASE WHEN f = 0 THEN a + n ELSE a END, CASE WHEN f = 1 THEN b + n ELSE b END, CASE WHEN f = 2 THEN c + n ELSE c END, f
+ FROM (SELECT *, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM g) h JOIN ids i ON i.r = h.r + 1)
+SELECT patient_id, CAST(fold AS INTEGER) AS fold FROM g JOIN ids USING (r)""")
 def group_folds(spark, sf_dir):
-    return R.folds(steps(spark, sf_dir), 3)
+    """All events of every user: episodes of 45 to 99 steps."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias(EPISODE))
+    return R.folds(events, 3)
 
 
 @query("development_rows", f"WITH {ROLES_SQL} SELECT patient_id, time_step, action_no FROM traj SEMI JOIN (SELECT * FROM roles WHERE role = 'policy_development') USING (patient_id)")
@@ -165,9 +177,19 @@ def id_checksum(spark, sf_dir):
 
 @query("row_key_digest", f"WITH {TRAJ} SELECT sha256(string_agg('[\"' || patient_id || '\",' || time_step || ']' || chr(10), '' ORDER BY patient_id, time_step)) AS digest, count(*)::BIGINT AS rows FROM traj")
 def row_key_digest(spark, sf_dir):
-    line = F.concat(F.lit('["'), EPISODE, F.lit('",'), STEP, F.lit("]\n"))
-    ordered = F.array_sort(F.collect_list(F.struct(EPISODE, STEP, line.alias("line"))))
-    return steps(spark, sf_dir).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("digest"), F.count("*").alias("rows"))
+    return line_digest(steps(spark, sf_dir), [EPISODE, STEP], key_line(), "")
+
+
+def key_line() -> Column:
+    return F.concat(F.lit('["'), EPISODE, F.lit('",'), STEP, F.lit("]\n"))
+
+
+@query("row_key_blocks", f"""WITH {TRAJ}, n AS (SELECT patient_id, time_step, (row_number() OVER (ORDER BY patient_id, time_step) - 1) // 500 AS block FROM traj),
+b AS (SELECT block, count(*) AS n, sha256(string_agg('[\"' || patient_id || '\",' || time_step || ']' || chr(10), '' ORDER BY patient_id, time_step)) AS d FROM n GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY block)) AS digest, sum(n)::BIGINT AS rows FROM b""")
+def row_key_blocks(spark, sf_dir):
+    """The digest for tables of any size: of the digests of 500 lines each."""
+    return block_digest(steps(spark, sf_dir), [EPISODE, STEP], key_line(), 500)
 
 
 # ---- rewards and policies -----------------------------------------------------
@@ -335,10 +357,38 @@ def per_action_support(spark, sf_dir):
 # ---- fitted Q evaluation ----------------------------------------------------------
 
 
-@query("fqe_tabular", f"""WITH {TRAJ}, rows3 AS (SELECT *, CASE WHEN time_step = 2 THEN 1 ELSE 0 END AS t3 FROM traj WHERE time_step < 3), y2 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE 0 END AS y FROM rows3 r WHERE r.time_step = 2), c2 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y2 GROUP BY 1), s2 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y2 y JOIN c2 USING (previous_no)), y1 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE coalesce(n.v, 0) END AS y FROM rows3 r LEFT JOIN s2 n ON n.patient_id = r.patient_id WHERE r.time_step = 1), c1 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y1 GROUP BY 1), s1 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y1 y JOIN c1 USING (previous_no)), y0 AS (SELECT r.*, r.reward + CASE WHEN r.t3 = 1 THEN 0 ELSE coalesce(n.v, 0) END AS y FROM rows3 r LEFT JOIN s1 n ON n.patient_id = r.patient_id WHERE r.time_step = 0), c0 AS (SELECT previous_no, avg(CASE WHEN action_no = 0 THEN y END) AS q0, avg(CASE WHEN action_no = 1 THEN y END) AS q1, avg(CASE WHEN action_no = 2 THEN y END) AS q2 FROM y0 GROUP BY 1), s0 AS (SELECT y.patient_id, y.time_step, q0, q1, q2, p0*coalesce(q0,0) + p1*coalesce(q1,0) + p2*coalesce(q2,0) AS v FROM y0 y JOIN c0 USING (previous_no)) SELECT patient_id, time_step, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(v, 6) AS v FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)""")
+def tabular_sql(name: str, cells: str, horizon: int = HORIZON) -> str:
+    """The steps from the last to the first as tables of their own: Bellman targets y, cell means c, values s; then all values as ``name``."""
+    means = ", ".join(f"avg(CASE WHEN action_no = {a} THEN y END) AS q{a}" for a in range(3))
+    value = " + ".join(f"p{a} * coalesce(q{a}, 0)" for a in range(3))
+    parts = []
+    for t in range(horizon - 1, -1, -1):
+        ahead = f"LEFT JOIN {name}_s{t + 1} n ON n.patient_id = r.patient_id" if t < horizon - 1 else ""
+        follow = "CASE WHEN r.terminal = 1 THEN 0 ELSE coalesce(n.v, 0) END" if t < horizon - 1 else "0"
+        parts += [f"{name}_y{t} AS MATERIALIZED (SELECT r.*, r.reward + {follow} AS y FROM cells r {ahead} WHERE r.time_step = {t})",
+                  f"{name}_c{t} AS MATERIALIZED (SELECT {cells}, {means} FROM {name}_y{t} GROUP BY {cells})",
+                  f"{name}_s{t} AS MATERIALIZED (SELECT y.patient_id, y.time_step, q0, q1, q2, {value} AS v FROM {name}_y{t} y JOIN {name}_c{t} USING ({cells}))"]
+    return ",\n".join(parts) + f",\n{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}_s{t}" for t in range(horizon)) + ")"
+
+
+CELL_ROWS = f"WITH {TRAJ}, cells AS MATERIALIZED (SELECT *, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS band FROM traj)"
+
+
+@query("fqe_tabular", f"""{CELL_ROWS}, {tabular_sql("q", "previous_no")}
+SELECT patient_id, time_step, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(v, 6) AS v FROM q""")
 def fqe_tabular(spark, sf_dir):
-    rows = steps(spark, sf_dir).filter(F.col(STEP) < 3).withColumn("terminal", (F.col(STEP) == 2).cast("int"))
-    return Q.tabular(rows, ["previous_no"], "action_no", "reward", "target", 3).select(EPISODE, STEP, *split("q", "q"), "v")
+    return Q.tabular(steps(spark, sf_dir), ["previous_no"], "action_no", "reward", "target", HORIZON).select(EPISODE, STEP, *split("q", "q"), "v")
+
+
+@query("cell_sensitivity", f"""{CELL_ROWS}, {tabular_sql("a", "previous_no")}, {tabular_sql("b", "previous_no, band")}
+SELECT count(*)::BIGINT AS episodes, round(avg(a.v), 6) AS direct, round(avg(b.v), 6) AS direct_wide, round(avg(b.v - a.v), 6) AS mean_change, round(max(abs(b.v - a.v)), 6) AS max_change FROM a JOIN b USING (patient_id, time_step) WHERE time_step = 0""")
+def cell_sensitivity(spark, sf_dir):
+    """How the direct values change when the nuisance cells also tell low from high values."""
+    rows = steps(spark, sf_dir).withColumn("band", F.when(F.col("value") >= 50, 1).otherwise(0))
+    plain = Q.initial_values(Q.tabular(rows, ["previous_no"], "action_no", "reward", "target", HORIZON))
+    wide = Q.initial_values(Q.tabular(rows, ["previous_no", "band"], "action_no", "reward", "target", HORIZON)).withColumnRenamed("direct", "wide")
+    gap = F.col("wide") - F.col("direct")
+    return plain.join(wide, EPISODE).agg(F.count("*").alias("episodes"), F.avg("direct").alias("direct"), F.avg("wide").alias("direct_wide"), F.avg(gap).alias("mean_change"), F.max(F.abs(gap)).alias("max_change"))
 
 
 @query("fqe_ridge", None)
@@ -408,7 +458,7 @@ def action_marginal(spark, sf_dir):
 
 # ---- inference ------------------------------------------------------------------
 
-RESAMPLES = 60
+RESAMPLES = 200
 DRAWS_SQL = f"""ix AS (SELECT *, row_number() OVER (ORDER BY sha256(patient_id), patient_id) - 1 AS idx, count(*) OVER () AS n FROM episode),
 slots AS (SELECT b, slot, CAST(('0x' || substr(md5('41:' || b || ':' || slot), 1, 8)) AS BIGINT) % n AS idx FROM (SELECT unnest(range(0, {RESAMPLES})) AS b), (SELECT max(n) AS n, unnest(range(0, max(n))) AS slot FROM ix))"""
 
@@ -518,8 +568,11 @@ def controls(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import contract_queries, policy_queries, scoring_queries  # noqa: F401  these register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

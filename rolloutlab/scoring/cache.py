@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.validation import distribution_faults, require
 from ..schema import ACTIONS, ContractError
-from .prompts import choice_messages, parse_answer, request_key
+from .prompts import choice_messages, parse_answer, request_key, sha256
 
 RESPONSES = "key string, response string"
 PROBABILITIES = "key string, model_id string, prompt_sha256 string, probabilities struct<maintain: double, iv_fluids: double, escalate_vasopressor: double>"
@@ -38,19 +38,25 @@ def append_lines(cache: DataFrame | None, new: DataFrame, path: str) -> None:
     new.write.mode("append").json(path)
 
 
-def with_keys(df: DataFrame, columns: Sequence[str], model: str, note: str | None = None) -> DataFrame:
-    """Adds the request key of each row's prompt; batches on the executors."""
+def with_keys(df: DataFrame, columns: Sequence[str], model: str, note: str | None = None, required: bool = False, **settings) -> DataFrame:
+    """Adds ``key``, the request key of each row's prompt, ``prompt_sha256`` and ``prompt``, the last message; batches on the executors.
+
+    ``settings`` (revision, prompt version, tokens, decoding, fingerprint) are
+    part of the key. A missing note is fatal where one is ``required``.
+    """
     names = list(columns)
 
-    @F.pandas_udf("string")
-    def key(rows: pd.DataFrame) -> pd.Series:
+    @F.pandas_udf("struct<key: string, prompt_sha256: string, prompt: string>")
+    def key(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.to_dict("records"):
             state = {c: None if pd.isna(r[c]) else r[c].item() if isinstance(r[c], np.generic) else r[c] for c in names}
-            out.append(request_key(choice_messages(state, names, note=r.get(note) if note else None), model_id=model))
-        return pd.Series(out)
+            messages = choice_messages(state, names, note=r.get(note) if note else None, required=required)
+            out.append((request_key(messages, model_id=model, **settings), sha256(messages), messages[-1]["content"]))
+        return pd.DataFrame(out, columns=["key", "prompt_sha256", "prompt"])
 
-    return df.withColumn("key", key(F.struct(*names, *([note] if note else []))))
+    found = df.withColumn("_k", key(F.struct(*names, *([note] if note else []))))
+    return found.withColumns({c: F.col(f"_k.{c}") for c in ("key", "prompt_sha256", "prompt")}).drop("_k")
 
 
 def replay(keyed: DataFrame, cache: DataFrame, score: Callable[[Sequence[str]], np.ndarray] | None = None, batch: int = 8) -> DataFrame:
@@ -90,6 +96,6 @@ def parsed_answers(df: DataFrame, raw: str, fallback: Sequence[float] = (0.8, 0.
     return df.withColumn("_p", of(raw)).withColumns({"target": F.col("_p.target"), "fell_back": F.col("_p.fell_back")}).drop("_p")
 
 
-def runtime(df: DataFrame) -> DataFrame:
-    """One row: requests, fallbacks and their rate."""
-    return df.agg(F.count("*").alias("requests"), F.sum(F.col("fell_back").cast("long")).alias("fallbacks"), F.avg(F.col("fell_back").cast("double")).alias("fallback_rate"))
+def runtime(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, requests, fallbacks and their rate."""
+    return df.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum(F.col("fell_back").cast("long")).alias("fallbacks"), F.avg(F.col("fell_back").cast("double")).alias("fallback_rate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import uuid
 from collections.abc import Mapping
 
 import numpy as np
@@ -15,6 +16,19 @@ from pyspark.sql.types import StructType
 from ..schema import EPISODE, STEP, TRAJECTORY, ContractError, policy_columns
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once and read back: what follows plans from the files, and a lost executor costs a reread."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_trajectories(spark: SparkSession, path: str, schema: StructType = TRAJECTORY) -> DataFrame:
     """CSV with a header, under a declared schema; columns are matched by name."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
