@@ -16,6 +16,7 @@ import functools
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -142,8 +143,8 @@ def token_flags(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
-N_KINDS, N_TOKENS = len(KINDS), len(TOKENS)
-WIDTH = 2 * (N_KINDS + N_TOKENS) + 18
+N_KINDS, N_TOKENS, N_NUMBERS = len(KINDS), len(TOKENS), 24
+WIDTH = 2 * (N_KINDS + N_TOKENS) + N_NUMBERS
 
 
 def features(page: Page) -> np.ndarray:
@@ -157,6 +158,8 @@ def features(page: Page) -> np.ndarray:
     links = np.array(page.links, dtype=float)
     total, linked, marks, nodes = own.copy(), links.copy(), stops.copy(), np.ones(n)
     depth, children, place = np.zeros(n), np.zeros(n), np.zeros(n)
+    shapes = Counter((page.parents[i], page.tags[i], page.attributes[i]) for i in range(1, n))
+    alike, wide, most = np.ones(n), np.zeros(n), np.zeros(n)
     last: dict[int, int] = {}
     before, after = np.full(n, -1), np.full(n, -1)
     for i in range(1, n):
@@ -164,6 +167,8 @@ def features(page: Page) -> np.ndarray:
         depth[i] = depth[p] + 1
         place[i] = children[p]
         children[p] += 1
+        alike[i] = shapes[p, page.tags[i], page.attributes[i]]
+        wide[p] += page.tags[i] in ("div", "section", "li", "article", "dd")
         if p in last:
             before[i], after[last[p]] = last[p], i
         last[p] = i
@@ -179,6 +184,7 @@ def features(page: Page) -> np.ndarray:
         linked[p] += linked[i]
         marks[p] += marks[i]
         nodes[p] += nodes[i]
+        most[p] = max(most[p], total[i])
     parents = np.maximum(np.array(page.parents), 0)
     density = linked / np.maximum(total, 1)
     begin = np.concatenate([[0], np.cumsum(own)[:-1]])
@@ -187,8 +193,10 @@ def features(page: Page) -> np.ndarray:
         total / np.maximum(total[parents], 1), total / max(total[0], 1), begin / max(own.sum(), 1), np.log1p(nodes),
         np.where(before >= 0, np.log1p(total[before]), -1), np.where(before >= 0, density[before], -1),
         np.where(after >= 0, np.log1p(total[after]), -1), np.where(after >= 0, density[after], -1), density[parents],
+        # how many siblings look alike, what the parent is made of, and how the text is spread below and among the parent's
+        alike, alike[parents], wide[parents] / np.maximum(children[parents], 1), total / np.maximum(children, 1) / max(total[0], 1), most / np.maximum(total, 1), total / np.maximum(most[parents], 1),
     ])
-    out[:, -18:] = numbers
+    out[:, -N_NUMBERS:] = numbers
     return out
 
 
@@ -306,9 +314,20 @@ STYLES = {
 }
 
 
-def generated_page(rng: np.random.Generator) -> str:
-    """A page with labels in data-y attributes: 1 for main text, 0 for the rest."""
+LABEL = re.compile(r'\s*data-y="[01]"')
+#: Of the generated pages, the share whose names tell nothing.
+STRANGE = 0.4
+
+
+def generated_page(rng: np.random.Generator, strange: bool | None = None) -> str:
+    """A page with labels in data-y attributes: 1 for main text, 0 for the rest.
+
+    On a strange page containers have no telling tag, and a made-up class or
+    none: only the tree and the text tell what they are.
+    """
     letters = "etaoinshrdlucmfwyp"
+    strange = rng.random() < STRANGE if strange is None else strange
+    made_up: dict[str, str] = {}
 
     def words(low: int, high: int) -> str:
         ws = ["".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 10))) for _ in range(rng.integers(low, high + 1))]
@@ -316,6 +335,11 @@ def generated_page(rng: np.random.Generator) -> str:
         return " ".join(ws).capitalize() + "."
 
     def tag(style: str, inner: str, y: int) -> str:
+        if strange and style.split()[0] not in ("p", "li", "ul"):
+            if style not in made_up:
+                name = "".join(letters[k] for k in rng.integers(0, len(letters), 7))
+                made_up[style] = "div" if rng.random() < 0.4 else f"{'div' if rng.random() < 0.8 else 'section'} class={name}x"
+            style = made_up[style]
         name = style.split()[0]
         more = " " + style.split(" ", 1)[1].replace("=", '="') + '"' if " " in style else ""
         return f'<{name}{more} data-y="{y}">{inner}</{name}>'
@@ -342,8 +366,12 @@ def generated_page(rng: np.random.Generator) -> str:
         style = pick(kind)
         if kind in ("nav", "side") and rng.random() < 0.8:
             inner = links(int(rng.integers(3, 9)))
+            if rng.random() < 0.4:
+                inner = f'<h3 data-y="0">{words(1, 3)[:-1]}</h3>{inner}'
         elif kind == "comment":
-            inner = "".join(tag("div class=comment" if rng.random() < 0.6 else "li", tag("p", words(3, 40), 0), 0) for _ in range(rng.integers(1, 6)))
+            one = "div class=comment" if rng.random() < 0.6 else "li"
+            signed = rng.random() < 0.5
+            inner = "".join(tag(one, (tag("div class=meta", words(1, 2)[:-1], 0) if signed else "") + tag("p", words(3, 40), 0), 0) for _ in range(rng.integers(2 if strange else 1, 6)))
         elif kind == "form":
             inner = f"{words(1, 4)} <input name=q> <label>{words(1, 3)}</label>"
         elif kind == "footer":
@@ -369,6 +397,8 @@ def generated_page(rng: np.random.Generator) -> str:
             parts.append('<table data-y="1">' + "".join(f'<tr data-y="1"><td data-y="1">{words(1, 3)}</td><td data-y="1">{words(1, 3)}</td></tr>' for _ in range(3)) + "</table>")
         else:
             parts.append(boiler(str(rng.choice(["ad", "notice", "side", "form"]))))
+    if rng.random() < 0.25:
+        parts.append(boiler("comment"))
     body = tag(pick("main"), "".join(parts), 1)
     head = [boiler(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.5]
     tail = [boiler(k) for k in ("side", "ad", "comment", "form", "nav", "footer") if rng.random() < 0.5]
@@ -380,15 +410,16 @@ def generated_page(rng: np.random.Generator) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 400, seed: int = 41) -> Boosted:
+def trained(pages: int = 700, seed: int = 41) -> Boosted:
     """Trees fitted on ``pages`` generated pages."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
         page = parse(generated_page(rng))
         told = np.array(['data-y="' in a for a in page.attributes])
-        xs.append(features(page)[told])
         ys.append(np.array(['data-y="1"' in a for a in page.attributes])[told])
+        page.attributes = [LABEL.sub("", a) for a in page.attributes]  # what is learnt is no feature
+        xs.append(features(page)[told])
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 

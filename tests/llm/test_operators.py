@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rolloutlab.llm.embedding_dedup import near_vectors
 from rolloutlab.llm.fingerprints import fingerprint_documents
-from rolloutlab.llm.html_extraction import decode, extract, features, main_texts, parse, trained
+from rolloutlab.llm.html_extraction import assemble, decode, extract, features, generated_page, main_texts, parse, trained
 from rolloutlab.llm.language_id import ORDER, UNKNOWN, fit_model, identify
 from rolloutlab.llm.line_dedup import dedup_lines
 from rolloutlab.llm.mixing import draw_counts, mix_documents, mix_sizes, permute, target_sizes
@@ -475,6 +476,30 @@ def test_decoding_never_contradicts():
     assert features(page).shape[0] == len(page.tags)
 
 
+STRANGE = ('<html><body><div class="qzx"><div class="wrp"><h1>Headline of the day</h1>' + "".join(f"<p>{'A longer paragraph of text, with several words and commas, that goes on. ' * 3}</p>" for _ in range(4))
+           + '<div class="user-feedback">' + "".join(f'<div class="one"><div>Bob</div><p>Nice post number {i}, thanks!</p></div>' for i in range(4)) + "</div></div><div><h3>Latest</h3><ul>"
+           + "".join(f"<li><a href=x>Other story {i}</a></li>" for i in range(6)) + "</ul></div></div></body></html>")
+
+
+def test_html_without_telling_names():
+    lines = main_texts([STRANGE], trained())[0].split("\n")
+    assert lines[0] == "Headline of the day" and len(lines) == 5 and all(x.startswith("A longer paragraph") for x in lines[1:])
+
+
+@pytest.mark.parametrize("strange", [False, True])
+def test_html_on_held_out_pages(strange):
+    """Words of generated pages that the trees were not fitted on, with names they know and with made-up names or none."""
+    rng = np.random.default_rng(977)
+    right = wrong = missed = 0
+    for _ in range(120):
+        source = generated_page(rng, strange)
+        page = parse(source)
+        want = Counter(assemble(page, np.array(['data-y="1"' in a for a in page.attributes])).split())
+        got = Counter(main_texts([re.sub(r' data-y="[01]"', "", source)], trained())[0].split())
+        right, wrong, missed = right + (want & got).total(), wrong + (got - want).total(), missed + (want - got).total()
+    assert right / (right + wrong) >= 0.98 and right / (right + missed) >= 0.98
+
+
 def test_html_driver_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").filter("html like '%<article>%'").collect()
     import html
