@@ -94,6 +94,10 @@ def dealt(place: pd.Series, slots: pd.Series, shard_salt: pd.Series, rank: pd.Se
     return pd.DataFrame({"slot": permute(place.to_numpy(), slots.to_numpy(), shard_salt.to_numpy()), "block": permute(rank.to_numpy(), blocks.to_numpy(), source_salt.to_numpy())})
 
 
+#: Its block number is a join key: as a function that may not be repeated it runs once, and not again in a filter for nulls.
+dealt = dealt.asNondeterministic()
+
+
 class Mix:
     """The mix of ``docs`` (doc_id, text, source): weights repeat over the sources in code point order, null last.
 

@@ -284,6 +284,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         names = [word_hashes(t) for t in texts]
         return pd.DataFrame({"hash": [n for n, _ in names], "more": [m for _, m in names], "shingles": [shingle_set(t, width) for t in texts]})
 
+    shingled = shingled.asNondeterministic()  # hashes are join keys: without this a filter for nulls would shingle every text once more
     names = involved.select(F.col("least").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(names, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = texts.select(shingled("text").alias("_h")).select("_h.*").join(involved.select("hash", "more", "node"), ["hash", "more"])
