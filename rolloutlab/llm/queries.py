@@ -85,6 +85,16 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM near GROUP BY 1), deg A
 SELECT c.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM comp c LEFT JOIN deg USING (vec_id)"""
 
 
+#: Jump hashing as a recursion over the keys; CRC-32 by a table made from its polynomial.
+OP4_SQL = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), bits AS (SELECT n, n AS c, 0 AS k FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8), raw AS (SELECT doc_id, x, hex(encode(x)) AS h FROM d),
+sized AS (SELECT doc_id, CAST(length(h) // 2 + 8 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) AS text_crc32 FROM raw, crc),
+jump AS (SELECT DISTINCT doc_id, (coalesce(doc_id, -1)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key, -1::BIGINT AS shard, 0::BIGINT AS ahead FROM d UNION ALL
+ SELECT doc_id, k, ahead, CAST(floor((ahead + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(k // 8589934592 AS DOUBLE) + 1))) AS BIGINT) FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jump WHERE ahead < 24)),
+placed AS (SELECT s.*, j.shard, j.ahead FROM sized s JOIN jump j ON s.doc_id IS NOT DISTINCT FROM j.doc_id AND j.ahead >= 24)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY coalesce((doc_id % 1024 + 1024) % 1024, -1), doc_id, size, text_crc32) - 1 AS slot, CAST(CASE WHEN ahead = 24 THEN 24 ELSE shard END AS INTEGER) AS grown_shard FROM placed"""
+
+
 OP6_SQL = r"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+$', '')), lambda x: x <> '') AS ls FROM documents),
 w AS (SELECT doc_id, ls, list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS ws FROM d),
 p AS (SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS i FROM w),
@@ -97,5 +107,5 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) A
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that SQL can express: op6 by comparing the runs themselves, op8 all pairs of a label."""
-    return {"op6_line_dedup": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+    """SQL of the queries that SQL can express: op4 fully, op6 by comparing the runs themselves, op8 all pairs of a label."""
+    return {"op4_sharding": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_embedding_dedup": OP8_SQL}

@@ -8,6 +8,8 @@ table exists, and adding a shard moves only the rows that land in it
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ MULTIPLIER = "2862933555777941757"
 TWO_64 = "18446744073709551616"
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard of a long key among ``shards``; a null key counts as -1.
+def jumps(key: Column, shards: int) -> Column:
+    """struct<shard, next> of a long key among ``shards``: its shard, and where it would jump to as shards are appended; a null key counts as -1.
 
     The 64-bit generator wraps, which ANSI arithmetic refuses, so its state is
-    a decimal taken modulo 2^64. Every jump moves ahead by one shard at least:
-    ``shards`` rounds are enough.
+    a decimal taken modulo 2^64. A key makes about ln(shards) jumps; after
+    three times that and some more the rare rest goes on for as many rounds as
+    there are shards, which are enough, as every jump moves ahead by one.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -40,7 +43,19 @@ def jump_hash(key: Column, shards: int) -> Column:
         moved = F.struct(drawn.alias("key"), at["next"].alias("shard"), ahead.alias("next"))
         return F.when(at["next"] < shards, moved).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda at: at["shard"].cast("int"))
+    def ended(at: Column) -> Column:
+        return F.struct(at["shard"].cast("int").alias("shard"), at["next"].alias("next"))
+
+    few = min(shards, 20 + int(3 * math.log(shards)))
+    if few == shards:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, ended)
+    rest = lambda at: F.when(at["next"] >= shards, ended(at)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(shards)), at, jump, ended))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, jump, rest)
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The shard of a long key among ``shards``."""
+    return jumps(key, shards)["shard"]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,16 +73,25 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         (F.octet_length(data) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.encode(data, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_hash(F.col(key), shards).alias("shard"),
-        jump_hash(F.col(key), shards + 1).alias("grown_shard"),
+        jumps(F.col(key), shards).alias("_jump"),
     )
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLOT_BUCKETS)).cast("int")
+    # with one shard more a key moves only if its next jump lands right there
+    moved = F.when(F.col("_jump.next") == shards, F.lit(shards)).otherwise(F.col("_jump.shard"))
+    rows = rows.withColumns({"shard": F.col("_jump.shard"), "grown_shard": moved}).drop("_jump")
+    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SLOT_BUCKETS)).cast("int"), F.lit(-1))
     out = numbered(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot", bucket)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id") -> None:
-    """Write documents as Parquet, one folder per shard; files of a shard stay bounded in rows."""
+def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id", by: str = "shard") -> None:
+    """Write documents as Parquet, one folder ``by``=number per shard; files of a shard stay bounded in rows.
+
+    A column of the name ``by`` in the input raises: choose another. Rows
+    without a key share a shard, repeated rows stay rows; an empty input
+    writes no folder.
+    """
+    if by in docs.columns:
+        raise ValueError(f"the input has a column {by}; name the folders otherwise")
     salt = F.pmod(F.xxhash64(*docs.columns), F.lit(64))
-    (docs.withColumn("shard", jump_hash(F.col(key), shards)).repartition("shard", salt)
-     .write.option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path))
+    (docs.withColumn(by, jump_hash(F.col(key), shards)).repartition(F.col(by), salt)
+     .write.option("maxRecordsPerFile", 1_000_000).partitionBy(by).parquet(path))

@@ -18,7 +18,7 @@ from rolloutlab.llm.language_id import ORDER, UNKNOWN, fit_model, identify
 from rolloutlab.llm.line_dedup import dedup_lines
 from rolloutlab.llm.mixing import draw_counts, mix_documents, mix_sizes, permute, target_sizes
 from rolloutlab.llm.packing import encoder, pack_documents, piece_spans, plan, vocabulary_path
-from rolloutlab.llm.sharding import shard_documents
+from rolloutlab.llm.sharding import jump_hash, shard_documents, write_shards
 from rolloutlab.llm.simhash_dedup import keep_one_of_similar, linked_pairs, near_duplicates, similar_documents
 from rolloutlab.llm.toxicity import codes, drop_toxic, fit, score_documents, subsequence_kernel
 
@@ -70,6 +70,23 @@ def test_sharding(odd):
     assert shard_documents(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 2, 24, 1000])
+def test_jump_hash(spark, shards):
+    keys = [0, 1, -1, 2**63 - 1, -2**63, *range(100, 160)]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", jump_hash(F.col("k"), shards).alias("s")).collect()
+    assert [r.s for r in got] == [jump(k % 2**64, shards) for k in keys]
+
+
+def test_write_shards(spark, odd, tmp_path):
+    write_shards(odd, str(tmp_path / "out"), 5, by="part_of")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert all(r.part_of == jump((-1 if r.doc_id is None else r.doc_id) % 2**64, 5) for r in back.collect())
+    with pytest.raises(ValueError):
+        write_shards(odd, str(tmp_path / "clash"), 5)  # the input has a column of that name
+    write_shards(empty(odd), str(tmp_path / "none"), 5, by="part_of")
+
+
 def test_mixing_targets():
     assert target_sizes([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
     assert sum(target_sizes([5, 0, 100], [3, 1, 2], 157.5, 2)) == pytest.approx(157.5)
