@@ -379,13 +379,13 @@ class Scorer:
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: int = 41) -> Model:
-    """Learns from toxic and clean texts; with either kind missing every score is the share of toxic ones."""
+    """Learns from toxic and clean texts; with either kind missing, or nothing that tells them apart, every score is the share of toxic ones, a half at most."""
     rng = np.random.default_rng(seed)
     bad, good = [set(map(sys.intern, words_of(t))) for t in toxic], [set(map(sys.intern, words_of(t))) for t in clean]
     contrast = landmarks // 6
     told = telling_strings(bad, good, landmarks - contrast) if bad and good else []
     marks = [m for m, _ in told]
-    share = len(bad) / max(1, len(bad) + len(good))
+    share = min(len(bad) / max(1, len(bad) + len(good)), 0.5)
     if not marks:
         base = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return Model(Kernel([], np.zeros(0)), np.zeros((0, 0)), np.full(1, -1.0), np.array([0.0, 0.0, 0.0, 0.0, base]))
