@@ -145,12 +145,29 @@ def sums(df: DataFrame, features: str, action: str, targets: Sequence[str], widt
     return xx.reshape(size, size), xy.reshape(size, m), sx, sy, int(n[0])
 
 
-def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, targets: Sequence[str], horizon: int, gamma: float = 1.0, alpha: float = 5.0, width: int = 1) -> DataFrame:
+def ridge_values(df: DataFrame, features: str, targets: Sequence[str], w: np.ndarray, b: np.ndarray, width: int) -> DataFrame:
+    """Adds q_<target> and v_<target> by one step's weights (a column per target)."""
+    state = [F.col(features)[j] for j in range(width)]
+    for i, p in enumerate(targets):
+        values = []
+        for a in range(K):
+            cell = F.lit(float(b[i] + w[width + a, i]))
+            for j in range(width):
+                cell = cell + state[j] * float(w[j, i] + w[width + K + a * width + j, i])
+            values.append(cell)
+        df = df.withColumn(f"q_{p}", F.array(*values))
+        df = df.withColumn(f"v_{p}", sum((F.col(p)[a] * F.col(f"q_{p}")[a] for a in range(1, K)), F.col(p)[0] * F.col(f"q_{p}")[0]))
+    return df
+
+
+def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, targets: Sequence[str], horizon: int, gamma: float = 1.0, alpha: float = 5.0, width: int = 1,
+                      apply_to: DataFrame | None = None) -> DataFrame:
     """Adds q_<target> (three values) and v_<target> to every row, for all target policies at once.
 
     ``features`` is an array of ``width`` numbers, ``targets`` are columns of
     distributions. Per step: one join with the next step's values, one Gram
-    sum, one solve.
+    sum, one solve. With ``apply_to`` the fit's values go to the rows of that
+    table instead.
     """
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
@@ -161,29 +178,22 @@ def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, ta
             rows = rows.join(ahead, EPISODE, "left").withColumns({f"_n_{p}": F.coalesce(f"_n_{p}", F.lit(0.0)) for p in targets})
         rows = rows.withColumns({f"_y_{p}": bellman(F.col(reward), F.col("terminal"), F.col(f"_n_{p}"), gamma) for p in targets})
         w, b = solve_ridge(*sums(rows, features, action, [f"_y_{p}" for p in targets], width), alpha)
-        state = [F.col(features)[j] for j in range(width)]
-        out = rows
-        for i, p in enumerate(targets):
-            values = []
-            for a in range(K):
-                cell = F.lit(float(b[i] + w[width + a, i]))
-                for j in range(width):
-                    cell = cell + state[j] * float(w[j, i] + w[width + K + a * width + j, i])
-                values.append(cell)
-            out = out.withColumn(f"q_{p}", F.array(*values))
-            out = out.withColumn(f"v_{p}", sum((F.col(p)[a] * F.col(f"q_{p}")[a] for a in range(1, K)), F.col(p)[0] * F.col(f"q_{p}")[0]))
+        out = ridge_values(rows, features, targets, w, b, width)
         # one small row per episode, written, so that no step recomputes the steps after it
         ahead = settled(out.select(EPISODE, *[F.col(f"v_{p}").alias(f"_n_{p}") for p in targets]))
-        kept = out.select(*df.columns, *[f"{x}_{p}" for p in targets for x in ("q", "v")])
+        source = out if apply_to is None else ridge_values(stage_rows(apply_to, t), features, targets, w, b, width)
+        kept = source.select(*(df if apply_to is None else apply_to).columns, *[f"{x}_{p}" for p in targets for x in ("q", "v")])
         done = kept if done is None else done.unionByName(kept)
     return done
 
 
-def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target: str, horizon: int, gamma: float = 1.0) -> DataFrame:
+def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target: str, horizon: int, gamma: float = 1.0, apply_to: DataFrame | None = None) -> DataFrame:
     """Adds q (three values; null for an action never logged in the cell) and v: means of Bellman targets by step, cell and action.
 
     Per step one join with the next step's values and one aggregate; where the
-    cell never saw an action its value counts as 0 in v.
+    cell never saw an action its value counts as 0 in v. With ``apply_to`` the
+    fit's values go to the rows of that table instead; a cell that the fit
+    never saw has none.
     """
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
@@ -192,13 +202,17 @@ def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target
         y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
         means = rows.groupBy(*cell).agg(*[F.avg(F.when(F.col(action) == a, y)).alias(f"_q{a}") for a in range(K)])
         means = means.select(*[F.col(c).alias(f"_of_{c}") for c in cell], F.array(*[F.col(f"_q{a}") for a in range(K)]).alias("q"))
-        on = F.lit(True)
-        for c in cell:
-            on = on & rows[c].eqNullSafe(means[f"_of_{c}"])
-        out = rows.join(means, on).select(*df.columns, "q")
         value = sum((F.col(target)[a] * F.coalesce(F.col("q")[a], F.lit(0.0)) for a in range(1, K)), F.col(target)[0] * F.coalesce(F.col("q")[0], F.lit(0.0)))
-        out = out.withColumn("v", value)
+
+        def valued(to: DataFrame, columns: Sequence[str]) -> DataFrame:
+            on = F.lit(True)
+            for c in cell:
+                on = on & to[c].eqNullSafe(means[f"_of_{c}"])
+            return to.join(means, on, "left").select(*columns, "q").withColumn("v", F.coalesce(value, F.lit(0.0)))
+
+        out = valued(rows, df.columns)
         # one small row per episode, written: the plan of a step would otherwise hold those of all steps after it twice over
         ahead = settled(out.select(EPISODE, F.col("v").alias("_next")))
-        done = out if done is None else done.unionByName(out)
+        kept = out if apply_to is None else valued(stage_rows(apply_to, t), apply_to.columns)
+        done = kept if done is None else done.unionByName(kept)
     return done
