@@ -16,7 +16,8 @@ from .schema import ACTION, ACTIONS, EPISODE, STEP, ContractError, policy_column
 from .scoring.cache import read_lines
 from .scoring.prompts import MISSING_NOTE
 from .sources.events import HORIZON, action_name
-from .sources.files import file_digests, finite_or_null, read_columns, read_trajectories, scratch, write_csv, write_json
+from .sources.files import SECRETS, file_digests, finite_or_null, probability_digest, read_columns, read_trajectories, scratch, secret_kind, write_csv, write_json
+from .sources.synthetic import generate
 
 
 
@@ -282,6 +283,29 @@ def finite_numbers(spark, sf_dir):
     return finite_or_null(steps(spark, sf_dir).select(EPISODE, STEP, odd.alias("value")))
 
 
+@query("probability_digest", f"WITH {TRAJ} SELECT sha256(unhex(repeat('000000000000F03F' || repeat('0', 32), count(*)::BIGINT))) AS digest FROM traj")
+def probability_digests(spark, sf_dir):
+    """The digest of the little-endian doubles of a policy that always takes the first action."""
+    rows = steps(spark, sf_dir).select(EPISODE, STEP, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("p"))
+    return spark.createDataFrame([(probability_digest(rows, "p"),)], "digest string")
+
+
+@query("secret_scan", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in SECRETS.items()) + " END AS kind FROM documents")
+def secret_scan(spark, sf_dir):
+    """Documents that seem to hold a credential."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", secret_kind(F.col("text")).alias("kind"))
+
+
+@query("example_splits", "SELECT * FROM (VALUES ('train', 180::BIGINT, 60::BIGINT, true), ('validation', 72, 24, true), ('test', 36, 12, false)) t(split, rows, episodes, has_outcomes)")
+def example_splits(spark, sf_dir):
+    """The generated example: rows and episodes of each split; the last has no outcomes."""
+    out = None
+    for name, df in generate(spark, 41).items():
+        part = df.agg(F.lit(name).alias("split"), F.count("*").alias("rows"), F.countDistinct(EPISODE).alias("episodes"), F.lit("next_6h_map_delta" in df.columns).alias("has_outcomes"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- permutations ----------------------------------------------------------------
 
 

@@ -16,6 +16,28 @@ from pyspark.sql.types import StructType
 from ..schema import EPISODE, STEP, TRAJECTORY, ContractError, policy_columns
 
 
+# Shapes of common credentials, files that may be released, and their largest size.
+SECRETS = {"private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "repository token": r"\b(?:ghp_|github_pat_)[A-Za-z0-9_]{20,}", "cloud key": r"\bAKIA[A-Z0-9]{16}\b", "service key": r"\bsk-[A-Za-z0-9_-]{24,}"}
+SUFFIXES = ("py", "md", "toml", "json", "csv")
+LARGEST = 500_000
+
+
+def secret_kind(text: Column) -> Column:
+    """The kind of credential that a text seems to hold, null if none; the first of several."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(SECRETS.items()):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def release_faults(spark: SparkSession, path: str) -> DataFrame:
+    """path and fault of every file under a folder that may not be released: another kind of file, a large one, or one that seems to hold a credential."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
+    fault = F.when(~suffix.isin(*SUFFIXES), "kind of file").when(F.col("length") > LARGEST, "size").otherwise(secret_kind(F.decode("content", "ISO-8859-1")))
+    return files.select("path", fault.alias("fault")).filter("fault is not null")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rolloutlab.functions import expressions as X
 from rolloutlab.operators import inference as I
 from rolloutlab.operators import support as U
 from rolloutlab.operators.booster import BoostConfig, Booster
@@ -15,13 +16,16 @@ from rolloutlab.operators.digests import block_digest, line_digest
 from rolloutlab.operators.features import fitted_features, ridge_columns
 from rolloutlab.operators.fqe import FittedQ
 from rolloutlab.operators.learners import Features, Propensity, SupportAdapter, fit_checksum, fit_ridge, group_folds
+from rolloutlab.operators.policies import Analytic, Constant
 from rolloutlab.operators.quantiles import exact_quantiles
 from rolloutlab.plans import evaluate as E
 from rolloutlab.plans import observations as O
 from rolloutlab.plans import roles as R
 from rolloutlab.plans import validation as V
 from rolloutlab.plans.example import CONFIG, run_example
-from rolloutlab.schema import EPISODE, OBSERVED, STEP, ContractError
+from rolloutlab.plans.scaled import evaluate_scaled
+from rolloutlab.schema import ACTION, EPISODE, OBSERVED, STEP, ContractError
+from rolloutlab.sources.files import release_faults
 from rolloutlab.sources.synthetic import generate
 
 
@@ -247,6 +251,50 @@ def test_settings_of_a_configuration(spark, tmp_path):
             E.settings_of(bad)
 
 
+def test_release_faults(spark, tmp_path):
+    for name, text in (("a.md", "fine"), ("b.py", "key = 'AKIA" + "A" * 16 + "'"), ("c.bin", "x"), ("d.csv", "y" * 500_001), ("sub/e.json", "-----BEGIN RSA PRIVATE KEY-----"), ("f.toml", "sk-" + "b" * 30)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: r.fault for r in release_faults(spark, str(tmp_path)).collect()}
+    assert got == {"b.py": "cloud key", "c.bin": "kind of file", "d.csv": "size", "e.json": "private key", "f.toml": "service key"}
+
+
+def test_scaled_evaluation(spark, made):
+    """The ridge path fits and estimates like the local one: its values are those of ridge weights fitted by hand on the same rows."""
+    rows = made["train"].withColumns({"action_no": X.action_number(F.col(ACTION)), "reward": X.PRIMARY.total(), "behavior": F.array(*[F.lit(1 / 3)] * 3)})
+    valid = made["validation"].withColumns({"action_no": X.action_number(F.col(ACTION)), "reward": X.PRIMARY.total(), "behavior": F.array(*[F.lit(1 / 3)] * 3)})
+    policies = {"always_maintain": Constant().column(), "llm_zero_shot": Analytic().column()}
+    found = evaluate_scaled(rows, valid, policies, "ridge", 3, features=[F.col("map_mm_hg") / 100, F.col("lactate_mmol_l")], resamples=50, blocks=4)
+    frame, other = rows.toPandas(), valid.toPandas()
+    values = {}
+    p = Analytic().predict(frame)
+    ahead = {}
+    for t in (2, 1, 0):
+        on = (frame[STEP] == t).to_numpy()
+        part, state = frame[on], np.column_stack([frame["map_mm_hg"][on] / 100, frame["lactate_mmol_l"][on]])
+
+        def design(state, action):
+            hot = np.eye(3)[action]
+            return np.column_stack([state, hot, *[state * hot[:, a: a + 1] for a in range(3)]])
+
+        y = part["reward"].to_numpy() + np.array([0.0 if t == 2 else ahead[e] for e in part[EPISODE]])
+        w, b = fit_ridge(design(state, part["action_no"].to_numpy()), y, 5.0)
+        q = np.column_stack([design(state, np.full(len(part), a)) @ w + b for a in range(3)])
+        ahead = dict(zip(part[EPISODE], (p[on] * q).sum(axis=1)))
+        if t == 0:
+            first = other[other[STEP] == 0]
+            state = np.column_stack([first["map_mm_hg"] / 100, first["lactate_mmol_l"]])
+            q = np.column_stack([design(state, np.full(len(first), a)) @ w + b for a in range(3)])
+            values = dict(zip(first[EPISODE], (Analytic().predict(first) * q).sum(axis=1)))
+    got = {r[EPISODE]: r.direct for r in found.episodes.filter("policy = 'llm_zero_shot'").collect()}
+    assert got == pytest.approx(values, abs=1e-9)
+    summary = {(r.policy, r.estimator): r for r in found.summary.collect()}
+    assert len(summary) == 4 and all(r.low <= r.mean <= r.high and r.per_decision == pytest.approx(r["mean"] / 3) for r in summary.values())
+    assert {r.policy: r.ess for r in found.support.collect()}["always_maintain"] == 0
+    with pytest.raises(ContractError):
+        evaluate_scaled(rows, valid, policies, "trees", 3)
+
+
 def test_configured_run(spark, tmp_path):
     root = str(tmp_path / "out")
     verdict = run_example(spark, root)
