@@ -19,6 +19,7 @@ from .plans import roles as R
 from .plans import validation as V
 from .scoring.prompts import note_faults
 from .schema import ACTION, ACTIONS, EPISODE, STEP
+from .sources.files import settled
 from .sources.events import HORIZON, action_name, event_trajectories, smoothed_behavior
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,11 +392,30 @@ def cell_sensitivity(spark, sf_dir):
     return plain.join(wide, EPISODE).agg(F.count("*").alias("episodes"), F.avg("direct").alias("direct"), F.avg("wide").alias("direct_wide"), F.avg(gap).alias("mean_change"), F.max(F.abs(gap)).alias("max_change"))
 
 
-@query("fqe_ridge", None)
+def ridge_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
+    """The steps from the last to the first: Bellman targets y, centred products g and c, seven rounds of elimination m, weights w, values v."""
+    parts = ["""rr AS MATERIALIZED (SELECT patient_id, time_step, reward, terminal, p0, p1, p2, b0, b1, b2, value / 100 AS x,
+ list_concat([value / 100], [CASE WHEN action_no = a THEN 1.0 ELSE 0.0 END::DOUBLE FOR a IN [0, 1, 2]], [CASE WHEN action_no = a THEN value / 100 ELSE 0.0 END FOR a IN [0, 1, 2]]) AS f FROM prop)"""]
+    for t in range(horizon - 1, -1, -1):
+        ahead = f"LEFT JOIN v{t + 1} n ON n.patient_id = r.patient_id" if t < horizon - 1 else ""
+        follow = {k: f"CASE WHEN r.terminal = 1 THEN 0 ELSE coalesce(n.v{k}, 0) END" if t < horizon - 1 else "0" for k in "tb"}
+        parts.append(f"y{t} AS MATERIALIZED (SELECT r.*, r.reward + {follow['t']} AS yt, r.reward + {follow['b']} AS yb FROM rr r {ahead} WHERE r.time_step = {t})")
+        parts.append(f"g{t} AS MATERIALIZED (SELECT i, j, sum(f[i] * f[j]) - count(*) * avg(f[i]) * avg(f[j]) + CASE WHEN i = j THEN {alpha} ELSE 0 END AS a FROM y{t}, range(1, 8) q(i), range(1, 8) s(j) GROUP BY i, j)")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT i, sum(f[i] * yt) - count(*) * avg(f[i]) * avg(yt) AS ct, sum(f[i] * yb) - count(*) * avg(f[i]) * avg(yb) AS cb, avg(f[i]) AS m, avg(yt) AS mt, avg(yb) AS mb FROM y{t}, range(1, 8) q(i) GROUP BY i)")
+        parts.append(f"m{t}_0 AS MATERIALIZED (SELECT i, list_concat(list(a ORDER BY j), [max(ct), max(cb)]) AS r FROM g{t} JOIN c{t} USING (i) GROUP BY i)")
+        parts += [f"m{t}_{k} AS MATERIALIZED (SELECT m.i, CASE WHEN m.i = {k} THEN [x / p.r[{k}] FOR x IN p.r] ELSE [m.r[j] - m.r[{k}] / p.r[{k}] * p.r[j] FOR j IN range(1, 10)] END AS r FROM m{t}_{k - 1} m, (SELECT r FROM m{t}_{k - 1} WHERE i = {k}) p)" for k in range(1, 8)]
+        parts.append(f"w{t} AS MATERIALIZED (SELECT list(r[8] ORDER BY i) AS wt, list(r[9] ORDER BY i) AS wb, max(mt) - sum(m * r[8]) AS bt, max(mb) - sum(m * r[9]) AS bb FROM m{t}_7 JOIN c{t} USING (i))")
+        value = {k: " + ".join(f"{k if k == 'b' else 'p'}{a} * (b{k} + w{k}[1] * x + w{k}[{2 + a}] + w{k}[{5 + a}] * x)" for a in range(3)) for k in "tb"}
+        parts.append(f"v{t} AS MATERIALIZED (SELECT patient_id, time_step, {value['t']} AS vt, {value['b']} AS vb FROM y{t}, w{t})")
+    every = " UNION ALL ".join(f"SELECT * FROM v{t}" for t in range(horizon))
+    return f"WITH {PROP}, " + ",\n".join(parts) + f" SELECT time_step, count(*)::BIGINT AS rows, round(avg(vt), 6) AS v_target, round(avg(vb), 6) AS v_behavior FROM ({every}) GROUP BY 1"
+
+
+@query("fqe_ridge", ridge_sql())
 def fqe_ridge(spark, sf_dir):
-    """Distributed ridge over state, action and their products; its test solves the same system by hand."""
-    rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100)).persist()
-    out = Q.distributed_ridge(rows, "features", "action_no", "reward", ["target", "behavior"], HORIZON)
+    """Distributed ridge over state, action and their products, for two policies at once."""
+    rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100))
+    out = Q.distributed_ridge(settled(rows), "features", "action_no", "reward", ["target", "behavior"], HORIZON)
     return out.groupBy(STEP).agg(F.count("*").alias("rows"), F.avg("v_target").alias("v_target"), F.avg("v_behavior").alias("v_behavior"))
 
 
