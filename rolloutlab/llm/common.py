@@ -86,46 +86,55 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             .drop("_local", "_base", "_bucket", *[f"_r_{k}" for k in ks]))
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], size: str, total: int, by: Sequence[str], ways: int = 64, most: int = 1000) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], size: str, total: int, by: Sequence[str], ways: int = 64, most: int = 1000, least: int = 1000) -> DataFrame:
     """Inner join of many rows with few that have one row per key, so that no key meets in one task.
 
     ``size`` of few says how many rows of ``many`` have the key, ``total`` about
     how many there are. Keys with over ``total / most`` rows, of which there are
-    fewer than ``most``, are dealt by ``by`` over ``ways`` tasks; only these
-    keys are broadcast. Null keys meet nothing.
+    fewer than ``most``, are dealt by ``by`` over ``ways`` tasks, if they have
+    over ``least`` rows; only these keys are broadcast. Null keys meet nothing.
     """
-    bar = max(1000, total // most)
+    bar = max(least, total // most)
     hot = F.broadcast(few.filter(F.col(size) > bar).select(*keys, F.lit(True).alias("_hot")))
     left = many.join(hot, list(keys), "left").withColumn("_way", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(ways)).cast("int")).otherwise(0)).drop("_hot")
     right = few.withColumn("_way", F.explode(F.when(F.col(size) > bar, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_way"]).drop("_way")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: From so many edges on, the edges of a hub are dealt over many tasks.
+SPREAD_FROM = 5_000_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, spread_from: int = SPREAD_FROM) -> DataFrame:
     """Connected components of long edges (u, v): rows (node, component), component the smallest node reached.
 
     Alternating large-star and small-star steps; each is an aggregate of minima
-    and a join, so a hub costs no more than its edges. Nodes without edges do
-    not occur. Every round is a written table; it ends when a round changes
-    nothing.
+    and a join, so a hub costs no more than its edges, and with many edges
+    these meet in many tasks. Nodes without edges do not occur. Every round is
+    a written table; it ends when a round changes nothing.
     """
+    def meet(some: DataFrame, n: int) -> DataFrame:
+        """The edges with m, the smallest neighbour of u."""
+        low = some.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        if n < spread_from:
+            return some.join(low.drop("_n"), "u")
+        return spread_join(some, cut(low), ["u"], "_n", n, ["v"], least=min(1000, n // 10)).drop("_n")
+
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, n = None, e.count()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = meet(both, 2 * n).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u")
+        linked = meet(large, n)
         small = (linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+                 .unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).filter("u <> v").distinct())
         e = cut(small)
         now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("decimal(20,0)")).alias("h"),
                     F.sum(F.xxhash64("v", "u").cast("decimal(30,0)")).alias("g")).first()
         if now == state:
             break
-        state = now
+        state, n = now, now["n"]
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -234,7 +234,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, sequence: int = SEQ
     """Packs whole documents: one row per piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end token alone. Only documents longer than a
-    sequence are cut. Repeated rows and rows without doc_id are packed each on
+    sequence are cut. Of more than 60,000 patterns of three lengths an even
+    share is fitted; what they leave is packed best fit, no piece is left out. Repeated rows and rows without doc_id are packed each on
     its own. Empty input gives no rows; extra columns are left out.
     """
     pieces = cut(tokenize(docs, path or vocabulary_path(), sequence, end, with_ids))

@@ -485,7 +485,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """The documents that score below ``threshold``, in their columns."""
+    """The documents that score below ``threshold``, in their columns, whatever their names.
+
+    Null and empty texts score like a text without telling words; repeated
+    rows share a fate; without labels of both kinds all documents stay. Empty
+    input gives no rows.
+    """
     order = docs.columns
     plain, names = aside(docs, ("doc_id", "text"))
     held = scores(plain, learn(docs, labels, **how), plain.columns).filter(F.col("score") < threshold).drop("score")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolloutlab.llm.common import cut
+from rolloutlab.llm.common import components, cut
 from rolloutlab.llm.embedding_dedup import APART, CANDIDATES, compared, near_vectors, orders, pivot_count, roots, thinned, unit_rows
 from rolloutlab.llm.fingerprints import LONGEST, fingerprint_documents, within
 from rolloutlab.llm.language_id import BOUNDARY, ORDER, fit_model
@@ -267,6 +267,30 @@ def test_orders_and_roots():
     assert roots(6, np.array([1, 2, 4]), np.array([0, 1, 5])).tolist() == [0, 0, 0, 3, 4, 4]
 
 
+# ---- components ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("spread_from", [0, 10**9])
+def test_components_of_a_hub_and_chains(spark, spread_from):
+    rng = np.random.default_rng(5)
+    links = [(5000, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(1020, 399), (2000, 2001), (2001, 2000), (2002, 2002)]
+    links += [(int(a), int(b)) for a, b in rng.integers(3000, 3100, (60, 2))]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), spread_from=spread_from).collect()}
+    assert got == {i: find(i) for i in root}
+
+
 # ---- the pipeline on odd tables ---------------------------------------------------------------------
 
 
