@@ -378,14 +378,14 @@ CELL_ROWS = f"WITH {TRAJ}, cells AS MATERIALIZED (SELECT *, CASE WHEN value >= 5
 @query("fqe_tabular", f"""{CELL_ROWS}, {tabular_sql("q", "previous_no")}
 SELECT patient_id, time_step, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(v, 6) AS v FROM q""")
 def fqe_tabular(spark, sf_dir):
-    return Q.tabular(steps(spark, sf_dir), ["previous_no"], "action_no", "reward", "target", HORIZON).select(EPISODE, STEP, *split("q", "q"), "v")
+    return Q.tabular(settled(steps(spark, sf_dir)), ["previous_no"], "action_no", "reward", "target", HORIZON).select(EPISODE, STEP, *split("q", "q"), "v")
 
 
 @query("cell_sensitivity", f"""{CELL_ROWS}, {tabular_sql("a", "previous_no")}, {tabular_sql("b", "previous_no, band")}
 SELECT count(*)::BIGINT AS episodes, round(avg(a.v), 6) AS direct, round(avg(b.v), 6) AS direct_wide, round(avg(b.v - a.v), 6) AS mean_change, round(max(abs(b.v - a.v)), 6) AS max_change FROM a JOIN b USING (patient_id, time_step) WHERE time_step = 0""")
 def cell_sensitivity(spark, sf_dir):
     """How the direct values change when the nuisance cells also tell low from high values."""
-    rows = steps(spark, sf_dir).withColumn("band", F.when(F.col("value") >= 50, 1).otherwise(0))
+    rows = settled(steps(spark, sf_dir).withColumn("band", F.when(F.col("value") >= 50, 1).otherwise(0)))
     plain = Q.initial_values(Q.tabular(rows, ["previous_no"], "action_no", "reward", "target", HORIZON))
     wide = Q.initial_values(Q.tabular(rows, ["previous_no", "band"], "action_no", "reward", "target", HORIZON)).withColumnRenamed("direct", "wide")
     gap = F.col("wide") - F.col("direct")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -39,8 +41,11 @@ def release_faults(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: under spark.checkpoint.dir; where that is unset, under the temporary folder in local mode and the warehouse elsewhere."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        root = tempfile.gettempdir() if alone else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
