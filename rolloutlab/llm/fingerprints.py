@@ -22,8 +22,10 @@ from .common import SPACE, cut
 LONGEST = 12
 #: Fills the place of a null doc_id in comparisons that tell null ones apart first.
 NO_ID = -(1 << 63)
-#: Documents that the ranges are balanced on.
-SAMPLED = 20_000
+#: Documents that the ranges are balanced on, at least so many a range.
+SAMPLED, SAMPLED_A_RANGE = 20_000, 20
+#: Documents a task, ranges a task, and the most tasks that this asks for: the cuts between ranges are part of the plan.
+DOCS_A_TASK, RANGES_A_TASK, MOST_TASKS = 20_000, 4, 10_000
 KEY = ["doc_id", "tag"]
 #: Bit offsets of the six blocks and the end.
 BLOCKS = (0, 11, 22, 33, 43, 54, 64)
@@ -78,12 +80,13 @@ def within(fps: DataFrame, asked: DataFrame, radius: int = 3) -> DataFrame:
 def bounds(ids: DataFrame, parts: int) -> list[tuple]:
     """Up to parts - 1 pairs (doc_id, tag), in order, that cut the distinct documents into about equal ranges.
 
-    They come from a sample of about SAMPLED documents by hash, whatever their
-    number: only the balance of the ranges hangs on it, no result does.
+    They come from a sample of documents by hash, about SAMPLED_A_RANGE a range
+    and SAMPLED at least: only the balance of the ranges hangs on it, no result
+    does. The sample is bounded by the number of tasks.
     """
-    n = ids.count()
-    drawn = F.pmod(F.xxhash64("doc_id", "tag", F.lit(7)), F.lit(1_000_003)) * max(n, 1) < F.lit(1_000_003 * SAMPLED)
-    found = [tuple(r) for r in ids.filter(drawn).select(*KEY).limit(4 * SAMPLED).collect()]
+    n, most = ids.count(), max(SAMPLED, SAMPLED_A_RANGE * parts)
+    drawn = F.pmod(F.xxhash64("doc_id", "tag", F.lit(7)), F.lit(1_000_003)) * max(n, 1) < F.lit(1_000_003 * most)
+    found = [tuple(r) for r in ids.filter(drawn).select(*KEY).limit(4 * most).collect()]
     found.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     step = max(1, len(found) // parts)
     return found[step::step][: parts - 1]
@@ -108,17 +111,19 @@ def with_successors(docs: DataFrame, ids: DataFrame) -> DataFrame:
     its like and the last by the next document. ``ids`` are the distinct
     documents. Whole texts travel once, to the task of their range, and look
     ahead one row there; the first document of a range goes to the range
-    before too, where it stands behind the last one.
+    before too, where it stands behind the last one. There are as many tasks
+    as their number asks for, DOCS_A_TASK each up to MOST_TASKS, and several
+    ranges a task.
     """
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = range_of(bounds(ids, parts))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-ids.count() // DOCS_A_TASK)))
+    part = range_of(bounds(ids, RANGES_A_TASK * parts))
     first = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), *KEY)).alias("_f"))
     heads = sorted((r["part"], r["_f"]["doc_id"], r["_f"]["tag"]) for r in first.collect())  # one row per range
     before = F.from_json(F.lit(json.dumps({f"{i}:{tag}": heads[k - 1][0] for k, (_, i, tag) in enumerate(heads)})), "map<string,int>")
     lead = before[F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.col("tag").cast("string"))]
     here = F.struct(F.lit(False).alias("behind"), part.alias("part"))
     places = F.when(lead.isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.lit(True).alias("behind"), lead.alias("part"))))
-    placed = docs.select("doc_id", "tag", "text", F.explode(places).alias("_p")).select("doc_id", "tag", "text", "_p.*")
+    placed = docs.select("doc_id", "tag", "text", F.explode(places).alias("_p")).select("doc_id", "tag", "text", "_p.*").repartition(parts, "part")
     w = Window.partitionBy("part").orderBy("behind", F.asc_nulls_first("doc_id"), "tag")
     ahead = placed.withColumns({"next_id": F.lead("doc_id").over(w), "next_tag": F.lead("tag").over(w), "next_text": F.lead("text").over(w)})
     return ahead.filter("not behind").drop("behind", "part")
