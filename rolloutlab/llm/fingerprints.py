@@ -119,8 +119,11 @@ def with_successors(docs: DataFrame, ids: DataFrame) -> DataFrame:
     part = range_of(bounds(ids, RANGES_A_TASK * parts))
     first = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), *KEY)).alias("_f"))
     heads = sorted((r["part"], r["_f"]["doc_id"], r["_f"]["tag"]) for r in first.collect())  # one row per range
-    before = F.from_json(F.lit(json.dumps({f"{i}:{tag}": heads[k - 1][0] for k, (_, i, tag) in enumerate(heads)})), "map<string,int>")
-    lead = before[F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.col("tag").cast("string"))]
+    known = dict.fromkeys(range(heads[-1][0] + 1 if heads else 0))
+    known |= {p: {"known": i is not None, "id": NO_ID if i is None else i, "tag": tag, "before": heads[k - 1][0]} for k, (p, i, tag) in enumerate(heads)}
+    head = F.get(F.from_json(F.lit(json.dumps(list(known.values()))), "array<struct<known: boolean, id: bigint, tag: bigint, before: int>>"), part)
+    number = F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long"))
+    lead = F.when((head["known"] == F.col("doc_id").isNotNull()) & (head["id"] == number) & (head["tag"] == F.col("tag")), head["before"])
     here = F.struct(F.lit(False).alias("behind"), part.alias("part"))
     places = F.when(lead.isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.lit(True).alias("behind"), lead.alias("part"))))
     placed = docs.select("doc_id", "tag", "text", F.explode(places).alias("_p")).select("doc_id", "tag", "text", "_p.*").repartition(parts, "part")
