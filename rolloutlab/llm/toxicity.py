@@ -230,22 +230,26 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int, str
     against: dict[str, float] = {}
     known: set[str] | None = None
     for n in range(ORDER, LONGEST_LANDMARK + 1):
-        holds = {w: found for w in where if (found := parts(w, n, known))}
         counts: Counter[str] = Counter()
         pairs: Counter[str] = Counter()
         for words in grouped.values():
-            own = Counter(p for w in words if w in holds for p in holds[w])
-            counts.update(own.keys())
-            if n >= DENSE:
+            if n < DENSE:
+                counts.update(set().union(*[parts(w, n, known) for w in words]))
+            else:
+                own = Counter(p for w in words for p in parts(w, n, known))
+                counts.update(own.keys())
                 pairs.update(p for p, k in own.items() if k > 1)
         known = {p for p, k in counts.items() if k >= least}
         if not known:
             break
-        hit = {w: found for w in held if (found := parts(w, n, None) & known)}
         once: Counter[str] = Counter()
-        for w, found in hit.items():
-            for p in found:
-                once[p] += held[w]
+        hit: dict[str, set[str]] = {}
+        for w, k in held.items():
+            if found := parts(w, n, None) & known:
+                for p in found:
+                    once[p] += k
+                if n >= DENSE:
+                    hit[w] = found
         more: Counter[str] = Counter()
         if n >= DENSE:
             for d in clean:
