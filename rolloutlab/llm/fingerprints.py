@@ -88,8 +88,7 @@ def bounds(ids: DataFrame, parts: int) -> list[tuple]:
     drawn = F.pmod(F.xxhash64("doc_id", "tag", F.lit(7)), F.lit(1_000_003)) * max(n, 1) < F.lit(1_000_003 * most)
     found = [tuple(r) for r in ids.filter(drawn).select(*KEY).limit(4 * most).collect()]
     found.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    step = max(1, len(found) // parts)
-    return found[step::step][: parts - 1]
+    return list(dict.fromkeys(found[len(found) * k // parts] for k in range(1, parts))) if found else []
 
 
 def range_of(cuts: list[tuple]) -> Column:
