@@ -27,8 +27,7 @@ def text_bucket(df: DataFrame, key: str, parts: int = PARTS) -> Column:
     n = max(1, df.count())
     drawn = F.pmod(F.xxhash64(key), F.lit(1_000_003)) * n < F.lit(1_000_003 * SAMPLED)
     found = sorted({r[0] for r in df.filter(F.col(key).isNotNull() & drawn).select(F.col(key).cast("string")).limit(4 * SAMPLED).collect()}, key=str.encode)
-    step = max(1, len(found) // parts)
-    cuts = found[step::step][: parts - 1]
+    cuts = list(dict.fromkeys(found[len(found) * k // parts] for k in range(1, parts))) if found else []
     if not cuts:
         return F.lit(0)
     return place_in(F.array(*map(F.lit, cuts)), len(cuts), F.col(key).cast("string"), len(cuts))
