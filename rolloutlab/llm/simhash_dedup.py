@@ -113,7 +113,8 @@ def linked_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     seg = F.when(F.col("i") < 32, apart.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(apart, 32))
     # an equal segment meets under all its variants: only the first of them counts
     once = (seg != 0) | (F.col("i") % 32 == 0)
-    met = left.join(right, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(apart) <= radius) & once)
+    # Spark takes the variants for no larger than the file of the fingerprints, of which each makes 64: without the hint it would gather them in the driver
+    met = left.join(right.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(apart) <= radius) & once)
     return met.select("u", "v").distinct()
 
 
@@ -125,21 +126,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS, key:
     Documents with a null doc_id take part, but name a component only if all
     its members lack one (null then). n_links counts the documents linked
     directly, copies included. Repeated rows stay rows; extra columns are left
-    out; empty input gives no rows.
+    out; empty input gives no rows. Joins are by sorting: all their sides grow
+    with the documents, and files of a few MB tell little about rows in memory.
     """
     marked = cut(docs.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     links = cut(linked_pairs(fps, radius))
     groups = components(links).withColumnRenamed("node", "fp")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = (both.join(fps.select(F.col("fp").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
+    degree = (both.join(fps.select(F.col("fp").alias("v"), "copies").hint("merge"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
               .withColumnRenamed("u", "fp"))
-    known = cut(fps.join(groups, "fp", "left").join(degree, "fp", "left")
+    known = cut(fps.join(groups.hint("merge"), "fp", "left").join(degree.hint("merge"), "fp", "left")
                 .select("fp", "least", F.coalesce("component", "fp").alias("component"),
                         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = known.join(names, "component").select("fp", "component_id", "n_links")
-    return (marked.join(classes, "fp")
+    classes = known.join(names.hint("merge"), "component").select("fp", "component_id", "n_links")
+    return (marked.join(classes.hint("merge"), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"))
 
 

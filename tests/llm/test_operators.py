@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rolloutlab.llm.common import cut
 from rolloutlab.llm.embedding_dedup import near_vectors
 from rolloutlab.llm.fingerprints import fingerprint_documents
 from rolloutlab.llm.html_extraction import assemble, decode, extract, features, generated_page, main_texts, parse, trained
@@ -184,6 +185,16 @@ def test_simhash_links_equal_brute_force(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 3}
 
 
+def test_simhash_gathers_no_table_in_the_driver(odd, spark):
+    """Small files of fingerprints stand for 64 times the rows, which a broadcast would bring to the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower() in ("10mb", "10485760b", "10485760")
+    fps = cut(spark.createDataFrame([(v,) for v in (1, 2, 7, -1)], "fp long"))
+    for df, rows in ((linked_pairs(fps), 3), (near_duplicates(cut(odd), width=3), odd.count())):
+        assert df.count() == rows
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar_documents(odd, spark):
     found = {r.doc_id: r.component_id for r in similar_documents(odd).collect()}
     assert found[2] == found[1] == found[6] == 1 and found[7] == 7 and found[8] == 8
