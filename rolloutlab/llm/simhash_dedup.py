@@ -145,6 +145,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS, key:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"))
 
 
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names a component of found; of rows with one doc_id one."""
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_chosen")).distinct()
+    first = docs.dropDuplicates(["doc_id"])
+    return first.join(chosen, first["doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
+
+
+def keep_one_of_near(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+    """One document of each component of near_duplicates: that with the smallest doc_id; of rows with its doc_id one.
+
+    Columns stay as they are, whatever their names. Texts without words, null
+    ones too, form one group; a group without any doc_id keeps one row, and of
+    all such groups one row stays. Empty input gives no rows.
+    """
+    return first_of_each(docs, near_duplicates(docs, width, radius))
+
+
 # ---- documents of a given shingle similarity -------------------------------
 
 #: 64-bit words of the parity bits of a shingle set.
@@ -311,7 +328,4 @@ def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     alike and form one group; a group without any doc_id keeps one row. Empty
     input gives no rows.
     """
-    found = similar_documents(docs, width, similarity)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_chosen")).distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(chosen, first["doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
+    return first_of_each(docs, similar_documents(docs, width, similarity))

@@ -19,7 +19,7 @@ from rolloutlab.llm.mixing import Mix, mix_blocks, target_sizes
 from rolloutlab.llm.simhash_dedup import LANE_ROWS, simhash
 from rolloutlab.llm.toxicity import MOST_ALIKE, NOTABLE, START, Scorer, fit, sentences_of, words_of
 
-from .test_operators import DOCS, empty, odd, prose, slow_simhash, toxic_texts  # noqa: F401  fixtures
+from .test_operators import DOCS, empty, odd, prose, reach, slow_jaccard, slow_simhash, toxic_texts  # noqa: F401  fixtures
 
 # ---- fingerprints -----------------------------------------------------------
 
@@ -323,3 +323,23 @@ def test_stages_keep_documents_columns(spark, labelled):
     assert kept == {0, 1, 2, 3, 4, 5, 7}
     left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, labelled).collect()}
     assert set(left) == {0, 1, 2, 3, 4, 5, 7} and left[0] == (prose(0, 80), 0) and left[7] == (None, None)
+
+
+def test_simhash_stage_keeps_one_of_each_component(spark, labelled):
+    """By fingerprints of op7, where five-word shingles at a similarity of 0.8 would link otherwise."""
+    texts = {}
+    for g in range(40):
+        words = prose(2000 + g, (6, 30, 120, 400)[g % 4]).split()
+        for k in range(5):
+            copy = list(words)
+            for j in range(k):
+                copy[(2 * j + 1) * len(copy) // 9] = f"new{g}x{j}"
+            texts[1000 - 10 * g - k] = " ".join(copy) + "\n" * k
+    texts |= {5000: "", 5001: None, 5002: " \t"}
+    prints = {i: slow_simhash(t, 3) for i, t in texts.items()}
+    links = {(a, b) for a, b in combinations(texts, 2) if (prints[a] ^ prints[b]).bit_count() <= 3}
+    alike = {(a, b) for a, b in combinations([i for i in texts if i < 5000 and len(texts[i].split()) > 5], 2) if slow_jaccard(texts[a].split(), texts[b].split()) >= 0.8}
+    groups = reach(texts, links)
+    assert links - alike - set(combinations((5000, 5001, 5002), 2)) and alike - links and len(set(groups.values())) > 40
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, labelled).collect()) == sorted(set(groups.values()))
