@@ -10,6 +10,7 @@ from .common import table
 from .embedding_dedup import near_vectors
 from .fingerprints import fingerprint_documents
 from .html_extraction import extract
+from .infilling import infilled_digests
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sizes
@@ -17,6 +18,8 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash_dedup import near_duplicates
 from .toxicity import score_documents
+from .url_filters import filter_urls, rule_table
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +65,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), sequence=1024, with_ids=False)
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilled_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, rule_table(pages))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -74,6 +90,9 @@ def queries() -> dict[str, Query]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_infilling": op11_infilling,
+        "op12_url_filters": op12_url_filters,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -106,6 +125,21 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) A
  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text FROM d LEFT JOIN g USING (doc_id)"""
 
 
+OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS b, greatest(h1 % (n + 1), h2 % (n + 1)) AS e, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, '<P>' || substring(t, 1, b) AS pre, '<M>' || substring(t, b + 1, e - b) AS mid, '<S>' || substring(t, e + 1, n - e) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN b END AS prefix_chars, CASE WHEN form <> 'plain' THEN e - b END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+OP12_SQL = r"""WITH r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT row_number() OVER () AS row, page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (SELECT row, page_id, host, path, h || p AS rule, verdict, row_number() OVER (PARTITION BY row ORDER BY length(h) + length(p) DESC, length(h) DESC) AS place
+ FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that SQL can express: op4 fully, op6 by comparing the runs themselves, op8 all pairs of a label."""
-    return {"op4_sharding": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+    """SQL of the queries that SQL can express: op4, op11 and op12 fully, op6 by comparing the runs themselves, op8 all pairs of a label."""
+    return {"op4_sharding": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op11_infilling": OP11_SQL, "op12_url_filters": OP12_SQL}
