@@ -12,6 +12,7 @@ needed for that.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -25,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element and token categories.
-RAW = "script style noscript template title textarea svg iframe select button canvas object"
+SCRIPTS = "script style"
+ENCLOSED = "template title textarea svg iframe noscript"
+CONTROLS = "select button canvas object"
+CLOSES_ITSELF = "svg iframe object canvas template"
 BLOCKS = ("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
           "header hr li main menu nav ol p pre section summary table tbody thead tfoot tr td th ul caption")
 KINDS = {
@@ -57,12 +61,17 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
           "th": ("td th", "tr table"), "tbody": ("tr td th thead tbody tfoot", "table"), "thead": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.I | re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*+)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.I | re.S)
+#: Where an element whose text counts for nothing ends: its end tag, or what shows that it was never closed.
+STOPS = {t: re.compile(rf"<(/)?{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ENCLOSED.split()}
+STOPS |= {t: re.compile(rf"<(?:(/){t}|{t}|/?(?:{'|'.join(BLOCKS.split())}))(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in CONTROLS.split()}
+STOPS |= {t: re.compile(rf"<(/){t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in SCRIPTS.split()}
+ENDLESS, ITSELF = frozenset(SCRIPTS.split()), frozenset(CLOSES_ITSELF.split())
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT_TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 GAP = re.compile(r"\s+")
+#: What generated pages say of a node.
+LABEL = re.compile(r'\s*data-y="[01]"')
 
 
 @dataclass
@@ -77,27 +86,44 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """A forgiving reading: block elements open nodes, implied ends are honoured, stray ends ignored."""
+    """A forgiving reading: block elements open nodes, implied ends are honoured, stray ends ignored.
+
+    Scripts and styles run to their end tag or the end of the page. Other
+    elements whose text counts for nothing (vector images, frames, titles,
+    controls and so on) end at their end tag; where that is missing, another
+    of the kind begins first or, in controls, a block does, only the tag goes
+    and the text after it stays. A frame or image closed in its own tag is
+    empty. Names count whole: button-group is no button.
+    """
     page = Page(["html"], [-1], [""], [], [0])
     stack, inside, at = [0], 0, 0
+    places: list[tuple[int, int]] = []  # of every run: how many nodes were open or done by then, and how much of it is a link's
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
             decoded = html.unescape(raw) if "&" in raw else raw
             page.runs.append((stack[-1], decoded))
-            if inside:
-                page.links[stack[-1]] += len(decoded)
+            places.append((len(page.tags), len(decoded) if inside else 0))
         elif raw:
             page.runs.append((stack[-1], " "))
+            places.append((len(page.tags), 0))
 
-    for m in MARKUP.finditer(source):
+    while m := MARKUP.search(source, at):
         text(source[at: m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2] or m[5]
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        tag, ends = tag.lower(), m[1] or m[4]
+        if tag in STOPS:
+            if not ends and not (tag in ITSELF and m[0].endswith("/>")):
+                stop = STOPS[tag].search(source, at)
+                if stop and stop[1]:
+                    at = stop.end()
+                elif tag in ENDLESS:
+                    at = len(source)
+            continue
+        if ends:
             if tag == "a":
                 inside = 0
             elif tag in BLOCK:
@@ -110,6 +136,7 @@ def parse(source: str) -> Page:
             inside = 1
         elif tag == "br":
             page.runs.append((stack[-1], " "))
+            places.append((len(page.tags), 0))
         elif tag in BLOCK and tag != "html":
             if page.tags[stack[-1]] == "p" or (tag[0] == "h" and len(tag) == 2 and KIND_OF.get(page.tags[stack[-1]]) == 1):
                 stack.pop()
@@ -125,12 +152,49 @@ def parse(source: str) -> Page:
                             break
             page.tags.append(tag)
             page.parents.append(stack[-1])
-            page.attributes.append(m[4])
+            page.attributes.append(m[3] or "")
             page.links.append(0)
             if tag not in VOID:
                 stack.append(len(page.tags) - 1)
     text(source[at:])
-    return page
+    return with_loose_text(page, places)
+
+
+def with_loose_text(page: Page, places: list[tuple[int, int]]) -> Page:
+    """The page with a paragraph of its own around each text that stands beside blocks, so that only nodes with nothing below have text."""
+    above = set(page.parents[1:])
+    added: list[tuple[int, int]] = []  # (node before which it stands, its parent)
+    owner: list[int] = []  # of every run: its node, or -1 - k for the k-th added
+    last = None
+    for (node, run), (place, _) in zip(page.runs, places, strict=True):
+        if node not in above:
+            owner.append(node)
+        elif last == (node, place):
+            owner.append(-len(added))
+        elif run.isspace():
+            owner.append(node)
+            continue
+        else:
+            added.append((place, node))
+            owner.append(-len(added))
+        last = (node, place)
+    n = len(page.tags)
+    starts = [p for p, _ in added]
+    moved = [i + bisect.bisect_right(starts, i) for i in range(n)]
+    at_added = [p + k for k, p in enumerate(starts)]
+    total = n + len(added)
+    out = Page([""] * total, [-1] * total, [""] * total, [], [0] * total)
+    for i in range(n):
+        out.tags[moved[i]], out.attributes[moved[i]] = page.tags[i], page.attributes[i]
+        out.parents[moved[i]] = moved[page.parents[i]] if i else -1
+    for k, (_, node) in enumerate(added):
+        told = LABEL.search(page.attributes[node])
+        out.tags[at_added[k]], out.parents[at_added[k]], out.attributes[at_added[k]] = "p", moved[node], told[0] if told else ""
+    for who, (_, run), (_, linked) in zip(owner, page.runs, places, strict=True):
+        to = moved[who] if who >= 0 else at_added[-who - 1]
+        out.runs.append((to, run))
+        out.links[to] += linked
+    return out
 
 
 @functools.lru_cache(maxsize=4096)
@@ -259,7 +323,11 @@ class Boosted:
 
 
 def decode(page: Page, chance: np.ndarray) -> np.ndarray:
-    """Which nodes are in, by the most likely labelling in which nothing below an out node is in."""
+    """Which nodes are in, by the most likely labelling in which nothing below an out node is in.
+
+    A node with others below may be neither, which says nothing of it: it has
+    no text of its own, and what is below may be main text.
+    """
     n = len(page.tags)
     p = np.clip(chance, 1e-6, 1 - 1e-6)
     yes, no = np.log(p).tolist(), np.log(1 - p).tolist()
@@ -314,7 +382,6 @@ STYLES = {
 }
 
 
-LABEL = re.compile(r'\s*data-y="[01]"')
 #: Of the generated pages, the share whose names tell nothing.
 STRANGE = 0.4
 
@@ -383,10 +450,15 @@ def generated_page(rng: np.random.Generator, strange: bool | None = None) -> str
 
     title = words(3, 12)
     parts = [f'<h1 data-y="1">{title}</h1>' if rng.random() < 0.8 else ""]
+    loose = rng.random() < 0.4  # text beside the blocks, in the container itself
     for _ in range(rng.integers(1, 12)):
         form = rng.random()
-        if form < 0.75:
+        if loose and rng.random() < 0.4:
+            parts.append(f"{words(8, 60)}{'<br>' if rng.random() < 0.5 else ''}")
+        elif form < 0.7:
             parts.append(paragraph())
+        elif form < 0.75:
+            parts.append(f'<ul data-y="1"><li data-y="1">{words(2, 15)}<ul data-y="1"><li data-y="1">{words(2, 12)}</li></ul></li><li data-y="1">{words(2, 15)}</li></ul>')
         elif form < 0.8:
             parts.append(f'<h2 data-y="1">{words(2, 7)}</h2>')
         elif form < 0.85:

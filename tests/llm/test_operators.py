@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, ties, repeats, long texts, empty tables and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -555,3 +556,63 @@ def test_queries_registered():
     from rolloutlab.llm.queries import oracle_sql, queries
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
+
+
+ALL_KINDS = ('<svg width="1"/>', "<svg><title>t</title><text>drawn</text></svg>", '<iframe src="x"/>', "<iframe src=x></iframe>", "<object/>", "<object data=x>", "<canvas>", "<button>", "<button>Press</button>", "<button-group>", "<button-group></button-group>",
+             "<select-box>", "<title-bar>", "<svg-icon/>", "<template>", "<textarea>", "<noscript>", "<noscript>Turn it on</noscript>", "<svg>", "<iframe>", "<select><option>a<option>b</select>", "<script>var t='<p>no</p>';</script>", "<style/>p{}</style>",
+             "<SCRIPT>x</SCRIPT >", "<script\n>x</script\t>", '<svg data-x="a>b"></svg>', "<hr>", "<hr/>", "<br/>", "<img src='a>b'>", "<wbr>", "<input type=text>", "</button>", "</svg>", "<embed/>", "<object></object>", "<canvas></canvas>", "<canvas/>")
+
+
+@pytest.mark.parametrize("between", ALL_KINDS)
+def test_html_keeps_the_text_after_an_element(between):
+    words = [f"Paragraph {k} " + "has several words, as text in an article does, and goes on. " * 4 for k in range(6)]
+    for inside in (f"{between}<p>", f"<p>{between}"):
+        body = "".join(f"{inside if k == 1 else '<p>'}{w}</p>" for k, w in enumerate(words))
+        got = main_texts([f"<html><body><nav><a href=a>Home</a></nav><article><h1>The headline of it</h1>{body}</article><footer>&copy; x</footer></body></html>"], trained())[0]
+        assert [x for x in got.split("\n") if x.startswith("Paragraph")] == [w.strip() for w in words]
+        assert not re.search("drawn|Press|Turn it|var t|p\\{", got)
+
+
+def test_html_without_an_end_tag_only_scripts_and_styles_run_on():
+    for tag, rest in (("script", False), ("style", False), ("title", True), ("iframe", True), ("select", True), ("noscript", True)):
+        page = parse(f"<p>one</p><{tag}><p>two</p>")
+        assert [r for _, r in page.runs] == ["one"] + ["two"] * rest
+    assert [r for _, r in parse("<p>a<button>b<p>c<button>d</button>e").runs] == ["a", "b", "c", "e"]
+
+
+def consistent(page):
+    """All labellings (0 out, 1 in, 2 neither) in which below an out node all are out, below one that is in none is neither, and a neither has something below; the root, if anything is below, is neither."""
+    n = len(page.tags)
+    below = [any(page.parents[j] == i for j in range(n)) for i in range(n)]
+    for state in np.ndindex(1, *[3] * (n - 1)):
+        state = (1 if n == 1 else 2, *state[1:])
+        if all(state[i] != 2 or below[i] for i in range(n)) and all(state[page.parents[i]] == 2 or (state[i] == 0 if state[page.parents[i]] == 0 else state[i] != 2) for i in range(1, n)):
+            yield state
+
+
+def test_html_decoding_is_the_best_labelling():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        page = parse("")
+        for i in range(1, n):
+            page.tags.append("div")
+            page.parents.append(int(rng.integers(0, i)))
+        chance = rng.uniform(0.01, 0.99, n)
+        worth = lambda state: sum(math.log(chance[i]) if s == 1 else math.log(1 - chance[i]) if s == 0 else 0.0 for i, s in enumerate(state))
+        kept = decode(page, chance).tolist()
+        assert max(worth(s) for s in consistent(page) if [x == 1 for x in s] == kept) == pytest.approx(max(map(worth, consistent(page))))
+
+
+def test_html_loose_text_is_a_paragraph():
+    page = parse("a <b>b</b><div>c<p>d</p> <br> e <a>f</a><hr>g</div> \n <div>h</div>i")
+    assert [(page.tags[k], page.tags[page.parents[k]], r) for k, r in page.runs if not r.isspace()] == [
+        ("p", "html", "a "), ("p", "html", "b"), ("p", "div", "c"), ("p", "div", "d"), ("p", "div", " e "), ("p", "div", "f"), ("p", "div", "g"), ("div", "html", "h"), ("p", "html", "i")]
+    assert all(p < k for k, p in enumerate(page.parents)) and sum(page.links) == 1
+    assert len({k for k, r in page.runs if r in ("a ", "b")}) == 1 and len({k for k, r in page.runs if r in (" e ", "f")}) == 1
+
+
+def test_html_text_around_blocks_stays():
+    body = "".join(f"Loose text number {k} with several words, as in an article of old, and so on. <p>Paragraph {k} " + "has several words, as text does, and goes on. " * 4 + "</p>" for k in range(4))
+    got = main_texts([f"<html><body><nav><a href=a>Home</a> | <a href=b>More</a></nav><div class=wrapper><article><h1>The headline of it</h1>{body}<ul><li>An item with words <ul><li>and one within it</li></ul></li></ul></article></div></body></html>"], trained())[0]
+    assert sum(x.startswith("Loose text") for x in got.split("\n")) == 4 and "An item with words" in got and "and one within it" in got
