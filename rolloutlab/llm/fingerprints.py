@@ -73,7 +73,8 @@ def within(fps: DataFrame, asked: DataFrame, radius: int = 3) -> DataFrame:
     left = tables(asked.select("fp").distinct(), []).withColumnRenamed("fp", "asked")
     right = tables(fps.select("fp").distinct(), []).select(F.col("fp").alias("found"), F.col("table").alias("_t"), F.col("key").alias("_k"))
     near = F.bit_count(F.col("asked").bitwiseXOR(F.col("found"))) <= radius
-    met = left.join(right, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k")) & near)
+    # Spark takes the tables for no larger than the file of the fingerprints, of which each makes twenty rows: without the hint it would gather them in the driver
+    met = left.join(right.hint("merge"), (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k")) & near)
     return met.select(F.col("asked").alias("fp"), "found").distinct()
 
 
@@ -154,9 +155,10 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, every: int = 20) ->
     near = within(own, own.filter(F.col("doc_id") % every == 0), radius).filter("fp <> found").groupBy("fp").agg(F.count("*").alias("_near"))
     mine = own.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "fp")
     theirs = own.select(F.col("doc_id").alias("_nid"), F.col("tag").alias("_ntag"), F.col("fp").alias("next_fp"))
-    out = (new.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
-           .join(theirs, F.col("next_id").eqNullSafe(F.col("_nid")) & (F.col("next_tag") == F.col("_ntag")))
-           .join(near, "fp", "left"))
+    # one row per document on every side, so none is gathered in the driver, however small its file
+    out = (new.join(mine.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+           .join(theirs.hint("merge"), F.col("next_id").eqNullSafe(F.col("_nid")) & (F.col("next_tag") == F.col("_ntag")))
+           .join(near.hint("merge"), "fp", "left"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

@@ -616,3 +616,12 @@ def test_html_text_around_blocks_stays():
     body = "".join(f"Loose text number {k} with several words, as in an article of old, and so on. <p>Paragraph {k} " + "has several words, as text does, and goes on. " * 4 + "</p>" for k in range(4))
     got = main_texts([f"<html><body><nav><a href=a>Home</a> | <a href=b>More</a></nav><div class=wrapper><article><h1>The headline of it</h1>{body}<ul><li>An item with words <ul><li>and one within it</li></ul></li></ul></article></div></body></html>"], trained())[0]
     assert sum(x.startswith("Loose text") for x in got.split("\n")) == 4 and "An item with words" in got and "and one within it" in got
+
+
+def test_fingerprints_gather_no_table_in_the_driver(odd, spark):
+    """Tables with rows for every document are joined by sorting, however small their files."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower() in ("10mb", "10485760b", "10485760")
+    df = fingerprint_documents(cut(odd))
+    assert df.count() == odd.count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
