@@ -1,24 +1,28 @@
 """Scorers behind a small protocol: a completion server, a local model, a fixed double, and a client that remembers.
 
 All take what they call (a transport, a tokenizer and a model) as an argument.
-A scorer runs inside ``replay``'s batches on the executors; partitions take
-the place of worker threads.
+A local scorer runs inside ``replay``'s batches on the executors; partitions
+take the place of worker threads. A server's answers to a batch are read
+together, as columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+from pyspark.sql import Row
 
 from ..schema import ACTIONS, ContractError
 from .identity import LABEL_BIAS, Fingerprint, identity_sha256
 from .prompts import LABELS, average_orders, checked_messages, cyclic_messages, cyclic_orders, request_key
-from .responses import AUDITED, Audit, audited, parse_label_scores
+from .responses import AUDITED, audits, label_scores, read
 
 MOST_BYTES = 4 << 20
 
@@ -69,30 +73,30 @@ class ServerScorer:
         self.counts = {"requests": 0, "scored": 0}
 
     def preflight(self) -> None:
-        """Raises unless the live server is the one of the fingerprint: build, model file, template and the labels' tokens."""
-        from hashlib import sha256
-
-        told = self.call("GET", "/props")
-        if told.get("build_info") != self.fingerprint.backend_version:
-            raise ContractError("the server has another build")
-        path = told.get("model_path")
-        if path != self.model_path or str(path).replace("\\", "/").rsplit("/", 1)[-1] != self.fingerprint.file_name:
-            raise ContractError("the server has another model file")
-        if sha256(str(told.get("chat_template", "")).encode()).hexdigest() != self.fingerprint.template_sha256:
-            raise ContractError("the server has another template")
-        live = []
-        for label in LABELS:
-            tokens = self.call("POST", "/tokenize", {"content": label, "add_special": False, "parse_special": False, "with_pieces": True}).get("tokens")
-            one = tokens[0] if isinstance(tokens, list) and len(tokens) == 1 else None
-            if isinstance(one, Mapping):
-                if one.get("piece", label) != label:
-                    raise ContractError("a label's token has another text")
-                one = one.get("id")
-            if isinstance(one, bool) or not isinstance(one, int):
-                raise ContractError("a label is not exactly one token")
-            live.append(one)
-        if tuple(live) != self.fingerprint.token_ids:
-            raise ContractError("the labels have other tokens")
+        """Raises unless the live server is the one of the fingerprint; says everything that differs.
+
+        What is asked of which endpoint, what is read from its answer and what
+        that must be stand in one table.
+        """
+        known = self.fingerprint
+        wanted = [
+            ("build", "GET", "/props", None, lambda a: a.get("build_info"), known.backend_version),
+            ("model file", "GET", "/props", None, lambda a: a.get("model_path"), self.model_path),
+            ("file name", "GET", "/props", None, lambda a: re.split(r"[/\\]", str(a.get("model_path")))[-1], known.file_name),
+            ("template", "GET", "/props", None, lambda a: hashlib.sha256(str(a.get("chat_template", "")).encode()).hexdigest(), known.template_sha256),
+            *(("token of " + label, "POST", "/tokenize", {"content": label, "add_special": False, "parse_special": False, "with_pieces": True}, lambda a, label=label: _one_token(a, label), token)
+              for label, token in zip(LABELS, known.token_ids, strict=True)),
+        ]
+        answers: dict[str, Mapping] = {}
+        differing = []
+        for what, method, path, payload, told, expected in wanted:
+            asked = f"{path} {payload}"
+            if asked not in answers:
+                answers[asked] = self.call(method, path, payload)
+            if told(answers[asked]) != expected:
+                differing.append(what)
+        if differing:
+            raise ContractError(f"the server is another: {', '.join(differing)}")
         self.ready = True
 
     def payload(self, prompt: str, free: bool = False) -> dict:
@@ -113,23 +117,33 @@ class ServerScorer:
         """One row of action probabilities per list of messages; all are checked before the first request."""
         if not self.ready:
             raise ContractError("preflight comes first")
-        every, out = [checked_messages(m) for m in batch], []
-        for messages in every:
-            rows = []
+        answers = []
+        for messages in [checked_messages(m) for m in batch]:
             for turn in range(len(cyclic_orders())):
-                answer = self.call("POST", "/completion", self.payload(self.render(cyclic_messages(messages, turn))))
+                answers.append(self.call("POST", "/completion", self.payload(self.render(cyclic_messages(messages, turn)))))
                 self.counts["requests"] += 1
-                rows.append(parse_label_scores(answer, self.fingerprint.token_ids))
-                self.counts["scored"] += 1
-            out.append(average_orders(rows))
-        return np.array(out).reshape(-1, len(ACTIONS))
+        rows = [r["scores"] for r in read(answers, self.fingerprint.token_ids, label_scores)] if answers else []
+        self.counts["scored"] += len(rows)
+        turns = len(cyclic_orders())
+        return np.array([average_orders(rows[k: k + turns]) for k in range(0, len(rows), turns)]).reshape(-1, len(ACTIONS))
 
-    def audit(self, batch: Sequence[Sequence[Mapping]]) -> list[Audit]:
+    def audit(self, batch: Sequence[Sequence[Mapping]]) -> list[Row]:
         """What the server would say freely to each list of messages."""
         if not self.ready:
             raise ContractError("preflight comes first")
-        every = [checked_messages(m) for m in batch]
-        return [audited(self.call("POST", "/completion", self.payload(self.render(m), free=True)), self.fingerprint.token_ids, i) for i, m in enumerate(every)]
+        answers = [self.call("POST", "/completion", self.payload(self.render(m), free=True)) for m in [checked_messages(m) for m in batch]]
+        return read(answers, self.fingerprint.token_ids, audits) if answers else []
+
+
+def _one_token(answer: Mapping, label: str) -> int | None:
+    """The id of the only token of an answer, given bare or with its text, which must be the label."""
+    match answer.get("tokens"):
+        case [bool()]:
+            return None
+        case [int(token)] | [{"id": int(token), "piece": str(_)}] | [{"id": int(token)}] if not isinstance(token, bool):
+            one = answer["tokens"][0]
+            return token if isinstance(one, int) or one.get("piece", label) == label else None
+    return None
 
 
 class LocalScorer:

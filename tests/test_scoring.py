@@ -25,25 +25,25 @@ def answer(p=(0.5, 0.3, 0.2), **change):
     return made | change
 
 
-def test_label_scores():
-    assert A.parse_label_scores(answer(), IDS) == pytest.approx([0.5, 0.3, 0.2])
-    legacy = answer()
-    legacy["probs"] = legacy.pop("completion_probabilities")
-    assert A.parse_label_scores(legacy, IDS) == pytest.approx([0.5, 0.3, 0.2])
-    step = answer()["completion_probabilities"][0]
-    for bad in ({"truncated": True}, {"tokens": [5]}, {"tokens": [11, 7]}, {"tokens": [True]}, {"content": "B"}, {"probs": []}, {"completion_probabilities": []}, {"completion_probabilities": [step, step]},
-                {"completion_probabilities": [{"top_logprobs": []}]}, {"completion_probabilities": [{"top_probs": step["top_probs"][:2]}]},
-                {"completion_probabilities": [{"top_probs": [*step["top_probs"], {"id": 11, "prob": 0.0}]}]}, {"completion_probabilities": [{"top_probs": [{"id": i, "prob": 0.5} for i in IDS]}]},
-                {"completion_probabilities": [{"top_probs": [{"id": 11, "prob": float("nan")}, *step["top_probs"][1:]]}]}):
-        with pytest.raises(ContractError):
-            A.parse_label_scores(answer(**bad), IDS)
+def scored(*answers):
+    return [list(r["scores"]) for r in A.read(answers, IDS, A.label_scores)]
 
 
-def test_label_scores_as_columns(spark):
-    rows = [(json.dumps(answer()),), (json.dumps(answer(content="B")),), ("{",), (None,)]
-    got = spark.createDataFrame(rows, "r string").select(A.label_scores(F.col("r"), IDS).alias("x")).select("x.*").collect()
-    assert got[0].fault is None and got[0].scores == pytest.approx([0.5, 0.3, 0.2])
-    assert [g.fault for g in got[1:]] == ["text", "not an answer", "not an answer"] and all(g.scores is None for g in got[1:])
+def test_label_scores(spark):
+    legacy = answer()
+    legacy["probs"] = legacy.pop("completion_probabilities")
+    assert np.allclose(scored(answer(), legacy, answer((1.0, 0.0, 0.0))), [[0.5, 0.3, 0.2], [0.5, 0.3, 0.2], [1, 0, 0]])
+    top = answer()["completion_probabilities"][0]["top_probs"]
+    steps = lambda *entries: {"completion_probabilities": [{"top_probs": list(entries)}]}
+    wrong = [({"truncated": True}, "truncated"), ({"tokens": [5]}, "token"), ({"tokens": [11, 7]}, "token"), ({"tokens": [True]}, "token"), ({"tokens": None}, "token"), ({"content": "B"}, "text"), ({"content": None}, "text"), ({"probs": []}, "probability field"),
+             ({"completion_probabilities": []}, "steps"), ({"completion_probabilities": [{"top_probs": top}] * 2}, "steps"), ({"completion_probabilities": [{"top_logprobs": []}]}, "steps"), (steps(*top[:2]), "token ids"),
+             (steps(*top, {"id": 11, "prob": 0.0}), "token ids"), (steps({"prob": 1.0}, *top[1:]), "token ids"), (steps({"id": 11, "prob": float("nan")}, *top[1:]), "probability"), (steps({"id": 11}, *top[1:]), "probability"), (steps({"id": 11, "prob": -0.5}, *top[1:]), "probability"),
+             (steps(*({"id": i, "prob": 0.5} for i in IDS)), "not the whole mass"), (steps(*({"id": i, "prob": 0.0} for i in IDS)), "not the whole mass")]
+    df = spark.createDataFrame([(json.dumps(answer(**bad)), fault) for bad, fault in wrong] + [("{", "not an answer"), (None, "not an answer"), ("{}", "not an answer"), ("[1]", "not an answer")], "r string, fault string")
+    for r in df.select("r", "fault", A.label_scores(F.col("r"), IDS).alias("x")).collect():
+        assert r.x.fault == r.fault and r.x.scores is None
+    with pytest.raises(ContractError, match=r"1 \(text\)"):
+        scored(answer(), answer(content="B"))
 
 
 def free(**change):
@@ -51,18 +51,19 @@ def free(**change):
     return {"tokens": [3], "content": "x", "completion_probabilities": [{"id": 3, "token": "x", "top_logprobs": top} | change]}
 
 
-def test_audit():
-    found = A.audited(free(), IDS, 5)
-    assert (found.row, found.token, found.label, found.ranks) == (5, "x", None, (2, 3, 4)) and found.mass == pytest.approx(0.6)
-    chosen = free()
-    chosen |= {"tokens": [11], "content": "A"}
-    chosen["completion_probabilities"][0] |= {"id": 11, "token": "A"}
-    assert A.audited(chosen, IDS).label == "A"
+def test_audit(spark):
+    chosen = free(id=11, token="A") | {"tokens": [11], "content": "A"}
+    found, named = A.read([free(), chosen], IDS, A.audits)
+    assert (found.token_id, found.token, found.label, found.ranks) == (3, "x", None, [2, 3, 4]) and found.mass == pytest.approx(0.6) and np.allclose(np.exp(found.logprobs), [0.3, 0.2, 0.1])
+    assert named.label == "A"
     top = free()["completion_probabilities"][0]["top_logprobs"]
-    for bad in ({"id": 4}, {"token": "y"}, {"top_logprobs": []}, {"top_logprobs": top[:3]}, {"top_logprobs": top[::-1]}, {"top_logprobs": [*top, top[-1]]}, {"top_logprobs": [*top[:3], {"id": 42, "token": "D", "logprob": -3.0}]},
-                {"top_logprobs": [{"id": 3, "token": "x", "logprob": 0.5}, *top[1:]]}, {"top_logprobs": top * 20}):
-        with pytest.raises(ContractError):
-            A.audited(free(**bad), IDS)
+    wrong = [({"id": 4}, "step"), ({"token": "y"}, "step"), ({"top_logprobs": []}, "length"), ({"top_logprobs": None}, "length"), ({"top_logprobs": top * 20}, "length"), ({"top_logprobs": top[:3]}, "label missing"), ({"top_logprobs": top[::-1]}, "order"),
+             ({"top_logprobs": [*top, top[-1]]}, "repeated token"), ({"top_logprobs": [*top[:3], {"id": 42, "token": "D", "logprob": -3.0}]}, "label text"), ({"top_logprobs": [top[0] | {"logprob": 0.5}, *top[1:]]}, "entry"),
+             ({"top_logprobs": [*top, {"id": 9, "token": "z", "logprob": float("-inf")}]}, "entry"), ({"top_logprobs": [*top, {"token": "z", "logprob": -9.0}]}, "entry"), ({"top_logprobs": [{"id": i, "token": t, "logprob": -0.1} for i, t in zip(IDS, "ABC")]}, "mass")]
+    whole = [(free(**bad), fault) for bad, fault in wrong] + [(free() | {"truncated": True}, "truncated"), (free() | {"tokens": [3, 4]}, "token"), (free() | {"tokens": [-1]}, "token"), (free() | {"content": None}, "token"), (free() | {"completion_probabilities": []}, "step"), ({}, "not an answer")]
+    df = spark.createDataFrame([(json.dumps(a), fault) for a, fault in whole], "r string, fault string")
+    for r in df.select("fault", A.audits(F.col("r"), IDS).alias("x")).collect():
+        assert r.x.fault == r.fault and r.x.mass is None and r.x.ranks is None
 
 
 def served(**change):
@@ -130,7 +131,7 @@ class Server:
         return answer(tuple((p / p.sum()).tolist())) if payload["n_probs"] == 3 else free()
 
 
-def test_server_scorer():
+def test_server_scorer(spark):
     live = Server()
     scorer = S.ServerScorer(live, live.fingerprint, "/models/m.gguf")
     with pytest.raises(ContractError, match="preflight"):
@@ -147,11 +148,20 @@ def test_server_scorer():
 
 
 @pytest.mark.parametrize("change", [{"/props": {"build_info": "b2", "model_path": "/models/m.gguf", "chat_template": TEMPLATE}}, {"/props": {"build_info": "b1-abc", "model_path": "/other/m.gguf", "chat_template": TEMPLATE}},
-                                    {"/props": {"build_info": "b1-abc", "model_path": "/models/m.gguf", "chat_template": "other"}}, {"/tokenize": {"tokens": [11, 7]}}, {"/tokenize": {"tokens": [{"id": 11, "piece": "Z"}]}}, {"/tokenize": {"tokens": [5]}}])
+                                    {"/props": {"build_info": "b1-abc", "model_path": "/models/m.gguf", "chat_template": "other"}}, {"/tokenize": {"tokens": [11, 7]}}, {"/tokenize": {"tokens": [{"id": 11, "piece": "Z"}]}}, {"/tokenize": {"tokens": [5]}}, {"/tokenize": {"tokens": [True]}}, {"/tokenize": {}}])
 def test_preflight_refuses(change):
     live = Server(**change)
+    scorer = S.ServerScorer(live, live.fingerprint, "/models/m.gguf")
     with pytest.raises(ContractError):
+        scorer.preflight()
+    assert not scorer.ready
+
+
+def test_preflight_says_all_that_differs():
+    live = Server(**{"/props": {"build_info": "b2", "model_path": "C:\\models\\other.gguf", "chat_template": "x"}, "/tokenize": {"tokens": [11]}})
+    with pytest.raises(ContractError, match="build, model file, file name, template, token of B, token of C"):
         S.ServerScorer(live, live.fingerprint, "/models/m.gguf").preflight()
+    assert live.asked.count("/props") == 1
 
 
 def test_local_scorer():
