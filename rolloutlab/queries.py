@@ -20,7 +20,7 @@ from .plans import validation as V
 from .scoring.prompts import note_faults
 from .schema import ACTION, ACTIONS, EPISODE, STEP
 from .sources.files import settled
-from .sources.events import HORIZON, action_name, event_trajectories, smoothed_behavior
+from .sources.events import HORIZON, LATER, action_name, event_trajectories, smoothed_behavior
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,16 +30,16 @@ CAPS = (2.0, 10.0, 50.0)
 # ---- the same inputs in SQL --------------------------------------------------
 
 TRAJ = f"""numbered AS (
-  SELECT CAST(user_id AS VARCHAR) AS patient_id, CAST(row_number() OVER w - 1 AS INTEGER) AS time_step, value,
+  SELECT user_id, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY user_id) AS total, value,
     CASE WHEN event_type IN ('view','signup') THEN 0 WHEN event_type IN ('click','purchase') THEN 1 ELSE 2 END AS action_no,
-    coalesce(lag(CASE WHEN event_type IN ('view','signup') THEN 0 WHEN event_type IN ('click','purchase') THEN 1 ELSE 2 END) OVER w, 0) AS previous_no,
-    lead(value) OVER w - value AS dvalue, CASE WHEN lead(event_type) OVER w = 'error' THEN 1 ELSE 0 END AS is_error,
-    count(*) OVER (PARTITION BY user_id) AS n
+    lag(CASE WHEN event_type IN ('view','signup') THEN 0 WHEN event_type IN ('click','purchase') THEN 1 ELSE 2 END) OVER w AS before_no,
+    lead(value) OVER w - value AS dvalue, CASE WHEN lead(event_type) OVER w = 'error' THEN 1 ELSE 0 END AS is_error
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 logits AS (
-  SELECT *, CAST(0.5 AS DOUBLE) AS l0, (70 - value) / 150 AS l1, (value - 30) / 100 AS l2, 0.45 * tanh(dvalue / 50) - CAST(0.9 AS DOUBLE) * is_error AS reward,
-    CASE WHEN time_step = {HORIZON - 1} THEN 1 ELSE 0 END AS terminal
-  FROM numbered WHERE n > {HORIZON} AND time_step < {HORIZON}),
+  SELECT CAST(user_id + {LATER} * (n // {HORIZON}) AS VARCHAR) AS patient_id, CAST(n % {HORIZON} AS INTEGER) AS time_step, value, action_no, CASE WHEN n % {HORIZON} = 0 THEN 0 ELSE before_no END AS previous_no, dvalue, is_error,
+    CAST(0.5 AS DOUBLE) AS l0, (70 - value) / 150 AS l1, (value - 30) / 100 AS l2, 0.45 * tanh(dvalue / 50) - CAST(0.9 AS DOUBLE) * is_error AS reward,
+    CASE WHEN n % {HORIZON} = {HORIZON - 1} OR n = total - 2 THEN 1 ELSE 0 END AS terminal
+  FROM numbered WHERE n < total - 1),
 grown AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM logits),
 traj AS (
   SELECT patient_id, time_step, value, action_no, previous_no, dvalue, is_error, reward, terminal,
@@ -103,7 +103,7 @@ def with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = with_behavior(spark, sf_dir)
     cells = base.groupBy(STEP).agg(*[F.avg(F.when(F.col("action_no") == i, F.col("reward"))).alias(f"q{i}") for i in range(3)])
     cells = cells.select(F.col(STEP).alias("_t"), F.array("q0", "q1", "q2").alias("q"))
-    met = base.join(cells, base[STEP] == cells["_t"]).drop("_t")
+    met = base.join(F.broadcast(cells), base[STEP] == cells["_t"]).drop("_t")  # one row a step
     met = met.withColumns({"q_logged": X.gather(F.col("q"), F.col("action_no")), "v": X.expectation(F.col("target"), F.col("q"))})
     return S.next_values(met, "v")
 

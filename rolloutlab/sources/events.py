@@ -1,4 +1,4 @@
-"""Trajectories read out of an event log: every user an episode, every event a step."""
+"""Trajectories read out of an event log: a user's events in order, cut into episodes, every event a step."""
 
 from __future__ import annotations
 
@@ -7,37 +7,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import softmax
+from ..operators.numbering import numbered
 from ..schema import ACTIONS, EPISODE, STEP
 
 HORIZON = 12
+#: Days of events of a user that one task may have to order.
+DAYS = 1
+#: Episode k of a user has their number plus k times this.
+LATER = 10_000_000_000
 
 
-def event_trajectories(spark: SparkSession, sf_dir: str, horizon: int = HORIZON) -> DataFrame:
-    """One row per (patient_id, time_step < horizon), for users with more events than that.
+def event_trajectories(spark: SparkSession, sf_dir: str, horizon: int = HORIZON, days: int = DAYS) -> DataFrame:
+    """One row per (patient_id, time_step < horizon), for every event but a user's last, which is an outcome only.
 
-    Outcomes look one event ahead and histories one back before episodes are
-    cut, all in one window per user. value is the state, dvalue and is_error
-    the outcome, reward a fixed mix of both, target an analytic policy.
+    Successive events of a user make episodes of ``horizon`` steps, the last
+    one shorter; every episode ends with its own terminal step. Outcomes look
+    one event ahead, also past the end of the episode; histories start anew
+    with each. value is the state, dvalue and is_error the outcome, reward a
+    fixed mix of both, target an analytic policy.
+
+    A user may have most of the events: they are numbered by days,
+    and the windows after that hold one episode and the first event after it.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     kind = F.when(F.col("event_type").isin("view", "signup"), 0).when(F.col("event_type").isin("click", "purchase"), 1).otherwise(2)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.withColumn("action_no", kind).select(
-        F.col("user_id").cast("string").alias(EPISODE), (F.row_number().over(w) - 1).cast("int").alias(STEP), "value", "action_no",
-        F.coalesce(F.lag("action_no").over(w), F.lit(0)).alias("previous_no"), (F.lead("value").over(w) - F.col("value")).alias("dvalue"),
-        F.when(F.lead("event_type").over(w) == "error", 1).otherwise(0).alias("is_error"),
-        F.count("*").over(Window.partitionBy("user_id")).alias("_n"))
-    kept = rows.filter((F.col("_n") > horizon) & (F.col(STEP) < horizon)).drop("_n")
+    placed = numbered(events, ["user_id"], ["ts", "event_id"], "_n", F.floor(F.unix_date(F.to_date("ts")) / days))
+    no, at = F.floor(F.col("_n") / horizon), (F.col("_n") % horizon).cast("int")
+    here = F.struct(no.alias("_k"), at.alias(STEP))
+    behind = F.struct((no - 1).alias("_k"), F.lit(horizon).alias(STEP))
+    both = placed.select("user_id", "value", kind.alias("action_no"), (F.col("event_type") == "error").alias("_error"),
+                         F.explode(F.when((at == 0) & (no > 0), F.array(here, behind)).otherwise(F.array(here))).alias("_at")).select("*", "_at.*")
+    w = Window.partitionBy("user_id", "_k").orderBy(STEP)
+    rows = both.select(
+        (F.col("user_id") + F.col("_k") * LATER).cast("string").alias(EPISODE), STEP, "value", "action_no", F.coalesce(F.lag("action_no").over(w), F.lit(0)).alias("previous_no"),
+        (F.lead("value").over(w) - F.col("value")).alias("dvalue"), F.lead("_error").over(w).alias("_ahead"), F.lead(F.lit(1), 2).over(w).isNull().cast("int").alias("terminal"))
+    kept = rows.filter(F.col("_ahead").isNotNull()).withColumn("is_error", F.col("_ahead").cast("int")).drop("_ahead")
     reward = F.tanh(F.col("dvalue") / 50) * 0.45 - F.col("is_error") * 0.9
     logits = [F.lit(0.5), (F.lit(70.0) - F.col("value")) / 150, (F.col("value") - 30) / 100]
-    return kept.withColumns({"reward": reward, "terminal": (F.col(STEP) == horizon - 1).cast("int"), "target": softmax(logits)})
+    return kept.withColumns({"reward": reward, "target": softmax(logits)})
 
 
 def smoothed_behavior(steps: DataFrame, name: str = "behavior") -> DataFrame:
-    """Adds Laplace-smoothed action frequencies given the previous action: three counts per previous action, joined back."""
+    """Adds Laplace-smoothed action frequencies given the previous action: three counts for each of the three, sent to every task."""
     counts = steps.groupBy("previous_no").agg(*[F.sum((F.col("action_no") == i).cast("long")).alias(f"_c{i}") for i in range(3)], F.count("*").alias("_n"))
     table = counts.select(F.col("previous_no").alias("_prev"), F.array(*[(F.col(f"_c{i}") + 1.0) / (F.col("_n") + 3.0) for i in range(3)]).alias(name))
-    return steps.join(table, steps["previous_no"] == table["_prev"]).drop("_prev")
+    return steps.join(F.broadcast(table), steps["previous_no"] == table["_prev"]).drop("_prev")
 
 
 def action_name(no: str = "action_no") -> F.Column:
