@@ -157,8 +157,8 @@ def scope_audit(spark, sf_dir):
     return V.scope_audit(fitted, ids, ("clone", "anchor"))
 
 
-@query("sdr_faults", f"""WITH {CELLS}, x AS (SELECT *, CAST(patient_id AS BIGINT) % 7 AS k FROM dr) SELECT {COUNT.format("k = 1 AND time_step = 1", "not_finite")}, {COUNT.format("(k = 2 AND time_step = 2) OR (k = 3 AND time_step = 2)", "behavior_out")},
- {COUNT.format("k = 4 AND time_step = 4", "target_out")}, count(DISTINCT patient_id)::BIGINT AS episodes, count(DISTINCT CASE WHEN k = 5 THEN patient_id END)::BIGINT AS incomplete FROM x""")
+@query("sdr_faults", f"""WITH {CELLS}, x AS (SELECT *, CAST(patient_id AS BIGINT) % 7 AS k, count(*) OVER (PARTITION BY patient_id) AS n FROM dr) SELECT {COUNT.format("k = 1 AND time_step = 1", "not_finite")}, {COUNT.format("(k = 2 AND time_step = 2) OR (k = 3 AND time_step = 2)", "behavior_out")},
+ {COUNT.format("k = 4 AND time_step = 4", "target_out")}, count(DISTINCT patient_id)::BIGINT AS episodes, count(DISTINCT CASE WHEN k = 5 OR n < {HORIZON} THEN patient_id END)::BIGINT AS incomplete FROM x""")
 def sdr_faults(spark, sf_dir):
     k, t = user() % 7, F.col(STEP)
     rows = with_cells(spark, sf_dir).withColumns({

@@ -1,24 +1,69 @@
-"""Paired bootstraps over episodes, all estimators on the same draws."""
+"""Paired bootstraps over episodes, all estimators on the same draws.
+
+``PoissonDraws`` need no row per draw: how often a resample holds an episode
+is a function of both, with mean and variance one, so every partition adds up
+its own episodes for all resamples at once, and means are ratios of such sums.
+Tables of draws (``index_draws``) are for results that must agree with given
+indices.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .numbering import numbered
 
 
-def hashed_draws(spark: SparkSession, episodes: int, resamples: int, seed: int = 41) -> DataFrame:
-    """(b, idx, m): how often resample b holds episode idx; slots are hashed, so draws need no driver and no shared state."""
-    slots = spark.range(resamples * episodes).select(F.expr(f"id div {episodes}").alias("b"), (F.col("id") % episodes).alias("slot"))
-    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b"), F.col("slot"))), 1, 8), 16, 10).cast("long")
-    return slots.select("b", (word % episodes).alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("m"))
+#: Draws of an episode are counted up to this; more happen once in 10^12.
+MOST_DRAWS = 14
+#: Where the counts 1, 2, ... begin on a scale of 2^32: the Poisson distribution of mean one.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(j + 1))) for j in range(MOST_DRAWS)]
+# The constants of a 32-bit finaliser and the step between resamples.
+MIX, STRIDE = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B1
+ROWS_AT_ONCE = 4096
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers (held in 64 bits) that leaves no pattern."""
+    for shift, factor in ((16, MIX[0]), (13, MIX[1])):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+@dataclass(frozen=True)
+class PoissonDraws:
+    """How often each resample holds an episode: counts of mean one, by two 32-bit hashes of the episode and the number of the resample."""
+
+    resamples: int
+    seed: int = 41
+
+    def keys(self, idx: str = "idx") -> list[Column]:
+        digest = F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(idx).cast("string")).cast("binary"))
+        return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"_k{k}") for k in range(2)]
+
+    def counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """(episodes, resamples) counts."""
+        b = np.arange(self.resamples, dtype=np.uint64) * np.uint64(STRIDE)
+        x = mixed((first.astype(np.uint64)[:, None] + b[None]) & np.uint64(0xFFFFFFFF))
+        x = mixed((x + second.astype(np.uint64)[:, None]) & np.uint64(0xFFFFFFFF))
+        return np.searchsorted(np.array(POISSON, dtype=np.uint64), x, side="right")
+
+    def sql(self, rows: str, key: str, out: str = "slots") -> str:
+        """Tables of SQL that end in ``out`` (b, idx), a row per draw of the episodes of ``rows`` (idx, key)."""
+        step = lambda x: f"xor(xor(x, x >> 16) * {MIX[0]} % 4294967296, (xor(x, x >> 16) * {MIX[0]} % 4294967296) >> 13) * {MIX[1]} % 4294967296".replace("x,", f"{x},").replace("x >>", f"{x} >>")
+        last = lambda x: f"xor({x}, {x} >> 16)"
+        return f"""{out}_k AS (SELECT idx, b, ('0x' || substr(h, 1, 8))::UBIGINT AS k, ('0x' || substr(h, 9, 8))::UBIGINT AS l FROM (SELECT idx, md5('{self.seed}:' || {key}) AS h FROM {rows}), (SELECT unnest(range(0, {self.resamples})) AS b)),
+{out}_0 AS (SELECT idx, b, l, (k + b::UBIGINT * {STRIDE}) % 4294967296 AS x FROM {out}_k), {out}_1 AS (SELECT idx, b, l, {step('x')} AS x FROM {out}_0), {out}_2 AS (SELECT idx, b, ({last('x')} + l) % 4294967296 AS x FROM {out}_1),
+{out}_3 AS (SELECT idx, b, {step('x')} AS x FROM {out}_2), {out}_4 AS (SELECT idx, b, {last('x')} AS x FROM {out}_3), {out} AS (SELECT b, idx, unnest(range(0, {' + '.join(f'CAST(x >= {t} AS INTEGER)' for t in POISSON)})) AS copy FROM {out}_4)"""
 
 
 def generator_draws(spark: SparkSession, episodes: int, resamples: int, seed: int = 41) -> DataFrame:
@@ -41,13 +86,39 @@ def indexed(values: DataFrame, key: str) -> DataFrame:
     return values.join(at, key)
 
 
-def resampled_means(values: DataFrame, draws: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """b and the mean of each column over each resample; ``values`` has one row per idx."""
-    met = draws.join(values.select("idx", *columns), "idx")
-    return met.groupBy("b").agg(*[(F.sum(F.col(c) * F.col("m")) / F.sum("m")).alias(c) for c in columns])
+def resampled_sums(values: DataFrame, draws: DataFrame | PoissonDraws, columns: Sequence[str]) -> DataFrame:
+    """b, m (episodes drawn) and the sum of each column over each resample; ``values`` has one row per idx.
+
+    Under Poisson draws every task adds up all resamples of its own episodes:
+    it holds some thousand at a time and gives one row per resample. A table of
+    draws is joined by idx.
+    """
+    names = list(columns)
+    if not isinstance(draws, PoissonDraws):
+        met = draws.join(values.select("idx", *names), "idx")
+        return met.groupBy("b").agg(F.sum("m").alias("m"), *[F.sum(F.col(c) * F.col("m")).alias(c) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws.resamples, len(names) + 1))
+        for batch in batches:
+            for s in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(s, ROWS_AT_ONCE)
+                k = [part.column(f"_k{i}").to_numpy(zero_copy_only=False) for i in range(2)]
+                x = np.column_stack([np.ones(part.num_rows), *[part.column(f"_v{i}").to_numpy(zero_copy_only=False) for i in range(len(names))]]).astype(float)
+                total += draws.counts(*k).T.astype(float) @ x
+        yield pa.RecordBatch.from_pydict({"b": pa.array(range(draws.resamples), pa.int64()), "m": pa.array(total[:, 0]), **{f"_v{i}": pa.array(total[:, i + 1]) for i in range(len(names))}})
+
+    rows = values.select(*draws.keys(), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    parts = rows.mapInArrow(run, "b long, m double, " + ", ".join(f"_v{i} double" for i in range(len(names))))
+    return parts.groupBy("b").agg(F.sum("m").alias("m"), *[F.sum(f"_v{i}").alias(c) for i, c in enumerate(names)])
+
+
+def resampled_means(values: DataFrame, draws: DataFrame | PoissonDraws, columns: Sequence[str]) -> DataFrame:
+    """b and the mean of each column over each resample, null where it drew nothing; ``values`` has one row per idx."""
+    return resampled_sums(values, draws, columns).select("b", *[F.try_divide(F.col(c), F.col("m")).alias(c) for c in columns])
 
 
-def bootstrap_samples(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str) -> DataFrame:
+def bootstrap_samples(values: DataFrame, draws: DataFrame | PoissonDraws, policies: Sequence[str], baseline: str) -> DataFrame:
     """b, policy, value, difference: the mean of every resample, and what it is above the baseline's."""
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("value"), (F.col(p) - F.col(baseline)).alias("difference")) for p in policies]))
     return resampled_means(values, draws, policies).select("b", rows.alias("_x")).select("b", "_x.*")
@@ -60,7 +131,7 @@ def summarised(samples: DataFrame, horizon: int, confidence: float = 0.95) -> Da
     return out.withColumns({"low_per_decision": F.col("low") / horizon, "high_per_decision": F.col("high") / horizon})
 
 
-def raw_availability(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
+def raw_availability(values: DataFrame, draws: DataFrame | PoissonDraws, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
     """Per policy of unclipped values (null, NaN or infinite where weights overflow): available, finite_fraction, reason, and what the bootstrap says.
 
     A policy with a value that isn't finite has no estimate; it isn't clipped.
@@ -121,7 +192,7 @@ def permuted_rows(df: DataFrame, order: Sequence[str], column: str, seed: int =
     return own.join(other, "_i").withColumn(column, F.col("_moved")).drop("_i", "_moved", "_d")
 
 
-def paired_bootstrap(values: DataFrame, draws: DataFrame, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
+def paired_bootstrap(values: DataFrame, draws: DataFrame | PoissonDraws, policies: Sequence[str], baseline: str, confidence: float = 0.95) -> DataFrame:
     """Per policy: mean, difference from the baseline, and percentile intervals of both."""
     if not 0 < confidence < 1 or baseline not in policies:
         raise ValueError("confidence must lie between 0 and 1, the baseline among the policies")
@@ -138,7 +209,7 @@ def paired_bootstrap(values: DataFrame, draws: DataFrame, policies: Sequence[str
     return long(point, []).select("policy", F.col("v").alias("mean"), F.col("d").alias("difference")).join(spread, "policy")
 
 
-def paired_gap(values: DataFrame, draws: DataFrame, left: str, right: str, confidence: float = 0.95) -> DataFrame:
+def paired_gap(values: DataFrame, draws: DataFrame | PoissonDraws, left: str, right: str, confidence: float = 0.95) -> DataFrame:
     """One row: mean gap, its interval and standard error, and whether the interval excludes zero."""
     gaps = values.withColumn("gap", F.col(left) - F.col(right))
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
@@ -154,7 +225,7 @@ def contrasts(policies: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(policies) for b in policies[i + 1:]]
 
 
-def max_t(values: DataFrame, draws: DataFrame, policies: Sequence[str], estimators: Sequence[str], confidence: float = 0.95) -> DataFrame:
+def max_t(values: DataFrame, draws: DataFrame | PoissonDraws, policies: Sequence[str], estimators: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Simultaneous intervals of all policy pairs under all estimators: one critical value from the largest studentised error of each draw.
 
     ``values`` has a column <estimator>_<policy> and one row per idx. A
@@ -183,14 +254,14 @@ def directed(intervals: DataFrame) -> DataFrame:
     return intervals.unionByName(turned)
 
 
-def cluster_shift(df: DataFrame, before: str, after: str, cluster: str, draws: DataFrame) -> DataFrame:
+def cluster_shift(df: DataFrame, before: str, after: str, cluster: str, draws: DataFrame | PoissonDraws) -> DataFrame:
     """Per action: mean signed shift of probability and its 95 % interval over resampled clusters; clusters are summed once, then resampled.
 
     ``df`` has idx, the number of the cluster.
     """
     n = 3
     sums = df.groupBy("idx").agg(*[F.sum(F.col(after)[i] - F.col(before)[i]).alias(f"s{i}") for i in range(n)], F.count("*").alias("n"))
-    met = draws.join(sums, "idx").groupBy("b").agg(*[(F.sum(F.col(f"s{i}") * F.col("m")) / F.sum(F.col("n") * F.col("m"))).alias(f"s{i}") for i in range(n)])
+    met = resampled_sums(sums, draws, [*[f"s{i}" for i in range(n)], "n"]).select("b", *[F.try_divide(F.col(f"s{i}"), F.col("n")).alias(f"s{i}") for i in range(n)])
     point = df.agg(*[F.avg(F.col(after)[i] - F.col(before)[i]).alias(f"s{i}") for i in range(n)])
 
     def long(x: DataFrame) -> DataFrame:

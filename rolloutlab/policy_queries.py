@@ -17,7 +17,7 @@ from .operators.features import fitted_features, ridge_columns, smoothing_losses
 from .plans import evaluate as E
 from .plans import roles as R
 from .plans.scaled import evaluate_scaled
-from .queries import user, CAPS, CELLS, CLINICAL, DRAWS_SQL, PROP, Q_SQL, RESAMPLES, ROLES_SQL, SQL, TRAJ, WEIGHTED, clinical, episodes, query, rerank_sql, split, steps, tabular_sql, with_behavior, with_cells, with_draws, with_values
+from .queries import user, CAPS, CELLS, CLINICAL, DRAWS_SQL, FOLDED, PROP, Q_SQL, RESAMPLES, ROLES_SQL, SQL, TRAJ, WEIGHTED, clinical, episodes, query, rerank_sql, split, steps, tabular_sql, with_behavior, with_cells, with_draws, with_values
 from .schema import ACTIONS, EPISODE, STEP
 from .sources.events import HORIZON, action_name
 from .sources.synthetic import generate
@@ -327,7 +327,7 @@ def distilled_advantages(spark, sf_dir):
 GRID = (0.5, 1.0, 5.0, 50.0)
 
 
-@query("smoothing_selection", f"""WITH {TRAJ}, ids AS (SELECT DISTINCT patient_id FROM traj), folds AS (SELECT patient_id, (row_number() OVER (ORDER BY patient_id) - 1) % 3 AS fold FROM ids), r AS (SELECT fold, previous_no AS c, action_no AS a, count(*) AS own FROM traj JOIN folds USING (patient_id) GROUP BY 1, 2, 3),
+@query("smoothing_selection", f"""WITH RECURSIVE {FOLDED}, r AS (SELECT fold, previous_no AS c, action_no AS a, count(*) AS own FROM traj JOIN folds USING (patient_id) GROUP BY 1, 2, 3),
 n AS (SELECT fold, c, sum(own) AS nc FROM r GROUP BY 1, 2), ta AS (SELECT c, a, sum(own) AS t FROM r GROUP BY 1, 2), tc AS (SELECT c, sum(own) AS tt FROM r GROUP BY 1), g AS (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS alpha),
 l AS (SELECT alpha, fold, sum(-ln((t - own + alpha) / (tt - nc + 3 * alpha)) * own) / sum(own) AS l FROM r JOIN n USING (fold, c) JOIN ta USING (c, a) JOIN tc USING (c), g GROUP BY 1, 2), m AS (SELECT alpha, avg(l) AS loss FROM l GROUP BY 1)
 SELECT alpha, round(loss, 6) AS loss, alpha = (SELECT alpha FROM m ORDER BY loss, alpha LIMIT 1) AS chosen FROM m""")

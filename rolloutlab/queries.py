@@ -51,6 +51,13 @@ prop AS (
   SELECT t.*, CAST(c0 AS DOUBLE) / n AS b0, CAST(c1 AS DOUBLE) / n AS b1, CAST(c2 AS DOUBLE) / n AS b2,
     CASE action_no WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS pa, CAST(CASE action_no WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS DOUBLE) / n AS ba
   FROM traj t JOIN counts c USING (previous_no))"""
+#: Three folds of episodes, each, the longest first, to the fold with the fewest rows.
+FOLDED = TRAJ + """,
+ids AS MATERIALIZED (SELECT patient_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, patient_id) AS r FROM traj GROUP BY 1),
+dealt AS (SELECT 0::BIGINT AS r, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, -1 AS fold UNION ALL
+ SELECT i.r, CASE WHEN f = 0 THEN a + n ELSE a END, CASE WHEN f = 1 THEN b + n ELSE b END, CASE WHEN f = 2 THEN c + n ELSE c END, f
+ FROM (SELECT *, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM dealt) h JOIN ids i ON i.r = h.r + 1),
+folds AS MATERIALIZED (SELECT patient_id, CAST(fold AS INTEGER) AS fold FROM dealt JOIN ids USING (r))"""
 WEIGHTED = PROP + """,
 lw AS (SELECT *, sum(ln(pa) - ln(ba)) OVER (PARTITION BY patient_id ORDER BY time_step ROWS UNBOUNDED PRECEDING) AS log_w FROM prop)"""
 #: Q of an action at a step: mean reward of that action at that step; V its mean under the target.
@@ -479,13 +486,12 @@ def action_marginal(spark, sf_dir):
 # ---- inference ------------------------------------------------------------------
 
 RESAMPLES = 200
-DRAWS_SQL = f"""ix AS (SELECT *, row_number() OVER (ORDER BY sha256(patient_id), patient_id) - 1 AS idx, count(*) OVER () AS n FROM episode),
-slots AS (SELECT b, slot, CAST(('0x' || substr(md5('41:' || b || ':' || slot), 1, 8)) AS BIGINT) % n AS idx FROM (SELECT unnest(range(0, {RESAMPLES})) AS b), (SELECT max(n) AS n, unnest(range(0, max(n))) AS slot FROM ix))"""
+DRAWS = I.PoissonDraws(RESAMPLES)
+DRAWS_SQL = f"""ix AS (SELECT *, patient_id AS idx FROM episode), {DRAWS.sql("ix", "patient_id")}"""
 
 
-def with_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    values = I.indexed(episodes(spark, sf_dir).persist(), EPISODE).persist()
-    return values, I.hashed_draws(spark, values.count(), RESAMPLES).persist()
+def with_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, I.PoissonDraws]:
+    return settled(episodes(spark, sf_dir).withColumn("idx", F.col(EPISODE))), DRAWS
 
 
 @query("bootstrap_ci", f"""WITH {CELLS}, {DRAWS_SQL}, s AS (SELECT b, avg(v0) AS v0, avg(value_cap_10) AS value_cap_10, avg(factual) AS factual FROM slots JOIN ix USING (idx) GROUP BY b),
@@ -588,7 +594,7 @@ def controls(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import contract_queries, policy_queries, scoring_queries  # noqa: F401  these register theirs
+    from . import contract_queries, learner_queries, policy_queries, scoring_queries  # noqa: F401  these register theirs
 
     return dict(QUERIES)
 

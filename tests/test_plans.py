@@ -177,7 +177,7 @@ def test_permuted_rows(spark):
 
 def test_raw_values_that_overflow_have_no_estimate(spark):
     values = spark.createDataFrame([(i, 1.0 + i, float("inf") if i == 2 else 2.0, float("nan") if i == 0 else 1.0) for i in range(4)], "idx long, a double, b double, c double")
-    draws = I.hashed_draws(spark, 4, 20)
+    draws = I.PoissonDraws(20)
     got = {r.policy: r for r in I.raw_availability(values, draws, ["a", "b", "c"], "a").collect()}
     assert got["a"].available and got["a"].mean == 2.5 and got["a"].difference == 0 and got["a"].reason is None
     assert not got["b"].available and got["b"].finite_fraction == 0.75 and got["b"].mean is None and got["b"].reason

@@ -171,7 +171,7 @@ def test_roles(spark, made):
 
 def test_bootstrap_pairs_share_draws(spark):
     values = spark.createDataFrame([(i, float(i), float(i) + 1) for i in range(4)], "idx long, base double, other double")
-    draws = I.hashed_draws(spark, 4, 40)
+    draws = I.PoissonDraws(40)
     rows = {r.policy: r for r in I.paired_bootstrap(values, draws, ["base", "other"], "base").collect()}
     assert (rows["other"].difference, rows["other"].difference_low, rows["other"].difference_high) == pytest.approx((1, 1, 1))
     gap = I.paired_gap(values, I.index_draws(spark, np.array([[0, 0, 1], [1, 2, 3], [3, 3, 3]])), "other", "base").first()
@@ -200,7 +200,7 @@ def test_max_t(spark):
 
 def test_cluster_shift(spark):
     df = spark.createDataFrame([(0, [0.5, 0.3, 0.2], [0.6, 0.2, 0.2]), (0, [0.5, 0.3, 0.2], [0.6, 0.2, 0.2]), (1, [0.2, 0.2, 0.6], [0.2, 0.2, 0.6])], "idx long, p array<double>, q array<double>")
-    rows = {r.action_no: r for r in I.cluster_shift(df, "p", "q", "idx", I.hashed_draws(spark, 2, 100)).collect()}
+    rows = {r.action_no: r for r in I.cluster_shift(df, "p", "q", "idx", I.PoissonDraws(100)).collect()}
     assert rows[0].mean_shift == pytest.approx(0.2 / 3) and rows[0].low == pytest.approx(0) and rows[0].high == pytest.approx(0.1) and rows[2].mean_shift == 0
 
 
