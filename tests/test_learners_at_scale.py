@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rolloutlab.operators import boosted as B
 from rolloutlab.operators import learners as M
 from rolloutlab.operators import logistic as L
+from rolloutlab.operators.fqe import FittedQ
 from rolloutlab.schema import ACTION, ACTIONS, EPISODE, STEP, ContractError
 
 NUMERIC, CATEGORICAL = ("map_mm_hg", "lactate_mmol_l"), ("sex", "previous_action")
@@ -116,3 +118,48 @@ def test_a_missing_action_is_refused(spark):
     df = table(spark, log_frame(3, 10)).filter(F.col("action_no") < 2)
     with pytest.raises(ContractError, match="every action"):
         L.fit_clone(df, NUMERIC, CATEGORICAL, "action_no", 1.0)
+
+
+# ---- boosted trees ------------------------------------------------------------
+
+
+def wide_rows(seed, n, width, gaps=True, values=40):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, values, (n, width)) / 7
+    y = np.sin(x[:, 0]) + (x[:, 1] > 2) * x[:, -1] + rng.normal(size=n) * 0.3
+    if gaps:
+        x = np.where(rng.random(x.shape) < 0.1, np.nan, x)
+    return x, y
+
+
+@pytest.mark.parametrize(("config", "gaps"), [(B.BoostConfig(12, 0.2, 7, 10), True), (B.BoostConfig(3, 0.5, 15, 5, 1.0), False), (B.BoostConfig(2, 0.1, 2, 200), True), (B.BoostConfig(1, 0.3, 31, 3), True)])
+def test_boosted_trees_are_those_of_memory(spark, config, gaps):
+    x, y = wide_rows(6, 500, 4, gaps)
+    want = B.Booster(config).fit(x, y)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(4)
+    got = B.fit_boosted(df, "x", "y", 4, config)
+    assert len(got.trees) == config.iterations
+    assert [sorted(len(n) for n in t) for t in got.trees] == [sorted(len(n) for n in t) for t in want.trees]
+    assert np.allclose(got.predict(x), want.predict(x), atol=1e-9)
+
+
+def test_bins_of_many_values_are_quantiles(spark):
+    df = spark.range(20_000).select(F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(None).cast("double")).alias("x"))
+    many, one, none = B.bin_cuts(df, "x", 3)
+    assert len(many) == B.MOST_BINS - 1 and np.abs(np.diff(many) - 20_000 / 256).max() < 3 and len(one) == 0 and len(none) == 0
+
+
+def test_boosted_fitted_q_is_the_one_in_memory(spark):
+    rng = np.random.default_rng(9)
+    frame = log_frame(4, 60, 4, gaps=False)
+    frame = frame.assign(map_mm_hg=frame["map_mm_hg"].round(0), lactate_mmol_l=frame["lactate_mmol_l"].round(1), terminal=(frame[STEP] == 3).astype(int))
+    target = rng.dirichlet([1, 1, 1], len(frame))
+    config = B.BoostConfig(4, 0.3, 5, 8)
+    want = FittedQ(NUMERIC, 4, 0.9, boost=config).fit(frame, frame["reward"].to_numpy(), target).predict(frame)
+    rows = [(r[EPISODE], int(r[STEP]), [r["map_mm_hg"], r["lactate_mmol_l"]], ACTIONS.index(r[ACTION]), r["reward"], int(r["terminal"]), p.tolist()) for r, p in zip(frame.to_dict("records"), target)]
+    df = spark.createDataFrame(rows, f"{EPISODE} string, {STEP} int, f array<double>, action_no int, reward double, terminal int, target array<double>").repartition(3)
+    got = B.boosted_values(df, "f", "action_no", "reward", "target", 4, 2, 0.9, config)
+    assert got.columns == [*df.columns, "q", "v"]
+    assert np.allclose(predicted(got, "q"), in_order(frame, want), atol=1e-7)
+    with pytest.raises(ContractError, match="no rows"):
+        B.boosted_values(df.limit(0), "f", "action_no", "reward", "target", 4, 2)
