@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import diagnostics as D
+from .operators import boosted as B
 from .operators import logistic as L
+from .operators.teacher import held_out_values
 from .queries import FOLDED, query, steps
 from .schema import EPISODE, STEP
+from .sources.events import HORIZON
+from .sources.files import settled
 
 GRID = (0.01, 0.1, 1.0, 10.0)
 NUMERIC, CATEGORICAL = ("value",), ("previous_no",)
@@ -76,3 +80,43 @@ def propensity(spark, sf_dir):
 def out_of_fold(spark, sf_dir):
     """How well out-of-fold probabilities agree with the log: log loss, Brier score, calibration error, accuracy."""
     return D.calibration(L.out_of_fold(logged(spark, sf_dir), NUMERIC, CATEGORICAL, "action_no", (0.1, 1.0), 3), "behavior", "action_no")
+
+
+# ---- boosted values and the teacher --------------------------------------------
+
+
+@query("fqe_boosted", None)
+def fqe_boosted(spark, sf_dir):
+    """Fitted Q by boosted trees: state, previous action and action; a few small trees a step."""
+    rows = steps(spark, sf_dir).withColumn("features", F.array("value", F.col("previous_no").cast("double")))
+    out = B.boosted_values(settled(rows), "features", "action_no", "reward", "target", HORIZON, 2, config=B.BoostConfig(3, 0.3, 5, 20))
+    return out.select(EPISODE, STEP, *[F.col("q")[a].alias(f"q{a}") for a in range(3)], "v")
+
+
+def teacher_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
+    """Each of three folds held out: its models are ridges over the other folds' rows, solved by elimination, a chain of next values for each."""
+    parts = [f"""rr AS MATERIALIZED (SELECT patient_id, time_step, reward, terminal, p0, p1, p2, fold, held, value / 100 AS x,
+ list_concat([value / 100], [CASE WHEN action_no = a THEN 1.0 ELSE 0.0 END::DOUBLE FOR a IN [0, 1, 2]], [CASE WHEN action_no = a THEN value / 100 ELSE 0.0 END FOR a IN [0, 1, 2]]) AS f FROM traj JOIN folds USING (patient_id), (SELECT unnest([0, 1, 2]) AS held))"""]
+    for t in range(horizon - 1, -1, -1):
+        last = t == horizon - 1
+        ahead = "" if last else f"LEFT JOIN v{t + 1} n ON n.patient_id = r.patient_id AND n.held = r.held"
+        follow = "0" if last else "CASE WHEN r.terminal = 1 THEN 0 ELSE coalesce(n.v, 0) END"
+        parts.append(f"y{t} AS MATERIALIZED (SELECT r.*, r.reward + {follow} AS y FROM rr r {ahead} WHERE r.time_step = {t})")
+        parts.append(f"g{t} AS MATERIALIZED (SELECT held, i, j, sum(f[i] * f[j]) - count(*) * avg(f[i]) * avg(f[j]) + CASE WHEN i = j THEN {alpha} ELSE 0 END AS a FROM y{t}, range(1, 8) q(i), range(1, 8) s(j) WHERE fold <> held GROUP BY held, i, j)")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT held, i, sum(f[i] * y) - count(*) * avg(f[i]) * avg(y) AS c, avg(f[i]) AS m, avg(y) AS my FROM y{t}, range(1, 8) q(i) WHERE fold <> held GROUP BY held, i)")
+        parts.append(f"m{t}_0 AS MATERIALIZED (SELECT held, i, list_concat(list(a ORDER BY j), [max(c)]) AS r FROM g{t} JOIN c{t} USING (held, i) GROUP BY held, i)")
+        parts += [f"m{t}_{k} AS MATERIALIZED (SELECT m.held, m.i, CASE WHEN m.i = {k} THEN [x / p.r[{k}] FOR x IN p.r] ELSE [m.r[j] - m.r[{k}] / p.r[{k}] * p.r[j] FOR j IN range(1, 9)] END AS r FROM m{t}_{k - 1} m JOIN (SELECT held, r FROM m{t}_{k - 1} WHERE i = {k}) p USING (held))" for k in range(1, 8)]
+        parts.append(f"w{t} AS MATERIALIZED (SELECT held, list(r[8] ORDER BY i) AS w, max(my) - sum(m * r[8]) AS b FROM m{t}_7 JOIN c{t} USING (held, i) GROUP BY held)")
+        q = [f"(b + w[1] * x + w[{2 + a}] + w[{5 + a}] * x)" for a in range(3)]
+        parts.append(f"v{t} AS MATERIALIZED (SELECT patient_id, time_step, fold, held, {', '.join(f'{e} AS q{a}' for a, e in enumerate(q))}, {' + '.join(f'p{a} * {e}' for a, e in enumerate(q))} AS v FROM y{t} JOIN w{t} USING (held))")
+    every = " UNION ALL ".join(f"SELECT * FROM v{t} WHERE fold = held" for t in range(horizon))
+    return f"WITH RECURSIVE {FOLDED}, " + ",\n".join(parts) + f" SELECT patient_id, time_step, {', '.join(f'round(q{a} - v, 5) AS a{a}' for a in range(3))} FROM ({every})"
+
+
+@query("teacher_advantages", teacher_sql(), places=5)
+def teacher_advantages(spark, sf_dir):
+    """Centred advantages of every row from ridges that left its fold out, all folds in the same passes."""
+    rows = steps(spark, sf_dir)
+    rows = settled(rows.join(L.folds(rows, 3), EPISODE).withColumn("features", F.array(F.col("value") / 100)))
+    out = held_out_values(rows, "features", "action_no", "reward", "target", "fold", 3, HORIZON, 1)
+    return out.select(EPISODE, STEP, *[F.col("advantage")[a].alias(f"a{a}") for a in range(3)])

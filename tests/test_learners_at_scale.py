@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from rolloutlab.operators import boosted as B
 from rolloutlab.operators import learners as M
 from rolloutlab.operators import logistic as L
-from rolloutlab.operators.fqe import FittedQ
+from rolloutlab.operators.fqe import FittedQ, distributed_ridge
+from rolloutlab.operators.teacher import held_out_values
+from rolloutlab.queries import queries, steps
 from rolloutlab.schema import ACTION, ACTIONS, EPISODE, STEP, ContractError
+from rolloutlab.sources.events import HORIZON
 
 NUMERIC, CATEGORICAL = ("map_mm_hg", "lactate_mmol_l"), ("sex", "previous_action")
 COLUMNS = (*NUMERIC, *CATEGORICAL)
@@ -163,3 +166,72 @@ def test_boosted_fitted_q_is_the_one_in_memory(spark):
     assert np.allclose(predicted(got, "q"), in_order(frame, want), atol=1e-7)
     with pytest.raises(ContractError, match="no rows"):
         B.boosted_values(df.limit(0), "f", "action_no", "reward", "target", 4, 2)
+
+
+# ---- the teacher --------------------------------------------------------------
+
+
+def test_a_teacher_judges_each_row_by_models_without_its_fold(spark):
+    rng = np.random.default_rng(2)
+    frame = log_frame(8, 45, 4, gaps=False)
+    frame = frame.assign(terminal=(frame[STEP] == 3).astype(int), fold=frame[EPISODE].str[1:].astype(int) % 3)
+    target = rng.dirichlet([1, 1, 1], len(frame))
+    rows = [(r[EPISODE], int(r[STEP]), [r["map_mm_hg"] / 50, r["lactate_mmol_l"]], ACTIONS.index(r[ACTION]), r["reward"], int(r["terminal"]), p.tolist(), int(r["fold"])) for r, p in zip(frame.to_dict("records"), target)]
+    df = spark.createDataFrame(rows, f"{EPISODE} string, {STEP} int, f array<double>, action_no int, reward double, terminal int, target array<double>, fold int").repartition(3)
+    got = held_out_values(df, "f", "action_no", "reward", "target", "fold", 3, 4, 2, 0.9, 5.0)
+    want = np.zeros((len(frame), 3))
+    for f in range(3):
+        on = (frame["fold"] != f).to_numpy()
+        part = df.filter(F.col("fold") != f)
+        q = distributed_ridge(part, "f", "action_no", "reward", ["target"], 4, 0.9, 5.0, 2, apply_to=df.filter(F.col("fold") == f))
+        want[~on] = predicted(q, "q_target")
+    q = predicted(got, "q")
+    assert np.allclose(q, want, atol=1e-9)
+    assert np.allclose(predicted(got, "advantage"), q - (q * target).sum(axis=1, keepdims=True), atol=1e-12)
+    with pytest.raises(ContractError, match="all rows of step"):
+        held_out_values(df.filter("fold = 0"), "f", "action_no", "reward", "target", "fold", 3, 4, 2)
+
+
+# ---- the queries --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def logs(spark, data):
+    """The queries' rows in memory, under the names that the in-memory learners know."""
+    frame = steps(spark, data).toPandas().sort_values([EPISODE, STEP]).reset_index(drop=True)
+    return frame.assign(previous_action=frame["previous_no"].astype(str), **{ACTION: frame["action_no"].map(dict(enumerate(ACTIONS)))})
+
+
+def asked(spark, data, name):
+    out = queries()[name](spark, data).toPandas()
+    return out.sort_values([EPISODE, STEP]).reset_index(drop=True) if EPISODE in out else out
+
+
+def test_queries_over_learners(spark, data, logs):
+    columns, grid = ("value", "previous_action"), (0.01, 0.1, 1.0, 10.0)
+    got = asked(spark, data, "clone_fit")
+    assert np.allclose(got[["p0", "p1", "p2"]], M.Logistic(columns, 1.0).fit(logs).predict(logs), atol=1e-6)
+    best, losses = M.choose_c(logs, M.Features(columns, True), grid, 3)
+    got = asked(spark, data, "clone_selection")
+    assert dict(zip(got["c"], got["loss"])) == pytest.approx(losses, abs=1e-6) and got["c"][got["chosen"]].tolist() == [best]
+    got = asked(spark, data, "propensity")
+    model = M.Propensity(columns, grid, 3).fit(logs)
+    assert np.allclose(got[["b0", "b1", "b2"]], model.predict(logs), atol=2e-6)
+    told = M.Propensity(columns, (0.1, 1.0), 3).fit(logs).diagnostics(logs)
+    row = asked(spark, data, "out_of_fold").iloc[0]
+    assert row["rows"] == told["rows"] and row["log_loss"] == pytest.approx(told["log_loss"], abs=1e-6) and row["brier"] == pytest.approx(told["brier"], abs=1e-6)
+
+
+def test_query_over_boosted_values(spark, data, logs):
+    got = asked(spark, data, "fqe_boosted")
+    config, ahead = B.BoostConfig(3, 0.3, 5, 20), {}
+    want = np.zeros((len(logs), 3))
+    for t in range(HORIZON - 1, -1, -1):
+        part = logs[logs[STEP] == t]
+        state, p = part[["value", "previous_no"]].to_numpy(dtype=float), np.stack(part["target"].to_list())
+        y = part["reward"].to_numpy() + np.array([0.0 if end else ahead.get(e, 0.0) for e, end in zip(part[EPISODE], part["terminal"])])
+        assert len(np.unique(state[:, 0])) <= B.MOST_BINS  # so that bins are exact
+        model = B.Booster(config).fit(np.column_stack([state, np.eye(3)[part["action_no"]]]), y)
+        want[part.index] = np.column_stack([model.predict(np.column_stack([state, np.tile(np.eye(3)[a], (len(part), 1))])) for a in range(3)])
+        ahead = dict(zip(part[EPISODE], (want[part.index] * p).sum(axis=1)))
+    assert np.allclose(got[["q0", "q1", "q2"]], want, atol=2e-6)
