@@ -1,11 +1,12 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
-Fingerprints link at a Hamming distance of three or less. Cut into two
-segments of 32 bits, a linked pair has a segment in which it differs by one
-bit at most. Each segment is indexed under its 32 one-wildcard variants (bit
-i masked, i part of the key), so that such a pair meets in an equality join;
-the whole distance is verified there. Copies share a fingerprint and are
-collapsed first: the join sees distinct fingerprints only.
+Fingerprints of 64 bits link at a Hamming distance of three or less. Cut into
+two segments of 32 bits, a linked pair has a segment in which it differs by
+one bit at most. Each segment is indexed under its 32 one-wildcard variants
+(bit i masked, i part of the key), so that such a pair meets in an equality
+join; the whole distance is verified there. Copies share a fingerprint and are
+collapsed first: the join sees distinct fingerprints only. Wide fingerprints
+have more segments of the same size and reach further (``near_nodes``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, spread_join
+from .common import components, cut
 
 RADIUS = 3
 SEED = 42
@@ -152,180 +153,120 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return first.join(chosen, first["doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
 
 
-def keep_one_of_near(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One document of each component of near_duplicates: that with the smallest doc_id; of rows with its doc_id one.
-
-    Columns stay as they are, whatever their names. Texts without words, null
-    ones too, form one group; a group without any doc_id keeps one row, and of
-    all such groups one row stays. Empty input gives no rows.
-    """
-    return first_of_each(docs, near_duplicates(docs, width, radius))
+# ---- wide fingerprints -------------------------------------------------------
 
+#: The stage's fingerprint: 192 bits in six segments of 32, so that keys stay selective when there are billions of texts.
+WORDS, SEGMENT = 3, 32
+#: Differing bits of 192 up to which texts link: 29 are expected at a Jaccard similarity of 0.8, with a spread of 5.
+NEAR = 24
 
-# ---- documents of a given shingle similarity -------------------------------
-
-#: 64-bit words of the parity bits of a shingle set.
-PARITY = 16
-#: Entries of a bucket that the others of another component are compared with in one task.
-BUCKET = 2048
-#: MinHash bands and the minima in each: a pair at Jaccard 0.8 misses all of them in (1 - 0.8**4)**24 = 3e-6 of cases, whatever the edit.
-BANDS = 24
-BAND_ROWS = 4
-_DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-SLOPES, OFFSETS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
-HASHED_AT_ONCE = 4096
-
-
-def word_hashes(text: str | None) -> tuple[int, int]:
-    """Two signed hashes of the word sequence, of 64 and 32 bits."""
-    words = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-    node, more = xxhash.xxh64_intdigest(words, SEED), xxhash.xxh32_intdigest(words, SEED)
-    return node - (1 << 64) * (node >> 63), more - (1 << 32) * (more >> 31)
 
+def wide_simhash(texts: list[str | None], width: int, words: int = WORDS) -> np.ndarray:
+    """(texts, words) signed 64-bit words: the bits set in over half of a text's hashes, and of further hashes made of these."""
+    out, digests, counts = [], [], []
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct shingles."""
-    found = np.frombuffer(b"".join(shingle_digests(text, width)), dtype=">u8")
-    return np.unique((found & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+    def flush() -> None:
+        hashes = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
+        out.append(np.column_stack([majority_bits(further(hashes, k), counts) for k in range(words)]))
+        digests.clear()
+        counts.clear()
 
+    for text in texts:
+        found = shingle_digests(text, width)
+        digests.extend(found)
+        counts.append(len(found))
+        if len(digests) >= BATCH_HASHES:
+            flush()
+    if counts:
+        flush()
+    return np.concatenate(out).view(np.int64) if out else np.zeros((0, words), dtype=np.int64)
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """Signed 64-bit keys of the MinHash bands of a set of 32-bit hashes; none of an empty set."""
-    if not len(shingles):
-        return []
-    hashes = shingles.view(np.uint32).astype(np.uint64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for s in range(0, len(hashes), HASHED_AT_ONCE):
-        least = np.minimum(least, (SLOPES * hashes[s: s + HASHED_AT_ONCE] + OFFSETS).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return [k - (1 << 64) * (k >> 63) for k in keys]
 
+def further(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit hash made of each; the 0-th is itself."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def parities(shingles: np.ndarray) -> list[int]:
-    """Whether an odd number of the hashes fall to each of the bits, in signed 64-bit words.
 
-    A hash in just one of two sets flips one bit, so that two sets differ in as
-    many hashes as their parities differ in bits, or more.
-    """
-    odd = np.bincount(shingles.view(np.uint32) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+def differing(a: Column, b: Column, words: int) -> Column:
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def within_reach(su: Column, nu: Column, sv: Column, nv: Column, similarity: float) -> Column:
-    """Whether sets of such parities and sizes can have at least the similarity; never false for a pair that has it.
+def near_nodes(nodes: DataFrame, words: int, radius: int, segments: int) -> DataFrame:
+    """All pairs (u < v) of nodes (node, fp of ``words`` words) that differ in ``radius`` bits at most and in one at most of some segment.
 
-    Sets at similarity s differ in (1 - s) / (1 + s) of their summed sizes at most.
+    Up to 2 * segments - 1 bits leave such a segment, so up to that radius
+    these are all pairs within it; beyond, the segment is part of what a link
+    is. A segment is indexed once per wildcard: its other bits and the place
+    are the key. A pair meets once a segment: with the wildcard where it
+    differs, or with the first where it is equal. Only names and one bit
+    travel with the keys; fingerprints are fetched for the pairs that met.
     """
-    apart = F.lit(0)
-    for k in range(PARITY):
-        apart = apart + F.bit_count(su[k].bitwiseXOR(sv[k]))
-    return F.greatest(apart, F.abs(nu - nv)) * (1 + similarity) <= (nu + nv) * (1 - similarity) + 1e-6
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least the similarity; a v may stand in most of them."""
-    pairs = cut(pairs)
-    often = pairs.groupBy("v").agg(F.count("*").alias("_n"))
-    seconds = cut(sets.select(F.col("node").alias("v"), F.col("shingles").alias("_b")).join(often, "v"))
-    met = spread_join(pairs, seconds, ["v"], "_n", pairs.count(), ["u"]).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_a")), "u")
-    both = F.size(F.array_intersect("_a", "_b"))
-    whole = F.size("_a") + F.size("_b") - both
-    return met.filter((whole == 0) | (both / F.greatest(whole, F.lit(1)) >= similarity)).select("u", "v")
-
-
-def central_pairs(shared: DataFrame, total: int) -> DataFrame:
-    """(u, v): every member of a bucket with the bucket's hub, that with the most company over all its buckets.
+    bits = 64 * words
+    cuts = [bits * k // segments for k in range(segments + 1)]
+    if any(b - a > 53 for a, b in zip(cuts, cuts[1:])):
+        raise ValueError("a segment has 53 bits at most, as its wildcard's place stands above it")
+    variants = []
+    for a, b in zip(cuts, cuts[1:]):
+        word, shift, length = a // 64, a % 64, b - a
+        low = F.shiftrightunsigned(F.col("fp")[word], shift)
+        if shift + length > 64:
+            low = low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - shift))
+        variants.append(_wildcards(low.bitwiseAND(F.lit((1 << length) - 1)), F.sequence(F.lit(a), F.lit(b - 1)), a))
+    rows = nodes.select("node", F.explode(F.concat(*variants)).alias("_v")).select("node", "_v.*")
+    other = rows.select(F.col("key").alias("_k"), F.col("bit").alias("_b"), F.col("node").alias("v"))
+    # both sides have a row per wildcard: without the hint Spark would judge them by the size of the fingerprints' file
+    met = rows.join(other.hint("merge"), (F.col("key") == F.col("_k")) & (F.col("node") < F.col("v")) & ((F.col("bit") != F.col("_b")) | F.col("first")))
+    pairs = cut(met.select(F.col("node").alias("u"), "v").distinct())
+    far = pairs.join(nodes.select(F.col("node").alias("u"), F.col("fp").alias("_fu")).hint("merge"), "u").join(nodes.select(F.col("node").alias("v"), F.col("fp").alias("_fv")).hint("merge"), "v")
+    return far.filter(differing(F.col("_fu"), F.col("_fv"), words) <= radius).select("u", "v")
+
+
+def _wildcards(segment: Column, places: Column, start: int) -> Column:
+    """Per place struct<key, bit, first>: the segment without that bit, the bit, and whether it is the segment's first."""
+
+    def variant(i: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), i - start)
+        key = segment.bitwiseAND(F.bitwise_not(one)).bitwiseOR(F.call_function("shiftleft", i.cast("long"), F.lit(53)))
+        return F.struct(key.alias("key"), (segment.bitwiseAND(one) != 0).alias("bit"), (i == start).alias("first"))
+
+    return F.transform(places, variant)
+
+
+def wide_groups(docs: DataFrame, width: int = 5, radius: int = NEAR, words: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id reachable by links).
 
-    In a group of near-copies that is the text the others were made from, or
-    the one least changed; mostly all buckets of the group have the same.
+    Fingerprints of 64 * words bits over ``width``-word shingles link as in
+    ``near_nodes``, with segments of SEGMENT bits. Equal fingerprints are one
+    node. Null texts count as empty; texts without words share a fingerprint
+    that no other text has. Documents with a null doc_id take part and name a
+    component only where all lack one. Repeated rows stay rows, extra columns
+    are left out, empty input gives no rows.
     """
-    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    best = F.max(F.struct("company", (-F.col("node")).alias("last"), F.col("node").alias("hub")))
-    hubs = shared.join(company, "node").groupBy("key").agg(best.alias("_h"), F.count("*").alias("n")).select("key", "_h.hub", "n")
-    met = spread_join(shared.drop("n"), cut(hubs), ["key"], "n", total, ["node"])
-    return met.select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
 
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(wide_simhash(texts.tolist(), width, words)), dtype=object)
 
-def pairs_left(placed: DataFrame, total: int, similarity: float) -> DataFrame:
-    """(u, v): members of one bucket in different components that sizes and parities don't keep apart.
+    marked = cut(docs.select("doc_id", of("text").alias("fp")))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes)  # numbers are given once, when the table is written
+    groups = components(near_nodes(nodes.select("node", "fp"), words, radius, 64 * words // SEGMENT))
+    known = cut(nodes.join(groups.hint("merge"), "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
+    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = known.join(names.hint("merge"), "component").select("fp", "component_id")
+    return marked.join(classes.hint("merge"), "fp").select("doc_id", "component_id")
 
-    ``placed`` has key, node, component, size, odd. Buckets of one component
-    are done. In the others, what isn't in the largest component there (by its
-    last name) meets all members, dealt over as many tasks as the bucket needs.
-    """
-    per = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("main"), F.count("*").alias("n")).filter("low <> main")
-    open_ = spread_join(placed, cut(per.drop("low")), ["key"], "n", total, ["node"])
-    open_ = cut(open_.withColumn("ways", F.ceil(F.col("n") / BUCKET).cast("int")))
-    a = open_.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("node").alias("u"), F.col("component").alias("cu"),
-                                                 F.col("odd").alias("su"), F.col("size").alias("nu"))
-    b = open_.select(F.col("key").alias("_k"), F.pmod(F.xxhash64("node"), F.col("ways")).cast("int").alias("_w"), F.col("node").alias("v"), F.col("component").alias("cv"), "main",
-                     F.col("odd").alias("sv"), F.col("size").alias("nv"))
-    once = (F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))
-    near = (F.col("cu") != F.col("cv")) & once & within_reach(F.col("su"), F.col("nu"), F.col("sv"), F.col("nv"), similarity)
-    return a.join(b, (F.col("key") == F.col("_k")) & (F.col("way") == F.col("_w")) & near).select("u", "v").distinct()
-
-
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, component_id (the smallest doc_id reachable by links).
 
-    Documents link if their sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity``. Each is indexed under the BANDS keys
-    of its MinHash bands; whether a pair meets depends on its Jaccard
-    similarity alone and not on where the texts differ. Every bucket member is
-    compared with the bucket's hub first, which joins most of a group at the
-    cost of one pair a member; then members of one bucket that are in
-    different components still are compared, unless sizes and parity bits of
-    their shingle sets prove them less alike. Texts of equal words are
-    collapsed first (two hashes of the word sequence, 96 bits). Null texts
-    count as empty; documents with a null doc_id take part. Empty input gives
-    no rows.
-    """
+def keep_one_of_alike(docs: DataFrame, width: int = 5, radius: int = NEAR, words: int = WORDS) -> DataFrame:
+    """One document of each group of ``wide_groups``: that with the smallest doc_id; of rows with its doc_id one.
 
-    @F.pandas_udf("struct<node: long, more: int, size: int, odd: array<long>, keys: array<long>>")
-    def sketches(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, width) for t in texts]
-        names = [word_hashes(t) for t in texts]
-        return pd.DataFrame({"node": [n for n, _ in names], "more": [m for _, m in names], "size": [len(s) for s in sets], "odd": [parities(s) for s in sets], "keys": [bands(s) for s in sets]})
-
-    marked = cut(docs.select("doc_id", sketches("text").alias("_s")).select("doc_id", "_s.*"))
-    texts_of = marked.groupBy("node", "more").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "odd", "keys")])
-    # the written number stands for the two hashes from here on
-    nodes = cut(texts_of.withColumnRenamed("node", "hash").withColumn("node", F.monotonically_increasing_id()))
-    total = nodes.count() * BANDS
-    variants = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(spread_join(variants, cut(buckets), ["key"], "n", total, ["node"]))
-
-    involved = cut(shared.select("node").distinct().join(nodes, "node").select("least", "hash", "more", "node"))
-
-    @F.pandas_udf("struct<hash: long, more: int, shingles: array<int>>")
-    def shingled(texts: pd.Series) -> pd.DataFrame:
-        names = [word_hashes(t) for t in texts]
-        return pd.DataFrame({"hash": [n for n, _ in names], "more": [m for _, m in names], "shingles": [shingle_set(t, width) for t in texts]})
-
-    shingled = shingled.asNondeterministic()  # hashes are join keys: without this a filter for nulls would shingle every text once more
-    names = involved.select(F.col("least").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(names, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.select(shingled("text").alias("_h")).select("_h.*").join(involved.select("hash", "more", "node"), ["hash", "more"])
-    sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
-
-    links = cut(verified(central_pairs(shared, total), sets, similarity))
-    groups = components(links)
-    placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = cut(placed.join(nodes.select("node", "size", "odd"), "node"))
-    rest = cut(verified(pairs_left(placed, total, similarity), sets, similarity))
-    groups = components(links.unionByName(rest))
-    known = cut(nodes.select("hash", "more", "node", "least", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = cut(known.join(named, "component").select(F.col("hash").alias("node"), "more", "component_id", "copies"))
-    return spread_join(marked.select("doc_id", "node", "more"), classes, ["node", "more"], "copies", total // BANDS, ["doc_id"]).select("doc_id", "component_id")
-
-
-def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest doc_id; of rows with its doc_id one.
-
-    Columns stay as they are, whatever their names. Null and empty texts are
-    alike and form one group; a group without any doc_id keeps one row. Empty
-    input gives no rows.
+    Columns stay as they are, whatever their names. Texts without words, null
+    ones too, form one group; a group without any doc_id keeps one row, and of
+    all such groups one row stays. Empty input gives no rows.
     """
-    return first_of_each(docs, similar_documents(docs, width, similarity))
+    return first_of_each(docs, wide_groups(docs, width, radius, words))

@@ -21,7 +21,7 @@ from rolloutlab.llm.line_dedup import dedup_lines
 from rolloutlab.llm.mixing import draw_counts, mix_documents, mix_sizes, permute, target_sizes
 from rolloutlab.llm.packing import encoder, pack_documents, piece_spans, plan, vocabulary_path
 from rolloutlab.llm.sharding import jump_hash, shard_documents, write_shards
-from rolloutlab.llm.simhash_dedup import keep_one_of_similar, linked_pairs, near_duplicates, similar_documents
+from rolloutlab.llm.simhash_dedup import keep_one_of_alike, linked_pairs, near_duplicates, near_nodes, wide_groups, wide_simhash
 from rolloutlab.llm.toxicity import codes, drop_toxic, fit, score_documents, subsequence_kernel
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -196,22 +196,74 @@ def test_simhash_gathers_no_table_in_the_driver(odd, spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-def test_similar_documents(odd, spark):
-    found = {r.doc_id: r.component_id for r in similar_documents(odd).collect()}
-    assert found[2] == found[1] == found[6] == 1 and found[7] == 7 and found[8] == 8
-    kept = keep_one_of_similar(odd)
+@pytest.mark.parametrize(("words", "radius"), [(1, 3), (2, 7), (3, 11), (3, 24)])
+def test_wide_links_equal_brute_force(spark, words, radius):
+    rng = np.random.default_rng(radius)
+    bits, segments = 64 * words, 64 * words // 32
+    values = set()
+    for b in range(8):
+        base = int.from_bytes(rng.bytes(bits // 8), "little")
+        values.add(base)
+        for _ in range(14):
+            v = base
+            for k in rng.choice(bits, rng.integers(1, radius + 4), replace=False):
+                v ^= 1 << int(k)
+            values.add(v)
+    fps = sorted(values)
+    signed = lambda v, k: int(np.uint64(v >> 64 * k & (2**64 - 1)).astype(np.int64))
+    nodes = cut(spark.createDataFrame([(i, [signed(v, k) for k in range(words)]) for i, v in enumerate(fps)], "node long, fp array<long>"))
+    got = {(r.u, r.v) for r in near_nodes(nodes, words, radius, segments).collect()}
+    apart = lambda a, b: [((a ^ b) >> 32 * k & 0xFFFFFFFF).bit_count() for k in range(segments)]
+    want = {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if i < j and sum(apart(a, b)) <= radius and min(apart(a, b)) <= 1}
+    assert got == want and want
+    if radius <= 2 * segments - 1:
+        assert want == {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if i < j and (a ^ b).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("segments", [5, 7])
+def test_segments_may_cross_words(spark, segments):
+    rng = np.random.default_rng(1)
+    base = int.from_bytes(rng.bytes(24), "little")
+    fps = [base] + [base ^ sum(1 << int(k) for k in rng.choice(192, 2 * segments - 1, replace=False)) for _ in range(20)]
+    nodes = cut(spark.createDataFrame([(i, [int(np.uint64(v >> 64 * k & (2**64 - 1)).astype(np.int64)) for k in range(3)]) for i, v in enumerate(fps)], "node long, fp array<long>"))
+    got = {(r.u, r.v) for r in near_nodes(nodes, 3, 2 * segments - 1, segments).collect()}
+    assert got == {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if i < j and (a ^ b).bit_count() <= 2 * segments - 1} and len(got) >= 20
+
+
+def test_wide_fingerprints(odd):
+    texts = [r.text for r in odd.collect()]
+    wide = wide_simhash(texts, 3, 3)
+    assert [f"{int(v) % 2**64:016x}" for v in wide[:, 0]] == [f"{slow_simhash(t, 3):016x}" for t in texts]
+    assert len({tuple(w) for w in wide.tolist()}) == len({tuple(w) for w in wide[:, :1].tolist()})
+
+
+def test_one_of_alike_stays(odd, spark):
+    found = {r.doc_id: r.component_id for r in wide_groups(odd).collect()}
+    assert found[2] == found[1] == found[6] == 1 and found[7] == 7 and found[8] == 8 and found[3] == found[4] == found[5] == 3
+    kept = keep_one_of_alike(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and 6 not in ids and 7 in ids
-    texts = [(i, prose(100 + i, 200)) for i in range(12)]
+    texts = [(i, prose(100 + i, 300)) for i in range(12)]
     near = []
     for i, t in texts:
         words = t.split()
         words[17] = "changed"
         near.append((i + 100, " ".join(words)))
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts + near], DOCS)
-    assert {r.doc_id: r.component_id for r in similar_documents(df).collect()} == {i: i % 100 for i, _ in texts + near}
-    assert similar_documents(empty(odd)).count() == 0
+    assert {r.doc_id: r.component_id for r in wide_groups(df).collect()} == {i: i % 100 for i, _ in texts + near}
+    assert wide_groups(empty(odd)).count() == 0
+
+
+def test_alike_texts_are_similar():
+    """Bits by Jaccard similarity of five-word shingles: at 0.9 most pairs are within reach, under 0.7 next to none."""
+    within = {}
+    for low, high in ((0.9, 1.0), (0.8, 0.84), (0.5, 0.7)):
+        pairs = edited_pairs("scattered", each=40, low=low, high=high)
+        assert len(pairs) >= 30
+        fps = wide_simhash([" ".join(x) for pair in pairs for x in pair], 5)
+        within[low] = np.mean([sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= 24 for a, b in zip(fps[::2], fps[1::2])])
+    assert within[0.9] > 0.85 and within[0.5] < 0.02
 
 
 def edited(words, kind, n, fresh):
@@ -248,23 +300,6 @@ def edited_pairs(kind, lengths=(100, 400), each=40, low=0.8, high=0.84):
     return out
 
 
-@pytest.mark.parametrize("kind", ["append", "truncate", "block", "scattered"])
-def test_similar_documents_by_kind_of_edit(spark, kind):
-    pairs = edited_pairs(kind)
-    assert len(pairs) >= 40
-    rows = [(2 * i + k, " ".join(x), "en", "s", 0) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
-    found = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
-    assert all(found[i] == i - i % 2 for i, *_ in rows)
-
-
-def test_similar_documents_in_a_chain(spark):
-    """Windows over one word sequence, each similar to the next one only: most links are left to the pairs after the hubs."""
-    words = [f"w{k}" for k in range(1800)]
-    rows = [(i, " ".join(words[9 * i: 9 * i + 100]), "en", "s", 0) for i in range(180)]
-    assert slow_jaccard(words[:100], words[9: 109]) >= 0.8 > slow_jaccard(words[:100], words[18: 118])
-    assert {r.component_id for r in similar_documents(spark.createDataFrame(rows, DOCS)).collect()} == {0}
-
-
 def slow_line_dedup(docs, least):
     seen, out = set(), {}
     for i, text in docs:
