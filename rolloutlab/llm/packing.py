@@ -28,6 +28,8 @@ from .common import cut, numbered
 
 SEQUENCE = 1024
 END = 2
+#: Pieces of one length that a task numbers, about, and the buckets of a length at least.
+BUCKET_PIECES, LEAST_BUCKETS = 200_000, 256
 # Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -109,11 +111,11 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = EN
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, from_arrow_schema(kind))
 
 
-def patterns(sequence: int, present: np.ndarray, most: int) -> np.ndarray:
+def patterns(sequence: int, present: np.ndarray) -> np.ndarray:
     """Length patterns of two or three present lengths that fill a sequence exactly; 0 pads.
 
-    A histogram of the lengths decides nothing but which exist. Beyond
-    ``most`` patterns of three, an even share of them is taken.
+    A histogram of the lengths decides nothing but which exist. There are
+    about sequence**2 / 12 patterns of three at most.
     """
     have = np.zeros(sequence + 1, dtype=bool)
     have[present] = True
@@ -124,8 +126,6 @@ def patterns(sequence: int, present: np.ndarray, most: int) -> np.ndarray:
     ok = (x <= y) & (y <= z)
     ok[ok] = have[z[ok]]
     three = np.stack([x[ok], y[ok], z[ok]], axis=1)
-    if len(three) > most:
-        three = three[np.linspace(0, len(three) - 1, most).astype(int)]
     return np.concatenate([two, three]) if len(three) else two
 
 
@@ -151,7 +151,7 @@ def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> n
     return x
 
 
-def plan(histogram: np.ndarray, sequence: int = SEQUENCE, most: int = 60_000) -> dict[str, np.ndarray]:
+def plan(histogram: np.ndarray, sequence: int = SEQUENCE) -> dict[str, np.ndarray]:
     """Packs counts of lengths 1..sequence: arrays length, first, count, sequence, offset.
 
     The pieces of ``length`` numbered first .. first + count - 1 go to the
@@ -175,7 +175,7 @@ def plan(histogram: np.ndarray, sequence: int = SEQUENCE, most: int = 60_000) ->
 
     if left[sequence]:
         place([sequence], int(left[sequence]))
-    found = patterns(sequence, np.flatnonzero(left[:sequence]), most)
+    found = patterns(sequence, np.flatnonzero(left[:sequence]))
     if len(found):
         counts = np.floor(fit_counts(found, left[: sequence + 1] * (np.arange(sequence + 1) < sequence)) + 1e-6).astype(np.int64)
         for k in np.argsort(-counts, kind="stable"):
@@ -224,7 +224,9 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         return pd.DataFrame({"sequence_id": packed["sequence"][row] + number.to_numpy() - packed["first"][row], "offset": packed["offset"][row]})
 
     assert begin[-1] == len(packed["length"])
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(256)).cast("int")
+    # nearly all pieces of long documents have one length: as many buckets as the commonest length asks for
+    buckets = max(LEAST_BUCKETS, -(-int(histogram.max()) // BUCKET_PIECES))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int")
     ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_number", bucket)
     return (ranked.withColumn("_at", placed("length", "_number"))
             .select(*pieces.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset")))
@@ -234,9 +236,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, sequence: int = SEQ
     """Packs whole documents: one row per piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end token alone. Only documents longer than a
-    sequence are cut. Of more than 60,000 patterns of three lengths an even
-    share is fitted; what they leave is packed best fit, no piece is left out. Repeated rows and rows without doc_id are packed each on
-    its own. Empty input gives no rows; extra columns are left out.
+    sequence are cut. What the patterns leave is packed best fit, no piece is
+    left out. Repeated rows and rows without doc_id are packed each on its
+    own. Empty input gives no rows; extra columns are left out.
     """
     pieces = cut(tokenize(docs, path or vocabulary_path(), sequence, end, with_ids))
     return pack_pieces(pieces, sequence)
