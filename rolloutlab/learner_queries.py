@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from .operators import diagnostics as D
 from .operators import boosted as B
 from .operators import logistic as L
+from .operators.fqe import by_step
 from .operators.teacher import held_out_values
 from .queries import FOLDED, query, steps
 from .schema import EPISODE, STEP
 from .sources.events import HORIZON
-from .sources.files import settled
 
 GRID = (0.01, 0.1, 1.0, 10.0)
 NUMERIC, CATEGORICAL = ("value",), ("previous_no",)
@@ -89,7 +89,7 @@ def out_of_fold(spark, sf_dir):
 def fqe_boosted(spark, sf_dir):
     """Fitted Q by boosted trees: state, previous action and action; a few small trees a step."""
     rows = steps(spark, sf_dir).withColumn("features", F.array("value", F.col("previous_no").cast("double")))
-    out = B.boosted_values(settled(rows), "features", "action_no", "reward", "target", HORIZON, 2, config=B.BoostConfig(3, 0.3, 5, 20))
+    out = B.boosted_values(by_step(rows), "features", "action_no", "reward", "target", HORIZON, 2, config=B.BoostConfig(3, 0.3, 5, 20))
     return out.select(EPISODE, STEP, *[F.col("q")[a].alias(f"q{a}") for a in range(3)], "v")
 
 
@@ -117,6 +117,6 @@ def teacher_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
 def teacher_advantages(spark, sf_dir):
     """Centred advantages of every row from ridges that left its fold out, all folds in the same passes."""
     rows = steps(spark, sf_dir)
-    rows = settled(rows.join(L.folds(rows, 3), EPISODE).withColumn("features", F.array(F.col("value") / 100)))
+    rows = by_step(rows.join(L.folds(rows, 3), EPISODE).withColumn("features", F.array(F.col("value") / 100)))
     out = held_out_values(rows, "features", "action_no", "reward", "target", "fold", 3, HORIZON, 1)
     return out.select(EPISODE, STEP, *[F.col("advantage")[a].alias(f"a{a}") for a in range(3)])

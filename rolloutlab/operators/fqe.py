@@ -93,6 +93,11 @@ class FittedQ:
         return out
 
 
+def by_step(df: DataFrame) -> DataFrame:
+    """The table written with the rows of a step together, so that a pass over one step skips the pages of the others."""
+    return settled(df.sortWithinPartitions(STEP))
+
+
 def stage_rows(df: DataFrame, step: int) -> DataFrame:
     """The rows of one step, one per episode."""
     return df.filter(F.col(STEP) == step)

@@ -19,7 +19,7 @@ from ..operators import gates as G
 from ..operators import inference as I
 from ..operators import sdr as S
 from ..operators import support as U
-from ..operators.fqe import distributed_ridge, initial_values, tabular
+from ..operators.fqe import by_step, distributed_ridge, initial_values, tabular
 from ..schema import EPISODE, STEP, ContractError
 from ..sources.files import settled
 
@@ -40,7 +40,7 @@ def evaluate_scaled(fit: DataFrame, valid: DataFrame, policies: Mapping[str, Col
     names = list(policies)
     marks = {n: f"_p{i}" for i, n in enumerate(names)}
     # tables are written where many plans would start from them
-    fit, valid = (settled(df.withColumns({marks[n]: policies[n] for n in names})) for df in (fit, valid))
+    fit, valid = (by_step(df.withColumns({marks[n]: policies[n] for n in names})) for df in (fit, valid))
     if learner == "ridge":
         fit, valid = (df.withColumn("_f", F.array(*features)) for df in (fit, valid))
         known = distributed_ridge(fit, "_f", action, reward, [marks[n] for n in names], horizon, gamma, alpha, len(features), valid)

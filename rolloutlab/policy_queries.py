@@ -18,9 +18,11 @@ from .plans import evaluate as E
 from .plans import roles as R
 from .plans.scaled import evaluate_scaled
 from .queries import user, CAPS, CELLS, CLINICAL, DRAWS_SQL, FOLDED, PROP, Q_SQL, RESAMPLES, ROLES_SQL, SQL, TRAJ, WEIGHTED, clinical, episodes, query, rerank_sql, split, steps, tabular_sql, with_behavior, with_cells, with_draws, with_values
-from .schema import ACTIONS, EPISODE, STEP
+from .schema import ACTION, ACTIONS, EPISODE, STEP
 from .sources.events import HORIZON, action_name
+from .sources.files import scratch
 from .sources.synthetic import generate
+from .streaming.episodes import replayed
 from .streaming.replay import transitions
 
 CHOSEN = {"base_temperature": 2.0, "advantage_weight": 0.5, "support_weight": 1.0}
@@ -284,6 +286,20 @@ def logged_replay(spark, sf_dir):
     return out.select(EPISODE, STEP, F.col("observation.map_mm_hg").alias("map_mm_hg"), "action", "reward", F.col("next_observation.map_mm_hg").alias("next_map_mm_hg"), "terminated")
 
 
+@query("streamed_replay", SQL["logged_replay"])
+def streamed_replay(spark, sf_dir):
+    """The same from a stream of files in which an episode's steps lie scattered: two files a batch, episodes as states."""
+    rows = clinical(spark, sf_dir).join(steps(spark, sf_dir).select(EPISODE, STEP, "terminal"), [EPISODE, STEP])
+    logged = rows.select(EPISODE, STEP, "map_mm_hg", ACTION, X.PRIMARY.total().alias("reward"), "terminal")
+    folder = scratch(spark)
+    logged.repartition(8, F.xxhash64(EPISODE, STEP)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(logged.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    out = replayed(stream, ["map_mm_hg"], HORIZON)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(out.schema).parquet(f"{folder}/out").filter("fault is null")
+    return done.select(EPISODE, STEP, "map_mm_hg", F.col(ACTION).alias("action"), "reward", "next_map_mm_hg", "terminated")
+
+
 CONFIGS = [({}, "none"), ({"improvement": {"selected_variant": "value_only"}}, "refused"), ({"improvement": {"selected_variant": "value_only", "selected_parameters": CHOSEN}}, "value_only"),
            ({"improvement": {"selected_variant": "unheard", "selected_parameters": CHOSEN}}, "refused"), ({"improvement": {"selected_parameters": CHOSEN}}, "refused"),
            ({"improvement": {"selected_variant": "value_only", "selected_parameters": CHOSEN | {"base_temperature": 0.0}}}, "refused")]

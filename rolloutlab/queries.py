@@ -385,7 +385,7 @@ CELL_ROWS = f"WITH {TRAJ}, cells AS MATERIALIZED (SELECT *, CASE WHEN value >= 5
 @query("fqe_tabular", f"""{CELL_ROWS}, {tabular_sql("q", "previous_no")}
 SELECT patient_id, time_step, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(v, 6) AS v FROM q""")
 def fqe_tabular(spark, sf_dir):
-    return Q.tabular(settled(steps(spark, sf_dir)), ["previous_no"], "action_no", "reward", "target", HORIZON).select(EPISODE, STEP, *split("q", "q"), "v")
+    return Q.tabular(Q.by_step(steps(spark, sf_dir)), ["previous_no"], "action_no", "reward", "target", HORIZON).select(EPISODE, STEP, *split("q", "q"), "v")
 
 
 @query("cell_sensitivity", f"""{CELL_ROWS}, {tabular_sql("a", "previous_no")}, {tabular_sql("b", "previous_no, band")}
@@ -422,7 +422,7 @@ def ridge_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
 def fqe_ridge(spark, sf_dir):
     """Distributed ridge over state, action and their products, for two policies at once."""
     rows = with_behavior(spark, sf_dir).withColumn("features", F.array(F.col("value") / 100))
-    out = Q.distributed_ridge(settled(rows), "features", "action_no", "reward", ["target", "behavior"], HORIZON)
+    out = Q.distributed_ridge(Q.by_step(rows), "features", "action_no", "reward", ["target", "behavior"], HORIZON)
     return out.groupBy(STEP).agg(F.count("*").alias("rows"), F.avg("v_target").alias("v_target"), F.avg("v_behavior").alias("v_behavior"))
 
 
