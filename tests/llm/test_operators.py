@@ -589,7 +589,7 @@ def test_pipeline(spark, data):
 
 def test_queries_registered():
     from rolloutlab.llm.queries import oracle_sql, queries
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
