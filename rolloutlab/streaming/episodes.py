@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import ACTION, EPISODE, STEP, ContractError
 
-REFUSED = {"late": "its step is past", "repeated": "its step waits already", "ended": "the episode has ended", "beyond": "its step is outside the horizon", "gap": "the steps before it never came", "unfinished": "no step came after it"}
+#: What a fault says of a step, for reports.
+FAULTS = {"late": "its step is past", "repeated": "its step waits already", "ended": "the episode has ended", "beyond": "its step is outside the horizon", "gap": "the steps before it never came", "unfinished": "no step came after it"}
 STATE = "expected int, ended boolean, pending string, early string"
 
 
