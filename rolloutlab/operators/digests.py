@@ -2,26 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..schema import ContractError
+from ..sources.files import settled
 from .numbering import numbered, text_bucket
 
-#: Rows that one digest may chain; it is computed in one place, as each byte depends on those before.
-MOST_LINES = 5_000_000
 BLOCK = 65_536
+CHUNK = "_g string, _p long, _at long, _x binary, _n long"
 
 
-def line_digest(df: DataFrame, order: Sequence[str], line: Column, separator: str, name: str = "digest", most: int = MOST_LINES) -> DataFrame:
-    """One row: the digest of the lines in order, joined by ``separator``, and their number; more than ``most`` lines raise."""
-    rows = df.select(*order, line.alias("_line"))
-    if rows.count() > most:
+def joined(values: pa.Array) -> bytes:
+    return b"".join(v for v in values.to_pylist() if v is not None)
+
+
+def chunks(rows: DataFrame, content: str, as_bytes: Callable[[pa.Array], bytes] = joined) -> DataFrame:
+    """The content of many successive rows of a partition as one compressed chunk: _g (empty), _p (the partition), _at (from 0 in it), _x, _n (how many rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for at, b in enumerate(batches):
+            if b.num_rows:
+                yield pa.RecordBatch.from_pydict({"_g": [""], "_p": [part], "_at": [at], "_x": [zlib.compress(as_bytes(b.column(0)), 1)], "_n": [b.num_rows]},
+                                                 schema=pa.schema([("_g", pa.string()), ("_p", pa.int64()), ("_at", pa.int64()), ("_x", pa.binary()), ("_n", pa.int64())]))
+
+    return rows.select(content).mapInArrow(run, CHUNK)
+
+
+def in_order(df: DataFrame, order: Sequence[str], content: Column, as_bytes: Callable[[pa.Array], bytes] = joined) -> DataFrame:
+    """The table's content as ``chunks`` that follow each other by (_p, _at): keys are dealt and sorted by ranges, equal keys go by content."""
+    rows = settled(df.select(*order, content.alias("_x")))
+    return chunks(rows.repartitionByRange(*order).sortWithinPartitions(*order, "_x"), "_x", as_bytes)
+
+
+def chained(parts: DataFrame, drop: int = 0) -> DataFrame:
+    """_g, digest and rows: SHA-256 of each group's chunks in order, without its last ``drop`` bytes.
+
+    Each byte depends on those before, so a group's chunks go through one
+    task; it holds one of them at a time, and sorts them compressed.
+    """
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple]:
+        group, found, tail, n = None, None, b"", 0
+        for r in rows:
+            if found is None or r["_g"] != group:
+                if found is not None:
+                    yield group, found.hexdigest(), n
+                group, found, tail, n = r["_g"], hashlib.sha256(), b"", 0
+            data = tail + zlib.decompress(bytes(r["_x"]))
+            end = max(0, len(data) - drop)
+            found.update(data[:end])
+            tail, n = data[end:], n + r["_n"]
+        if found is not None:
+            yield group, found.hexdigest(), n
+
+    placed = parts.repartition("_g").sortWithinPartitions("_g", "_p", "_at")
+    return parts.sparkSession.createDataFrame(placed.select("_g", "_x", "_n").rdd.mapPartitions(run), "_g string, digest string, rows long", verifySchema=False)
+
+
+def line_digest(df: DataFrame, order: Sequence[str], line: Column, separator: str, name: str = "digest", most: int | None = None) -> DataFrame:
+    """One row: the digest of the lines in order, joined by ``separator``, and their number; more than ``most`` lines raise. Null lines are left out, but counted."""
+    if most is not None and df.count() > most:
         raise ContractError(f"more than {most} lines for one digest; use block_digest")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "_line")))
-    return rows.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["_line"]), separator), 256).alias(name), F.count("*").alias("rows"))
+    found = chained(in_order(df, order, F.concat(line, F.lit(separator)).cast("binary")), len(separator.encode()))
+    return found.agg(F.coalesce(F.first("digest"), F.lit(hashlib.sha256().hexdigest())).alias(name), F.coalesce(F.first("rows"), F.lit(0)).cast("long").alias("rows"))
+
+
+def value_digest(df: DataFrame, order: Sequence[str], values: str) -> str:
+    """SHA-256 of the little-endian doubles of an array column in key order; a null array raises."""
+
+    def as_bytes(found: pa.Array) -> bytes:
+        if found.null_count:
+            raise ContractError("no values to digest in a row")
+        return found.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+
+    found = chained(in_order(df, order, F.col(values).cast("array<double>"), as_bytes)).first()
+    return found["digest"] if found else hashlib.sha256().hexdigest()
 
 
 def block_digest(df: DataFrame, order: Sequence[str], line: Column, block: int = BLOCK, name: str = "digest") -> DataFrame:
