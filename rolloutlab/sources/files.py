@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -76,13 +75,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("sha256"))
 
 
-def probability_digest(df: DataFrame, column: str, most: int = 2_000_000) -> str:
-    """SHA-256 of the little-endian doubles in key order; bounded, as the bytes are hashed in one place."""
-    rows = df.select(EPISODE, STEP, column).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ContractError(f"more than {most} rows to digest")
-    values = np.stack(rows.sort_values([EPISODE, STEP])[column].to_numpy()).astype("<f8")
-    return hashlib.sha256(values.tobytes()).hexdigest()
+def probability_digest(df: DataFrame, column: str) -> str:
+    """SHA-256 of the little-endian doubles in key order, of any number of rows."""
+    from ..operators.digests import value_digest
+
+    return value_digest(df, [EPISODE, STEP], column)
 
 
 def finite_or_null(df: DataFrame) -> DataFrame:
