@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,16 +16,19 @@ from ..schema import ACTION, EPISODE, STEP, ContractError
 
 #: What a fault says of a step, for reports.
 FAULTS = {"late": "its step is past", "repeated": "its step waits already", "ended": "the episode has ended", "beyond": "its step is outside the horizon", "gap": "the steps before it never came", "unfinished": "no step came after it"}
-STATE = "expected int, ended boolean, pending string, early string"
+#: The episodes of a lane as compressed JSON.
+STATE = "episodes binary"
+#: Lanes that the episodes of a stream without idle time are dealt over.
+LANES = 8192
 
 
 def replayed(stream: DataFrame, observed: Sequence[str], horizon: int, idle: str | None = None, reward: str = "reward") -> DataFrame:
     """One row per step of a stream of logged steps: observation, action, reward, next_<observation>, terminated, fault.
 
     ``stream`` has the keys, ``observed``, the action, ``reward`` and
-    ``terminal``. An episode is a state: the step that it waits for, the one
+    ``terminal``. Of an episode is kept: the step that it waits for, the one
     whose successor is awaited, and steps that came early (fewer than
-    ``horizon``). Steps leave it in order, whatever the order in which they
+    ``horizon``); episodes of a lane share a state. Steps leave it in order, whatever the order in which they
     came, each once the next is known; the terminal one at once. Steps that
     are past, repeated, outside the horizon or behind the end leave with a
     fault and change nothing. With ``idle``, an episode of a stream that hears
@@ -46,49 +50,59 @@ def replayed(stream: DataFrame, observed: Sequence[str], horizon: int, idle: str
     live = idle is not None
     wait = int(pd.Timedelta(idle).total_seconds() * 1000) if live else 0
 
+    width = len(observed)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, ended, pending, early = state.get if state.exists else (0, False, None, None)
-        pending = json.loads(pending) if pending else None
-        held = {int(k): v for k, v in json.loads(early).items()} if early else {}
+        known: dict[str, list] = json.loads(zlib.decompress(bytes(state.get[0]))) if state.exists else {}
         done: list[tuple] = []
 
-        def give(row: dict, follow: dict | None = None, terminated: bool = False, fault: str | None = None) -> None:
-            done.append((key[0], row["step"], *row["of"], *(follow["of"][: len(observed)] if follow else [None] * len(observed)), terminated, fault))
+        def give(episode: str | None, step: int | None, of: list, follow: list | None = None, terminated: bool = False, fault: str | None = None) -> None:
+            done.append((episode, step, *of, *(follow[:width] if follow else [None] * width), terminated, fault))
 
-        def close() -> None:
-            for step in sorted(held):
-                give(held[step], fault="ended" if ended else "gap")
+        def close(episode: str, ended: bool, held: dict[str, list]) -> None:
+            for step in sorted(held, key=int):
+                give(episode, int(step), held[step][0], fault="ended" if ended else "gap")
             held.clear()
 
         if state.hasTimedOut:
-            if pending:
-                give(pending, fault="unfinished")
-            close()
+            for episode, (_, ended, pending, held) in known.items():
+                if pending:
+                    give(episode, *pending, fault="unfinished")
+                close(episode, ended, held)
             state.remove()
         else:
-            rows = [{"step": None if s is None else int(s), "of": list(of), "end": t == 1} for frame in frames
-                    for s, t, *of in frame[[STEP, "terminal", *columns]].astype(object).where(lambda f: f.notna(), None).itertuples(index=False, name=None)]
-            for row in sorted(rows, key=lambda r: -1 if r["step"] is None else r["step"]):
-                step = row["step"]
-                fault = ("beyond" if step is None or not 0 <= step < horizon or key[0] is None else "ended" if ended else "late" if step < expected else "repeated" if step in held else None)
+            rows = [(episode, None if s is None else int(s), t == 1, of) for frame in frames
+                    for episode, s, t, *of in frame[[EPISODE, STEP, "terminal", *columns]].astype(object).where(lambda f: f.notna(), None).itertuples(index=False, name=None)]
+            for episode, step, end, of in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+                if episode is None:
+                    give(None, step, of, fault="beyond")
+                    continue
+                # the step that it waits for, whether it has ended, the step whose successor is awaited, early steps
+                it = known.setdefault(episode, [0, False, None, {}])
+                expected, ended, pending, held = it
+                fault = "beyond" if step is None or not 0 <= step < horizon else "ended" if ended else "late" if step < expected else "repeated" if str(step) in held else None
                 if fault:
-                    give(row, fault=fault)
+                    give(episode, step, of, fault=fault)
                     continue
-                held[step] = row
-                while not ended and expected in held:
-                    row = held.pop(expected)
+                held[str(step)] = [of, end]
+                while not ended and str(expected) in held:
+                    of, ended = held.pop(str(expected))
                     if pending:
-                        give(pending, follow=row)
-                    expected, ended, pending = expected + 1, row["end"], row
+                        give(episode, *pending, follow=of)
+                    expected, pending = expected + 1, [expected, of]
                     if ended:
-                        give(pending, terminated=True)
+                        give(episode, *pending, terminated=True)
                         pending = None
-                        close()
-            state.update((expected, ended, json.dumps(pending) if pending else None, json.dumps(held) if held else None))
+                        close(episode, ended, held)
+                it[:] = expected, ended, pending, held
+            state.update((zlib.compress(json.dumps(known).encode(), 1),))
             if live:
                 state.setTimeoutDuration(wait)
         frame = pd.DataFrame(done, columns=out.fieldNames(), dtype=object)
         yield frame.astype({f.name: "float64" for f in out.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
-    keyed = stream.select(F.col(EPISODE).cast("string").alias(EPISODE), STEP, "terminal", *columns).groupBy(EPISODE)
+    episode = F.col(EPISODE).cast("string")
+    # a live episode times out by itself; without an end of time, many share a state, as a call for each would cost more than its steps
+    lane = episode if live else F.pmod(F.xxhash64(episode), F.lit(LANES)).cast("string")
+    keyed = stream.select(lane.alias("_lane"), episode.alias(EPISODE), STEP, "terminal", *columns).groupBy("_lane")
     return keyed.applyInPandasWithState(run, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout)

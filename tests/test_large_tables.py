@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolloutlab.operators.digests import line_digest
-from rolloutlab.schema import EPISODE, STEP
+from rolloutlab.schema import ACTION, EPISODE, STEP
 from rolloutlab.sources.files import probability_digest
+from rolloutlab.streaming import episodes
 
 
 def test_probabilities_of_many_rows(spark):
@@ -34,3 +35,18 @@ def test_lines_without_some(spark):
     found = line_digest(df, ["k"], F.concat("k", F.col("n").cast("string")), "; ").first()
     assert (found.digest, found.rows) == (hashlib.sha256(b"0; a1; a3; b1").hexdigest(), 5)
     assert line_digest(df.limit(0), ["k"], F.col("k"), ";").first()[:] == (hashlib.sha256().hexdigest(), 0)
+
+
+def test_episodes_share_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(episodes, "LANES", 4, raising=False)
+    kind = f"{EPISODE} string, {STEP} int, map_mm_hg double, {ACTION} string, reward double, terminal int"
+    rows = [(f"e{e}", s, 60.0 + e + s / 3, "maintain", 0.1 * s, int(s == 3)) for e in range(300) for s in range(4)]
+    np.random.default_rng(3).shuffle(rows)
+    for i in range(3):
+        spark.createDataFrame([(e, int(s), float(m), a, float(r), int(t)) for e, s, m, a, r, t in rows[i::3]], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = episodes.replayed(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["map_mm_hg"], 4)
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 3 and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    found = {(r[0], r[1]): (r.map_mm_hg, r.next_map_mm_hg, r.terminated, r.fault) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(f"e{e}", s): (60.0 + e + s / 3, 60.0 + e + (s + 1) / 3 if s < 3 else None, s == 3, None) for e in range(300) for s in range(4)}
