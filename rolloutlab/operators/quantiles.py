@@ -1,8 +1,9 @@
 """Exact quantiles by linear interpolation without one buffer per group.
 
-Approximate quantiles cut a group's values into buckets; equal values are
-counted, and each bucket is ranked on its own behind the count of those before
-it. So no task holds the distinct values of a whole group.
+Approximate quantiles cut a group's values into buckets, whose counts say in
+which of them the wanted ranks lie. Only the values of these are ranked, equal
+ones counted, each bucket on its own behind the count of those before it. So
+no task holds the distinct values of a whole group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import settled
 from .numbering import place_in
 
 CUTS = 64
@@ -23,12 +25,14 @@ def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: di
     """keys and a column per name: the quantile of the values that aren't null, null where there are none.
 
     ``named`` gives the quantiles, 1 for the maximum. Values must not be NaN.
-    Null keys are a group.
+    Null keys are a group. Values and cuts are written once: a sketch merges
+    in the order in which its parts come, so cuts made anew may differ, and
+    counts by one set of cuts don't fit buckets by another.
     """
-    rows = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
+    rows = settled(df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null"))
     marks = [i / CUTS for i in range(1, CUTS)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), F.lit(ACCURACY)).alias("_cuts"), F.count("*").alias("_n"))
     of = {k: f"_of_{k}" for k in keys}
+    sketch = settled(rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), F.lit(ACCURACY)).alias("_cuts"), F.count("*").alias("_n")).withColumnsRenamed(of))
 
     def same(left: DataFrame, right: DataFrame) -> Column:
         on = F.lit(True)
@@ -36,19 +40,30 @@ def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: di
             on = on & left[k].eqNullSafe(right[of[k]])
         return on
 
-    named_sketch = sketch.withColumnsRenamed(of)
-    met = rows.join(named_sketch, same(rows, named_sketch)) if keys else rows.crossJoin(F.broadcast(named_sketch))  # one row
-    counted = met.withColumn("_b", place_in(F.col("_cuts"), F.size("_cuts"), F.col("_v"), CUTS)).groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    whole = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    met = rows.join(sketch, same(rows, sketch)) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
+    met = met.select(*keys, "_v", "_n", place_in(F.col("_cuts"), F.size("_cuts"), F.col("_v"), CUTS).alias("_b"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select(*[F.col(k).alias(of[k]) for k in keys], F.col("_b").alias("_ob"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    whole = met.groupBy(*keys, "_b").agg(F.count("*").alias("_s"), F.max("_n").alias("_n")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in named.items()}
+    wanted = F.lit(False)
+    for r in (f(a) for a in at.values() for f in (F.floor, F.ceil)):
+        wanted = wanted | ((F.col("_base") <= r) & (r < F.col("_base") + F.col("_s")))
+    # a few buckets a group, as ranges of values: looking for a row's bucket once more would cost more than comparing
+    b = F.col("_ob")
+    cuts = whole.filter(wanted).select(*[F.col(k).alias(f"_in_{k}") for k in keys], F.col("_b").alias("_ob"), "_base")
+    on = F.lit(True)
+    for k in keys:
+        on = on & cuts[f"_in_{k}"].eqNullSafe(sketch[of[k]])
+    ends = [F.when(b > 0, F.get("_cuts", b - 1)).alias("_from"), F.when(b < F.size("_cuts"), F.get("_cuts", b)).alias("_to")]
+    base = settled((cuts.join(sketch, on) if keys else cuts.crossJoin(F.broadcast(sketch))).select(*of.values(), "_ob", "_base", "_n", *ends))
+    inside = (F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to")))
+    picked = rows.join(F.broadcast(base) if not keys else base, same(rows, base) & inside)
+    counted = picked.select(*keys, F.col("_ob").alias("_b"), "_v", "_n", "_base").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_base").alias("_base"))
     upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto))
-    placed = ranked.join(base, same(ranked, base) & (F.col("_b") == F.col("_ob"))).withColumn("_end", F.col("_end") + F.col("_base"))
+    placed = counted.withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
     out = []
-    for name, q in named.items():
-        at = (F.col("_n") - 1) * F.lit(float(q))
-        low, high = [F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v"))) for r in (F.floor(at), F.ceil(at))]
-        part = F.max(at - F.floor(at))
+    for name, a in at.items():
+        low, high = [F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v"))) for r in (F.floor(a), F.ceil(a))]
+        part = F.max(a - F.floor(a))
         out.append((low + (high - low) * part).alias(name))
     return placed.groupBy(*keys).agg(*out)

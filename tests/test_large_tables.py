@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rolloutlab.operators import quantiles
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
 from rolloutlab.sources.files import probability_digest
@@ -50,3 +51,19 @@ def test_episodes_share_states(spark, tmp_path, monkeypatch):
     assert len(query.recentProgress) >= 3 and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
     found = {(r[0], r[1]): (r.map_mm_hg, r.next_map_mm_hg, r.terminated, r.fault) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {(f"e{e}", s): (60.0 + e + s / 3, 60.0 + e + (s + 1) / 3 if s < 3 else None, s == 3, None) for e in range(300) for s in range(4)}
+
+
+def test_quantiles_with_one_set_of_cuts(spark, monkeypatch):
+    """Cuts that come out otherwise each time they are made, as those of a sketch merged in another order do."""
+    values = np.random.default_rng(5).permutation(4000) / 4
+    df = spark.createDataFrame([("a" if i % 3 else None, float(x)) for i, x in enumerate(values)], "g string, x double")
+    real = quantiles.F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: F.array_sort(F.transform(real(*a), lambda c: c + F.floor(F.rand() * 40))))
+    named = {f"q{k}": k / 20 for k in range(21)}
+    found = {r.g: r for r in quantiles.exact_quantiles(df.repartition(6), F.col("x"), ["g"], named).collect()}
+    for g in ("a", None):
+        own = [x for i, x in enumerate(values) if ("a" if i % 3 else None) == g]
+        assert [found[g][n] for n in named] == pytest.approx(np.quantile(own, list(named.values())), abs=1e-9)
+    monkeypatch.setattr(quantiles, "CUTS", 2)
+    whole = quantiles.exact_quantiles(spark.createDataFrame([(x,) for x in (3.0, 1.0, 1.0, float("inf"), -float("inf"), -0.0)], "x double"), F.col("x"), [], {"m": 0.5, "t": 1.0}).first()
+    assert whole.m == 1.0
