@@ -48,9 +48,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: SimHash of 192 bits over five-word shingles, linked at 24 or fewer differing bits.
 
-    Linked texts also agree to one bit in one of six segments, under whose
-    deletion variants they meet. That is a similarity of 0.8 or more, and most
-    pairs at 0.9. Of a group the smallest doc_id stays, of repeated rows one.
+    All such pairs are found: they agree in 8 of 32 blocks of six bits, so in
+    two of one of seven groups, under which they meet. That is a similarity of
+    0.8 or more, and most pairs at 0.9. Of a group the smallest doc_id stays, of repeated rows one.
     Texts without words, null ones too, form one group; texts of fewer than
     five words are one shingle. Of rows without doc_id one stays at most.
     """

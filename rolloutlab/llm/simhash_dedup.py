@@ -11,10 +11,12 @@ have more segments of the same size and reach further (``near_nodes``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,12 +239,142 @@ def _wildcards(segment: Column, places: Column, start: int) -> Column:
     return F.transform(places, variant)
 
 
+#: Blocks that stay equal in any pair within the radius, and the groups of blocks, of which one holds two of these.
+SPARE, GROUPS = 8, 7
+#: Members of a key that are compared in one go, and so many as make it dense.
+TILE, DENSE = 16384, 96
+
+
+def block_pairs(bits: int, radius: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """The places of radius + 8 blocks of bits, and pairs of blocks of which each two fingerprints within the radius share one.
+
+    Such fingerprints differ in ``radius`` blocks at most, so 8 or more are
+    equal; blocks lie in seven groups, so two of these are of one group, and
+    all pairs within groups are taken.
+    """
+    if bits < radius + SPARE:
+        raise ValueError("too few bits for that radius")
+    blocks = np.array_split(np.arange(bits), radius + SPARE)
+    return blocks, [(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks)) if i % GROUPS == j % GROUPS]
+
+
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """(rows, 64 * words) bits of (rows, words) numbers, each word's lowest first."""
+    return np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+
+
+def block_keys(words: np.ndarray, blocks: list[np.ndarray], pairs: list[tuple[int, int]]) -> np.ndarray:
+    """(rows, pairs) keys: the number of the pair of blocks and what stands in them."""
+    bits = bits_of(words).astype(np.int64)
+    values = np.column_stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in blocks])
+    wide = max(map(len, blocks))
+    return np.column_stack([(n << 2 * wide) | (values[:, i] << wide) | values[:, j] for n, (i, j) in enumerate(pairs)])
+
+
+def candidates(fp: np.ndarray, side: np.ndarray, start: int, end: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of a dense group's rows within the radius; a tile of two parts compares only across."""
+    out_i, out_j = [], []
+    own = np.arange(start, end)
+    left, right = (own[side[own] == 0], own[side[own] == 1]) if side[own].any() else (own, own)
+    for at in range(0, len(left), 256):
+        some = left[at: at + 256]
+        apart = np.bitwise_count(fp[some, 0][:, None] ^ fp[right, 0][None, :])
+        i, j = np.nonzero(apart <= radius)
+        i, j = some[i], right[j]
+        fine = (i != j) if left is not right else (i < j)
+        out_i.append(i[fine])
+        out_j.append(j[fine])
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (own[:0], own[:0])
+
+
+def all_near(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """All pairs (u < v) of nodes (node, fp of ``words`` words) that differ in ``radius`` bits at most; none is left out.
+
+    A node is sent under its keys of ``block_pairs``; those that share a key
+    are compared bit by bit. A pair comes out under the first key that it
+    shares. Keys of many nodes are dealt over tiles of at most about TILE
+    nodes on a side, so no task holds a whole one. The comparisons grow with
+    the square of the nodes, as 58 / 4,096 of all pairs for 192 bits and 24.
+    """
+    blocks, pairs = block_pairs(64 * words, radius)
+    wide = max(map(len, blocks))
+    firsts = np.array(pairs)
+    spans = np.cumsum([0, *map(len, blocks)])[:-1]
+
+    @F.pandas_udf("array<long>")
+    def keys(fps: pd.Series) -> pd.Series:
+        return pd.Series(list(block_keys(np.stack(fps.to_list()).view(np.uint64), blocks, pairs)), dtype=object) if len(fps) else pd.Series([], dtype=object)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = [b.column(c)[b.num_rows - 1].as_py() for c in ("key", "a", "b")]
+            same = np.ones(b.num_rows, dtype=bool)
+            for c, x in zip(("key", "a", "b"), last, strict=True):
+                same &= b.column(c).to_numpy() == x
+            cut_at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut_at:
+                yield from found(held + [b.slice(0, cut_at)])
+                held = []
+            elif held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("key", "a", "b")] != last:
+                yield from found(held)
+                held = []
+            held.append(b.slice(cut_at))
+        if held:
+            yield from found(held)
+
+    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        key, a, b, side, node = (t.column(c).to_numpy() for c in ("key", "a", "b", "side", "node"))
+        fp = np.column_stack([t.column(f"f{k}").to_numpy() for k in range(words)]).view(np.uint64)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        sizes = np.diff(np.r_[new, len(key)])
+        ends = np.repeat(new + sizes, sizes)
+        is_, js = [], []
+        at, d = np.flatnonzero(np.repeat(sizes, sizes) <= DENSE), 1
+        while len(at := at[at + d < ends[at]]):
+            near = at[np.bitwise_count(fp[at, 0] ^ fp[at + d, 0]) <= radius]
+            near = near[(a[near] == b[near]) | (side[near] != side[near + d])]
+            is_.append(near)
+            js.append(near + d)
+            d += 1
+        for s, n in zip(new, sizes, strict=True):
+            if n > DENSE:
+                i, j = candidates(fp, side if a[s] != b[s] else np.zeros_like(side), s, s + n, radius)
+                is_.append(i)
+                js.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (is_, js))
+        for lo in range(0, len(i), 65536):
+            p, q = i[lo: lo + 65536], j[lo: lo + 65536]
+            apart = fp[p] ^ fp[q]
+            fine = np.bitwise_count(apart).sum(axis=1) <= radius
+            p, q, apart = p[fine], q[fine], apart[fine]
+            if len(p):
+                equal = np.add.reduceat(bits_of(apart), spans, axis=1) == 0
+                first = (equal[:, firsts[:, 0]] & equal[:, firsts[:, 1]]).argmax(axis=1)
+                fine = first == key[p] >> 2 * wide
+                u, v = node[p[fine]], node[q[fine]]
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    sent = cut(nodes.select("node", "fp", keys("fp").alias("_keys")))
+    rows = sent.select("node", *[F.col("fp")[k].alias(f"f{k}") for k in range(words)], F.explode("_keys").alias("key"))
+    many = sent.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_ways")).filter("_ways > 1")
+    ways = F.coalesce("_ways", F.lit(1))
+    placed = rows.join(F.broadcast(many), F.col("key") == F.col("_key"), "left").withColumn("_own", F.pmod(F.xxhash64("node"), ways).cast("int"))  # few keys have many nodes
+    other = F.explode(F.sequence(F.lit(0), ways - 1))
+    tiles = placed.select("*", other.alias("_other")).select("key", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", *[f"f{k}" for k in range(words)])
+    return tiles.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(compare, "u long, v long")
+
+
 def wide_groups(docs: DataFrame, width: int = 5, radius: int = NEAR, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id reachable by links).
 
-    Fingerprints of 64 * words bits over ``width``-word shingles link as in
-    ``near_nodes``, with segments of SEGMENT bits. Equal fingerprints are one
-    node. Null texts count as empty; texts without words share a fingerprint
+    Fingerprints of 64 * words bits over ``width``-word shingles link at
+    ``radius`` differing bits or fewer, all of them: ``near_nodes`` finds these
+    where the radius leaves a segment of SEGMENT bits with one difference at
+    most, ``all_near`` beyond. Equal fingerprints are one node. Null texts count as empty; texts without words share a fingerprint
     that no other text has. Documents with a null doc_id take part and name a
     component only where all lack one. Repeated rows stay rows, extra columns
     are left out, empty input gives no rows.
@@ -255,7 +387,9 @@ def wide_groups(docs: DataFrame, width: int = 5, radius: int = NEAR, words: int
     marked = cut(docs.select("doc_id", of("text").alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)  # numbers are given once, when the table is written
-    groups = components(near_nodes(nodes.select("node", "fp"), words, radius, 64 * words // SEGMENT))
+    segments = 64 * words // SEGMENT
+    nearby = near_nodes(nodes.select("node", "fp"), words, radius, segments) if radius < 2 * segments else all_near(nodes.select("node", "fp"), words, radius)
+    groups = components(cut(nearby))
     known = cut(nodes.join(groups.hint("merge"), "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = known.join(names.hint("merge"), "component").select("fp", "component_id")
