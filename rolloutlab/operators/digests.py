@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
@@ -36,6 +37,25 @@ def chunks(rows: DataFrame, content: str, as_bytes: Callable[[pa.Array], bytes]
     return rows.select(content).mapInArrow(run, CHUNK)
 
 
+def line_chunks(rows: DataFrame) -> DataFrame:
+    """``chunks`` of lines (_x) read from splits (_p), each line with a line feed, carriage returns as line feeds; also _raw (bytes before that) and _cr (whether the last line ends with a carriage return)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            starts = b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(starts[1:] != starts[:-1]) + 1).tolist(), len(starts)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    lines = b.column(0)[s:e].to_pylist()
+                    raw = b"\n".join(lines) + b"\n"
+                    yield pa.RecordBatch.from_pydict({"_g": [""], "_p": [int(starts[s])], "_at": [at], "_x": [zlib.compress(raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n"), 1)], "_n": [e - s], "_raw": [len(raw)], "_cr": [lines[-1].endswith(b"\r")]},
+                                                     schema=pa.schema([("_g", pa.string()), ("_p", pa.int64()), ("_at", pa.int64()), ("_x", pa.binary()), ("_n", pa.int64()), ("_raw", pa.int64()), ("_cr", pa.bool_())]))
+                    at += 1
+
+    return rows.select("_x", "_p").mapInArrow(run, f"{CHUNK}, _raw long, _cr boolean")
+
+
 def in_order(df: DataFrame, order: Sequence[str], content: Column, as_bytes: Callable[[pa.Array], bytes] = joined) -> DataFrame:
     """The table's content as ``chunks`` that follow each other by (_p, _at): keys are dealt and sorted by ranges, equal keys go by content."""
     rows = settled(df.select(*order, content.alias("_x")))

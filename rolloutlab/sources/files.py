@@ -7,10 +7,11 @@ import math
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping
+import zlib
+from collections.abc import Iterator, Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +22,9 @@ from ..schema import EPISODE, STEP, TRAJECTORY, ContractError, policy_columns
 SECRETS = {"private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "repository token": r"\b(?:ghp_|github_pat_)[A-Za-z0-9_]{20,}", "cloud key": r"\bAKIA[A-Z0-9]{16}\b", "service key": r"\bsk-[A-Za-z0-9_-]{24,}"}
 SUFFIXES = ("py", "md", "toml", "json", "csv")
 LARGEST = 500_000
+#: From so many bytes on a file is digested in splits; names of files that Spark's reader unpacks.
+LARGE = 16_000_000
+PACKED = r"\.(gz|gzip|bz2|zst|lz4|snappy|deflate)$"
 
 
 def secret_kind(text: Column) -> Column:
@@ -69,10 +73,28 @@ def read_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
     return policy_columns(tuple(names))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each file with its line ends as single line feeds."""
+def file_digests(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
+    """path and SHA-256 of each file with its line ends as single line feeds; files over ``large`` bytes are read in splits, unless they are packed as a whole."""
     text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("sha256"))
+    files = spark.read.format("binaryFile").load(path)
+    split = (F.col("length") > large) & ~F.lower("path").rlike(PACKED)
+    found = files.filter(~split).select("path", F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("sha256"))
+    for r in files.filter(split).select("path", "length").collect():  # names of files only
+        found = found.unionByName(_large_digest(spark, r["path"], r["length"]))
+    return found
+
+
+def _large_digest(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The same of one file read by lines: pieces up to a line feed, in the order of splits and of lines in these."""
+    from ..operators.digests import chained, line_chunks
+
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("_x"), F.col("_metadata.file_block_start").alias("_p"))
+    parts = line_chunks(rows)
+    # the reader gives each line without its line feed, which the last one may lack; a carriage return there is a line end itself
+    ends = settled(parts)
+    raw = ends.agg(F.sum("_raw").alias("raw"), F.max_by("_cr", F.struct("_p", "_at")).alias("cr")).first()
+    drop = 1 if raw["raw"] != length and not raw["cr"] else 0
+    return chained(ends.drop("_raw", "_cr"), drop).select(F.lit(path).alias("path"), F.col("digest").alias("sha256"))
 
 
 def probability_digest(df: DataFrame, column: str) -> str:
@@ -104,10 +126,21 @@ def json_safe(value):
 
 
 def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
-    """One CSV file with a header in a folder, rows in key order where there is a key; for small tables."""
+    """One CSV file with a header in a folder, rows in key order where there is a key, of any number: one task writes them, but holds and sorts only compressed chunks of lines."""
+    from ..operators.digests import chunks, in_order
+
     keys = [c for c in (EPISODE, STEP) if c in df.columns]
-    one = df.coalesce(1)
-    (one.sortWithinPartitions(*keys) if keys else one).write.mode("overwrite").option("header", True).option("lineSep", line_end).csv(path)
+    header = df.sparkSession.range(1, numPartitions=1).select(F.concat(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in df.columns])), F.lit(line_end)).cast("binary").alias("_x"))
+    line = F.concat(F.to_csv(F.struct(*[F.col(c) for c in df.columns])), F.lit(line_end)).cast("binary")
+    parts = in_order(df, keys, line) if keys else chunks(df.select(line.alias("_x")), "_x")
+    every = chunks(header, "_x").withColumn("_p", F.lit(-1).cast("long")).unionByName(parts)
+
+    def text(rows: Iterator[Row]) -> Iterator[tuple[str]]:
+        for r in rows:
+            yield (zlib.decompress(bytes(r["_x"])).decode("utf-8", "surrogatepass")[: -len(line_end)],)
+
+    lines = every.repartition(1).sortWithinPartitions("_p", "_at").select("_x").rdd.mapPartitions(text)
+    df.sparkSession.createDataFrame(lines, "value string", verifySchema=False).write.mode("overwrite").option("lineSep", line_end).text(path)
 
 
 def write_json(spark: SparkSession, value, path: str) -> None:

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolloutlab.operators import quantiles
+from rolloutlab.operators import fqe, quantiles
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
-from rolloutlab.sources.files import probability_digest
+from rolloutlab.sources.files import file_digests, probability_digest, write_csv
 from rolloutlab.streaming import episodes
 
 
@@ -67,3 +67,28 @@ def test_quantiles_with_one_set_of_cuts(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "CUTS", 2)
     whole = quantiles.exact_quantiles(spark.createDataFrame([(x,) for x in (3.0, 1.0, 1.0, float("inf"), -float("inf"), -0.0)], "x double"), F.col("x"), [], {"m": 0.5, "t": 1.0}).first()
     assert whole.m == 1.0
+
+
+@pytest.mark.parametrize("content", [b"a,b\r\n1,2\r\n\xff\xe9,3\n", b"a\rb\r\rc", b"a\r\n\r\n\nlast\r", b"one line", b"\n", b"x\n" * 5000 + b"y\r\n" * 5000])
+def test_large_files_digest_the_same(spark, tmp_path, content):
+    (tmp_path / "f.csv").write_bytes(content)
+    want = hashlib.sha256(content.replace(b"\r\n", b"\n").replace(b"\r", b"\n")).hexdigest()
+    for large in (0, 10**6):
+        assert file_digests(spark, str(tmp_path / "f.csv"), large).first()["sha256"] == want
+
+
+def test_csv_in_one_file_in_order(spark, tmp_path):
+    rows = [(f"p{i % 7}", i, 'say "x", é' if i % 3 else None, i / 3) for i in range(500)]
+    df = spark.createDataFrame(rows, f"{EPISODE} string, {STEP} int, note string, x double").repartition(6)
+    for name, some in (("a", df), ("none", df.filter("x < 0"))):
+        write_csv(some, str(tmp_path / name))
+        some.coalesce(1).sortWithinPartitions(EPISODE, STEP).write.option("header", True).option("lineSep", "\r\n").csv(str(tmp_path / f"{name}_plain"))
+        ours, plain = (list((tmp_path / n).glob("part-*")) for n in (name, f"{name}_plain"))
+        assert len(ours) == 1 and ours[0].read_bytes() == plain[0].read_bytes()
+
+
+def test_next_values_are_not_gathered(spark):
+    rows = spark.createDataFrame([(f"e{i}", t, i % 3, 1.0, int(t == 1), [0.2, 0.3, 0.5]) for i in range(40) for t in range(2)], f"{EPISODE} string, {STEP} int, action_no int, reward double, terminal int, target array<double>")
+    for out in (fqe.tabular(rows, ["action_no"], "action_no", "reward", "target", 2), fqe.distributed_ridge(rows.withColumn("f", F.array("reward")), "f", "action_no", "reward", ["target"], 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert f"BroadcastHashJoin [{EPISODE}" not in plan
