@@ -256,7 +256,7 @@ def boosted_values(df: DataFrame, features: str, action: str, reward: str, targe
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
         rows = stage_rows(df, t)
-        follow = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead, EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
+        follow = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead.hint("merge"), EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
         y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
         fit = settled(follow.select(*df.columns, y.alias("_y"), F.concat(F.col(features).cast("array<double>"), hot).alias("_x")))
         if not fit.limit(1).count():

@@ -180,7 +180,7 @@ def distributed_ridge(df: DataFrame, features: str, action: str, reward: str, ta
         if ahead is None:
             rows = rows.withColumns({f"_n_{p}": F.lit(0.0) for p in targets})
         else:
-            rows = rows.join(ahead, EPISODE, "left").withColumns({f"_n_{p}": F.coalesce(f"_n_{p}", F.lit(0.0)) for p in targets})
+            rows = rows.join(ahead.hint("merge"), EPISODE, "left").withColumns({f"_n_{p}": F.coalesce(f"_n_{p}", F.lit(0.0)) for p in targets})  # a row per episode: never gathered
         rows = rows.withColumns({f"_y_{p}": bellman(F.col(reward), F.col("terminal"), F.col(f"_n_{p}"), gamma) for p in targets})
         w, b = solve_ridge(*sums(rows, features, action, [f"_y_{p}" for p in targets], width), alpha)
         out = ridge_values(rows, features, targets, w, b, width)
@@ -203,7 +203,7 @@ def tabular(df: DataFrame, cell: Sequence[str], action: str, reward: str, target
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
         rows = stage_rows(df, t)
-        rows = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead, EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
+        rows = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead.hint("merge"), EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))  # a row per episode: never gathered
         y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
         means = rows.groupBy(*cell).agg(*[F.avg(F.when(F.col(action) == a, y)).alias(f"_q{a}") for a in range(K)])
         means = means.select(*[F.col(c).alias(f"_of_{c}") for c in cell], F.array(*[F.col(f"_q{a}") for a in range(K)]).alias("q"))

@@ -71,7 +71,7 @@ def held_out_values(df: DataFrame, features: str, action: str, reward: str, targ
     for t in range(horizon - 1, -1, -1):
         rows = stage_rows(df, t)
         none = F.array_repeat(F.lit(0.0), k)
-        rows = rows.withColumn("_next", none) if ahead is None else rows.join(ahead, EPISODE, "left").withColumn("_next", F.coalesce("_next", none))
+        rows = rows.withColumn("_next", none) if ahead is None else rows.join(ahead.hint("merge"), EPISODE, "left").withColumn("_next", F.coalesce("_next", none))
         y = F.array(*[bellman(F.col(reward), F.col("terminal"), F.col("_next")[f], gamma) for f in range(k)])
         fit = rows.select(F.col(features).cast("array<double>").alias("_f"), y.alias("_y"), F.col(fold).cast("int").alias("_fold"), F.col(action).cast("int").alias("_a"))
         xx, xy, sx, sy, n = fold_sums(fit, width, k)

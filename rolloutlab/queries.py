@@ -396,7 +396,7 @@ def cell_sensitivity(spark, sf_dir):
     plain = Q.initial_values(Q.tabular(rows, ["previous_no"], "action_no", "reward", "target", HORIZON))
     wide = Q.initial_values(Q.tabular(rows, ["previous_no", "band"], "action_no", "reward", "target", HORIZON)).withColumnRenamed("direct", "wide")
     gap = F.col("wide") - F.col("direct")
-    return plain.join(wide, EPISODE).agg(F.count("*").alias("episodes"), F.avg("direct").alias("direct"), F.avg("wide").alias("direct_wide"), F.avg(gap).alias("mean_change"), F.max(F.abs(gap)).alias("max_change"))
+    return plain.join(wide.hint("merge"), EPISODE).agg(F.count("*").alias("episodes"), F.avg("direct").alias("direct"), F.avg("wide").alias("direct_wide"), F.avg(gap).alias("mean_change"), F.max(F.abs(gap)).alias("max_change"))
 
 
 def ridge_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
