@@ -14,6 +14,7 @@ from .operators.teacher import held_out_values
 from .queries import FOLDED, query, steps
 from .schema import EPISODE, STEP
 from .sources.events import HORIZON
+from .sources.files import settled
 
 GRID = (0.01, 0.1, 1.0, 10.0)
 NUMERIC, CATEGORICAL = ("value",), ("previous_no",)
@@ -22,7 +23,8 @@ START = np.array([[0.01, 0.0, -0.01], [0, 0, 0], [0.2, 0.0, -0.1], [0.0, 0.3, 0.
 
 
 def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps(spark, sf_dir).select(EPISODE, STEP, "value", "previous_no", "action_no")
+    """Written once: folds, designs and scores each read it."""
+    return settled(steps(spark, sf_dir).select(EPISODE, STEP, "value", "previous_no", "action_no"))
 
 
 def _score(a: int) -> str:
@@ -116,7 +118,7 @@ def teacher_sql(horizon: int = HORIZON, alpha: float = 5.0) -> str:
 @query("teacher_advantages", teacher_sql(), places=5)
 def teacher_advantages(spark, sf_dir):
     """Centred advantages of every row from ridges that left its fold out, all folds in the same passes."""
-    rows = steps(spark, sf_dir)
+    rows = settled(steps(spark, sf_dir))
     rows = by_step(rows.join(L.folds(rows, 3), EPISODE).withColumn("features", F.array(F.col("value") / 100)))
     out = held_out_values(rows, "features", "action_no", "reward", "target", "fold", 3, HORIZON, 1)
     return out.select(EPISODE, STEP, *[F.col("advantage")[a].alias(f"a{a}") for a in range(3)])
