@@ -20,7 +20,7 @@ from .plans.scaled import evaluate_scaled
 from .queries import user, CAPS, CELLS, CLINICAL, DRAWS_SQL, FOLDED, PROP, Q_SQL, RESAMPLES, ROLES_SQL, SQL, TRAJ, WEIGHTED, clinical, episodes, query, rerank_sql, split, steps, tabular_sql, with_behavior, with_cells, with_draws, with_values
 from .schema import ACTION, ACTIONS, EPISODE, STEP
 from .sources.events import HORIZON, action_name
-from .sources.files import scratch
+from .sources.files import scratch, settled
 from .sources.synthetic import generate
 from .streaming.episodes import replayed
 from .streaming.replay import transitions
@@ -372,8 +372,8 @@ def pooled_shortcut(spark, sf_dir):
 
 def split_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nuisance rows to fit on, the other role's to estimate on."""
-    rows = with_behavior(spark, sf_dir)
-    roles = R.training_roles(rows, 0.6, 41)
+    rows = settled(with_behavior(spark, sf_dir))
+    roles = settled(R.training_roles(rows, 0.6, 41))
     return tuple(rows.join(roles.filter(F.col("role") == r), EPISODE, "left_semi") for r in (R.NUISANCE, R.DEVELOPMENT))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rolloutlab import queries  # noqa: F401  registers before the others
+from rolloutlab import learner_queries, policy_queries
 from rolloutlab.operators import fqe, quantiles
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
@@ -92,3 +94,8 @@ def test_next_values_are_not_gathered(spark):
     for out in (fqe.tabular(rows, ["action_no"], "action_no", "reward", "target", 2), fqe.distributed_ridge(rows.withColumn("f", F.array("reward")), "f", "action_no", "reward", ["target"], 2)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert f"BroadcastHashJoin [{EPISODE}" not in plan
+
+
+def test_inputs_of_many_passes_are_written_once(spark, data):
+    for df in (learner_queries.logged(spark, data), *policy_queries.split_rows(spark, data)):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
