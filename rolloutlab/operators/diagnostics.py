@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import N, Reward, gather, items, margin, top_action, total, total_variation
 from ..schema import ACTION, ACTIONS, EVENTS
+from ..sources.files import settled
 from .quantiles import exact_quantiles
 
 
@@ -96,8 +97,12 @@ def action_marginal(df: DataFrame, action_no: str) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, values: str, floor: float = 0.05) -> DataFrame:
-    """One row: 1.4826 times the median absolute deviation of all action values; their deviation where that is under the floor; the floor at least."""
-    flat = df.select(F.explode(values).alias("x"))
+    """One row: 1.4826 times the median absolute deviation of all action values; their deviation where that is under the floor; the floor at least.
+
+    The values are written once: three passes read them, and exploding would
+    compute an expression behind them anew for every part of it.
+    """
+    flat = settled(df.select(F.col(values).alias("_x"))).select(F.explode("_x").alias("x"))
     sd = flat.agg(F.stddev_pop("x").alias("sd")).first()["sd"]
     middle = exact_quantiles(flat, F.col("x"), [], {"m": 0.5}).first()["m"]
     mad = exact_quantiles(flat, F.abs(F.col("x") - F.lit(middle)), [], {"m": 0.5}).select((F.col("m") * 1.4826).alias("mad"))

@@ -256,14 +256,18 @@ def propensity_floor(spark, sf_dir):
 Q_SQL = PROP + ", act AS (SELECT *, value / 100 AS v0, value / 80 - 0.3 AS v1, 0.9 - value / 120 AS v2 FROM prop)"
 
 
-def with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def valued(df: DataFrame) -> DataFrame:
     value = F.col("value")
-    return with_behavior(spark, sf_dir).withColumn("values", F.array(value / 100, value / 80 - 0.3, F.lit(0.9) - value / 120))
+    return df.withColumn("values", F.array(value / 100, value / 80 - 0.3, F.lit(0.9) - value / 120))
+
+
+def with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valued(with_behavior(spark, sf_dir))
 
 
 @query("centered_advantage", f"WITH {Q_SQL} SELECT patient_id, time_step, {', '.join(f'round(v{i} - (p0*v0 + p1*v1 + p2*v2), 6) AS a{i}' for i in range(3))} FROM act")
 def centered_advantage(spark, sf_dir):
-    return with_values(spark, sf_dir).select(EPISODE, STEP, X.centered(F.col("values"), F.col("target")).alias("a")).select(EPISODE, STEP, *split("a", "a"))
+    return valued(steps(spark, sf_dir)).select(EPISODE, STEP, X.centered(F.col("values"), F.col("target")).alias("a")).select(EPISODE, STEP, *split("a", "a"))
 
 
 def rerank_sql(t: float, a: float, s: float, penalty: float) -> str:
@@ -289,7 +293,7 @@ def blend(spark, sf_dir):
 @query("robust_scale", f"""WITH {Q_SQL}, a AS (SELECT unnest([v0 - (p0*v0+p1*v1+p2*v2), v1 - (p0*v0+p1*v1+p2*v2), v2 - (p0*v0+p1*v1+p2*v2)]) AS x FROM act), m AS (SELECT median(x) AS m, stddev_pop(x) AS sd FROM a),
 d AS (SELECT 1.4826 * median(abs(x - m)) AS mad, max(sd) AS sd FROM a, m) SELECT round(greatest(CAST(0.05 AS DOUBLE), CASE WHEN mad < 0.05 THEN sd ELSE mad END), 6) AS scale FROM d""")
 def robust_scale(spark, sf_dir):
-    return D.robust_scale(with_values(spark, sf_dir).select(X.centered(F.col("values"), F.col("target")).alias("a")), "a")
+    return D.robust_scale(valued(steps(spark, sf_dir)).select(X.centered(F.col("values"), F.col("target")).alias("a")), "a")
 
 
 # ---- weights and estimates -----------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rolloutlab import queries  # noqa: F401  registers before the others
 from rolloutlab import learner_queries, policy_queries
+from rolloutlab.operators import diagnostics as D
 from rolloutlab.operators import fqe, quantiles
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
@@ -99,3 +100,17 @@ def test_next_values_are_not_gathered(spark):
 def test_inputs_of_many_passes_are_written_once(spark, data):
     for df in (learner_queries.logged(spark, data), *policy_queries.split_rows(spark, data)):
         assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scale_computes_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def values(i):
+        seen.add(1)
+        return [i / 7, -i / 3, None]
+
+    found = D.robust_scale(spark.range(1000).select(values("id").alias("a")), "a").first()["scale"]
+    x = np.concatenate([np.arange(1000) / 7, -np.arange(1000) / 3])
+    assert found == pytest.approx(1.4826 * np.median(np.abs(x - np.median(x)))) and seen.value == 1000
+    assert D.robust_scale(spark.createDataFrame([], "a array<double>"), "a").first()["scale"] == 0.05
