@@ -90,7 +90,7 @@ def out_of_fold(spark, sf_dir):
 @query("fqe_boosted", None)
 def fqe_boosted(spark, sf_dir):
     """Fitted Q by boosted trees: state, previous action and action; a few small trees a step."""
-    rows = steps(spark, sf_dir).withColumn("features", F.array("value", F.col("previous_no").cast("double")))
+    rows = steps(spark, sf_dir).select(EPISODE, STEP, "action_no", "reward", "terminal", "target", F.array("value", F.col("previous_no").cast("double")).alias("features"))
     out = B.boosted_values(by_step(rows), "features", "action_no", "reward", "target", HORIZON, 2, config=B.BoostConfig(3, 0.3, 5, 20))
     return out.select(EPISODE, STEP, *[F.col("q")[a].alias(f"q{a}") for a in range(3)], "v")
 

@@ -14,13 +14,12 @@ import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bellman
-from ..schema import ACTIONS, EPISODE, ContractError
+from ..schema import ACTIONS, EPISODE, STEP, ContractError
 from ..sources.files import settled
 from .booster import MOST_BINS, BoostConfig, Booster
 from .fqe import stage_rows
@@ -30,21 +29,47 @@ K = len(ACTIONS)
 ACCURACY = 100_000
 #: Trees after which the rows' scores are written again, so that no pass evaluates more.
 WRITTEN_AFTER = 10
+#: Columns of the binned rows.
+CHUNK = ("_b", "_y", "_s")
 
 
 def bin_cuts(df: DataFrame, features: str, width: int) -> list[np.ndarray]:
     """Per feature the midpoints of its distinct values, or of its quantiles where there are more than MOST_BINS; gaps are left out."""
-    cuts = []
-    for f in range(width):
-        v = F.col(features)[f]
-        known = df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
-        found = sorted(r[0] for r in known.distinct().limit(MOST_BINS + 1).collect())
-        if len(found) > MOST_BINS:
-            marks = known.agg(F.percentile_approx("v", [k / (MOST_BINS + 1) for k in range(1, MOST_BINS + 1)], ACCURACY)).first()[0]
-            found = sorted(set(marks))
-        values = np.array(found, dtype=float)
-        cuts.append((values[:-1] + values[1:]) / 2)
-    return cuts
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0)] * width
+        for batch in batches:
+            for f, c in enumerate(matrix(batch.column("x"), width).T):
+                if len(found[f]) <= MOST_BINS:
+                    found[f] = np.union1d(found[f], c[~np.isnan(c)] + 0.0)[: MOST_BINS + 1]
+        yield pa.RecordBatch.from_pydict({"f": pa.array(np.repeat(np.arange(width), [len(v) for v in found])), "v": pa.array(np.concatenate(found))})
+
+    rows = df.select(F.col(features).cast("array<double>").alias("x"))
+    seen = rows.mapInArrow(distinct, "f long, v double").groupBy("f").agg(F.slice(F.collect_set("v"), 1, MOST_BINS + 1).alias("v"))
+    found = {r["f"]: set(r["v"]) for r in seen.collect()}
+    many = [f for f, v in found.items() if len(v) > MOST_BINS]
+    if many:
+        at = [k / (MOST_BINS + 1) for k in range(1, MOST_BINS + 1)]
+        marks = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.col("x")[f]), F.col("x")[f]), at, ACCURACY) for f in many]).first()
+        found |= {f: set(m) for f, m in zip(many, marks)}
+    values = [np.array(sorted(found.get(f, ())), dtype=float) for f in range(width)]
+    return [(v[:-1] + v[1:]) / 2 for v in values]
+
+
+def matrix(x: pa.Array, width: int) -> np.ndarray:
+    """Arrays of ``width`` numbers as rows, gaps as NaN."""
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def chunk(b: np.ndarray, y: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """Many rows' bins, targets and scores as one row of three binary values: passes over them cost Spark little a row."""
+    return pa.RecordBatch.from_pydict({"_b": [np.ascontiguousarray(b, dtype="<i2").tobytes()], "_y": [y.astype("<f8").tobytes()], "_s": [score.astype("<f8").tobytes()]})
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The chunks again; a feature's bins lie together."""
+    for batch in batches:
+        for b, y, score in zip(*(batch.column(c) for c in CHUNK)):
+            yield np.asfortranarray(np.frombuffer(b.as_buffer(), dtype="<i2").reshape(-1, width)), np.frombuffer(y.as_buffer(), dtype="<f8"), np.frombuffer(score.as_buffer(), dtype="<f8")
 
 
 def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
@@ -66,7 +91,7 @@ class Grown:
             node = work.pop()
             if node not in self.children or (made is not None and node not in made):
                 continue
-            f, cut, missing_left = self.split[node][1:]
+            f, cut, missing_left = self.split[node][1:4]
             left, right = self.children[node]
             rows = np.flatnonzero(at == node)
             bins = b[rows, f]
@@ -76,7 +101,7 @@ class Grown:
 
 
 def best_split(sums: Sequence[np.ndarray], counts: Sequence[np.ndarray], config: BoostConfig) -> tuple | None:
-    """(gain, feature, bin, whether gaps go left) of a node's histograms; the first of equals, none without a gain."""
+    """(gain, feature, bin, whether gaps go left, the left side's sum and count) of a node's histograms; the first of equals, none without a gain."""
     whole, n = float(sums[0].sum()), int(counts[0].sum())
     best = None
     for f, (g, c) in enumerate(zip(sums, counts, strict=True)):
@@ -89,7 +114,7 @@ def best_split(sums: Sequence[np.ndarray], counts: Sequence[np.ndarray], config:
             gain = left_g**2 / np.maximum(left_n + config.ridge, 1e-300) + right_g**2 / np.maximum(right_n + config.ridge, 1e-300) - whole**2 / (n + config.ridge)
             at = int(np.where(fine, gain, -np.inf).argmax())
             if gain[at] > 0 and (best is None or gain[at] > best[0]):
-                best = (float(gain[at]), f, at, missing_left)
+                best = (float(gain[at]), f, at, missing_left, (float(left_g[at]), int(left_n[at])))
     return best
 
 
@@ -99,18 +124,17 @@ def histograms(rows: DataFrame, config: BoostConfig, cuts: Sequence[np.ndarray],
     starts = np.concatenate([[0], np.cumsum(sizes)])
     whole = int(starts[-1])
     number = {node: k for k, node in enumerate(nodes)}
+    slots = np.full(max(0, *nodes, *(c for pair in tree.children.values() for c in pair)) + 1, -1)
+    slots[list(nodes)] = np.arange(len(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(nodes), 2, whole))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts)).astype(np.int64)
-            raw = batch.column("_s").to_numpy(zero_copy_only=False) + tree_values(b, trees, batch.num_rows)
-            gradient = (raw - batch.column("_y").to_numpy(zero_copy_only=False)).astype(np.float32).astype(np.float64)
-            slot = pd.Series(tree.places(b)).map(number).to_numpy(dtype=float)
-            known = ~np.isnan(slot)
-            slot, g = slot[known].astype(np.int64), gradient[known]
+        for b, y, score in unpacked(batches, len(cuts)):
+            raw = score + tree_values(b, trees, len(b))
+            gradient = (raw - y).astype(np.float32).astype(np.float64)
+            slot = slots[tree.places(b)]
+            known = np.flatnonzero(slot >= 0)
+            slot, g = slot[known], gradient[known]
             for f, size in enumerate(sizes):
                 at = slot * size + b[known, f]
                 out[:, 0, starts[f]: starts[f + 1]] += np.bincount(at, g, len(nodes) * size).reshape(-1, size)
@@ -130,9 +154,9 @@ def tree_values(b: np.ndarray, trees: Sequence[tuple], n: int) -> np.ndarray:
     """The sum over trees (tree, made splits, leaf values) of each row's leaf."""
     out = np.zeros(n)
     for tree, made, values in trees:
-        at = tree.places(b, made)
-        for node, value in values.items():
-            out[at == node] += value
+        of = np.zeros(max(values) + 1)
+        of[list(values)] = list(values.values())
+        out += of[tree.places(b, made)]
     return out
 
 
@@ -140,7 +164,8 @@ def grow(rows: DataFrame, config: BoostConfig, cuts: Sequence[np.ndarray], trees
     """One tree on the present gradients: the nodes, which splits are made, and the values of the leaves.
 
     The waiting split with the largest gain is made first. Where its children
-    aren't known yet, those of all waiting splits are looked at in one job.
+    aren't known yet, those of all waiting splits are looked at in one job; the
+    last split's need no look, as their sums follow from the split.
     """
     tree = Grown(cuts)
     made: set[int] = set()
@@ -152,7 +177,7 @@ def grow(rows: DataFrame, config: BoostConfig, cuts: Sequence[np.ndarray], trees
             tree.split[node] = best_split(sums, counts, config)
 
     def offer(node: int) -> None:
-        if tree.split[node]:
+        if tree.split.get(node):
             heapq.heappush(waiting, (-tree.split[node][0], node))
 
     look([0])
@@ -160,7 +185,11 @@ def grow(rows: DataFrame, config: BoostConfig, cuts: Sequence[np.ndarray], trees
     while waiting and len(leaves) < config.leaves:
         _, node = heapq.heappop(waiting)
         made.add(node)
-        if node not in tree.children:
+        if node not in tree.children and len(leaves) + 1 == config.leaves:
+            tree.children[node] = (last + 1, last + 2)
+            (g, n), (left_g, left_n) = tree.facts[node], tree.split[node][4]
+            tree.facts[last + 1], tree.facts[last + 2] = (left_g, left_n), (g - left_g, n - left_n)
+        elif node not in tree.children:
             new = []
             for parent in (node, *(n for _, n in waiting)):
                 if parent not in tree.children:
@@ -182,7 +211,7 @@ def as_nodes(tree: Grown, made: set[int], values: dict[int, float]) -> list[tupl
     while work:
         node, at = work.pop()
         if node in made:
-            f, cut, missing_left = tree.split[node][1:]
+            f, cut, missing_left = tree.split[node][1:4]
             left, right = len(out), len(out) + 1
             out += [(), ()]
             out[at] = (f, tree.cuts[f][cut], missing_left, left, right)
@@ -205,11 +234,10 @@ def fit_boosted(df: DataFrame, features: str, target: str, width: int, config: B
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-            b = binned(x, cuts).astype(np.int16) if len(x) else np.zeros((0, width), dtype=np.int16)
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(b.ravel()), width).cast(pa.list_(pa.int16())), batch.column("_y"), pa.array(np.full(len(b), mean))], ["_b", "_y", "_s"])
+            if batch.num_rows:
+                yield chunk(binned(matrix(batch.column("x"), width), cuts), batch.column("_y").to_numpy(zero_copy_only=False), np.full(batch.num_rows, mean))
 
-    rows = settled(df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("_y")).mapInArrow(place, "_b array<short>, _y double, _s double"))
+    rows = settled(df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("_y")).mapInArrow(place, ", ".join(f"{c} binary" for c in CHUNK)))
     model = Booster(config)
     model.cuts, model.base = cuts, float(mean)
     recent: list[tuple] = []
@@ -224,22 +252,22 @@ def fit_boosted(df: DataFrame, features: str, target: str, width: int, config: B
 def scored(rows: DataFrame, trees: Sequence[tuple], width: int) -> DataFrame:
     """The rows with the trees' values in their scores."""
 
-    @F.pandas_udf("double")
-    def of(b: pd.Series, s: pd.Series) -> pd.Series:
-        return s + tree_values(np.stack(b.to_list()).astype(np.int64).reshape(-1, width), trees, len(s)) if len(s) else s
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, y, score in unpacked(batches, width):
+            yield chunk(b, y, score + tree_values(b, trees, len(b)))
 
-    return rows.withColumn("_s", of("_b", "_s"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def with_action_values(df: DataFrame, model: Booster, features: str, width: int, name: str = "q") -> DataFrame:
     """Adds the model's value of each action; the model's features are ``width`` numbers and one indicator per action."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def of(x: pd.Series) -> pd.Series:
-        state = np.stack([np.asarray(v, dtype=float) for v in x]).reshape(-1, width) if len(x) else np.zeros((0, width))
+    @F.arrow_udf("array<double>")
+    def of(x: pa.Array) -> pa.Array:
+        state = matrix(x, width)
         each = [sent.value.predict(np.column_stack([state, np.tile(np.eye(K)[a], (len(state), 1))])) for a in range(K)]
-        return pd.Series(list(np.column_stack(each))) if len(x) else pd.Series([], dtype=object)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * K, pa.int32()), pa.array(np.column_stack(each).ravel()))
 
     return df.withColumn(name, of(F.col(features).cast("array<double>")))
 
@@ -253,21 +281,23 @@ def boosted_values(df: DataFrame, features: str, action: str, reward: str, targe
     out. With ``apply_to`` the fit's values go to the rows of that table.
     """
     hot = F.array(*[F.when(F.col(action) == a, 1.0).otherwise(0.0) for a in range(K)])
+    present = {r[0] for r in df.filter(F.col(STEP).isin(list(range(horizon)))).select(STEP).distinct().collect()}
     done, ahead = None, None
     for t in range(horizon - 1, -1, -1):
+        if t not in present:
+            continue
         rows = stage_rows(df, t)
         follow = rows.withColumn("_next", F.lit(0.0)) if ahead is None else rows.join(ahead.hint("merge"), EPISODE, "left").withColumn("_next", F.coalesce("_next", F.lit(0.0)))
         y = bellman(F.col(reward), F.col("terminal"), F.col("_next"), gamma)
-        fit = settled(follow.select(*df.columns, y.alias("_y"), F.concat(F.col(features).cast("array<double>"), hot).alias("_x")))
-        if not fit.limit(1).count():
-            continue
+        written = settled(follow.select(*df.columns, y.alias("_y")))
+        fit = written.withColumn("_x", F.concat(F.col(features).cast("array<double>"), hot))
         model = fit_boosted(fit, "_x", "_y", width + K, config, cuts(fit) if cuts else None)
 
         def valued(to: DataFrame) -> DataFrame:
             out = with_action_values(to, model, features, width)
             return out.withColumn("v", sum((F.col(target)[a] * F.col("q")[a] for a in range(1, K)), F.col(target)[0] * F.col("q")[0]))
 
-        own = settled(valued(fit.select(*df.columns)))
+        own = settled(valued(written.select(*df.columns)))
         ahead = own.select(EPISODE, F.col("v").alias("_next"))
         kept = own if apply_to is None else valued(stage_rows(apply_to, t))
         done = kept if done is None else done.unionByName(kept)

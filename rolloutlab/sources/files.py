@@ -52,11 +52,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table written once and read back: what follows plans from the files, and a lost executor costs a reread."""
+def settled(df: DataFrame, *by: str) -> DataFrame:
+    """The table written once and read back, in a folder for each value of ``by``: what follows plans from the files, and a lost executor costs a reread."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.select(*df.columns) if by else out
 
 
 def read_trajectories(spark: SparkSession, path: str, schema: StructType = TRAJECTORY) -> DataFrame:

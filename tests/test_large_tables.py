@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from rolloutlab import queries  # noqa: F401  registers before the others
 from rolloutlab import learner_queries, policy_queries
+from rolloutlab.operators import boosted as B
 from rolloutlab.operators import diagnostics as D
 from rolloutlab.operators import fqe, quantiles
+from rolloutlab.operators.booster import BoostConfig, Booster
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
 from rolloutlab.sources.files import file_digests, probability_digest, write_csv
@@ -114,3 +116,32 @@ def test_scale_computes_values_once(spark):
     x = np.concatenate([np.arange(1000) / 7, -np.arange(1000) / 3])
     assert found == pytest.approx(1.4826 * np.median(np.abs(x - np.median(x)))) and seen.value == 1000
     assert D.robust_scale(spark.createDataFrame([], "a array<double>"), "a").first()["scale"] == 0.05
+
+
+def test_steps_are_read_apart(spark):
+    rows = spark.createDataFrame([(t, f"e{e}", e / 3 + t) for e in range(9) for t in range(4)], f"{STEP} int, {EPISODE} string, x double")
+    apart = fqe.by_step(rows)
+    assert apart.schema == rows.schema and sorted(apart.collect()) == sorted(rows.collect())
+    assert fqe.by_step(rows.limit(0)).count() == 0
+    one = fqe.stage_rows(apart, 2)
+    assert one.count() == 9 and {f"{STEP}=2" in r[0] for r in one.select(F.input_file_name()).collect()} == {True}
+
+
+def test_boosted_passes(spark, monkeypatch):
+    seen, n = spark.sparkContext.accumulator(0), 900
+
+    @F.udf("array<double>")
+    def features(i):
+        seen.add(1)
+        return [float(i % 50), None if i % 5 == 0 else float(i % 3), -0.0 if i % 2 else 0.0]
+
+    cuts = B.bin_cuts(spark.range(n).select(features("id").alias("x")), "x", 3)
+    assert [c.tolist() for c in cuts] == [[i + 0.5 for i in range(49)], [0.5, 1.5], []] and seen.value == n
+    rows = spark.createDataFrame([([float(i % 50), float(i % 3)], float((i % 50) ** 2 + i % 3)) for i in range(n)], "x array<double>, y double")
+    looks, look = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: looks.append(a[-1]) or look(*a))
+    model = B.fit_boosted(rows, "x", "y", 2, BoostConfig(3, 0.3, 2, 20))
+    assert looks == [[0]] * 3
+    table = rows.toPandas()
+    x = np.stack(table["x"].to_list())
+    assert np.allclose(model.predict(x), Booster(BoostConfig(3, 0.3, 2, 20)).fit(x, table["y"].to_numpy()).predict(x))
