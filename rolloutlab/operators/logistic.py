@@ -7,7 +7,8 @@ design into its own, so models of other folds and penalties read the same
 rows. A Newton step of all models is one job: every partition adds up
 gradients, Hessian blocks and losses in the raw design, and one vector comes
 to the driver. Rows say which training sets they belong to, so no fold is
-ever filtered, copied or read again.
+ever filtered, copied or read again. Equal rows are kept once with their
+number, so a pass costs as much as there are different ones.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ from .quantiles import exact_quantiles
 
 K = len(ACTIONS)
 STEPS, HALVINGS = 100, 40
+#: Rows that a pass looks at together, and numbers that it may hold for them.
+BLOCK, HELD = 4096, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -65,17 +67,20 @@ def raw_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 def prepared(df: DataFrame, design: Design, action_no: str, keys: Sequence[str], training: Column, held_out: Column) -> DataFrame:
-    """keys, raw design, action and, as arrays of booleans, for which training sets the row trains and is held out; written once."""
-    return settled(df.select(*keys, design.column().alias("_r"), F.col(action_no).cast("int").alias("_y"), training.alias("_in"), held_out.alias("_out")))
+    """keys, raw design, action and, as arrays of booleans, for which training sets the row trains and is held out; equal rows once, with how many they are; written once."""
+    used = [F.col(c).cast("double").alias(c) for c in design.numeric] + [F.col(c).cast("string").alias(c) for c in design.levels]
+    rows = df.select(*keys, *used, F.col(action_no).cast("int").alias("_y"), training.alias("_in"), held_out.alias("_out"))
+    different = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    return settled(different.select(*keys, design.column().alias("_r"), "_y", "_in", "_out", "_n"))
 
 
-def arrays_of(batch: pa.RecordBatch, width: int, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Raw design, actions, training and held-out marks of a batch."""
+def arrays_of(batch: pa.RecordBatch, width: int, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Raw design, actions, training and held-out marks and numbers of equal rows of a batch."""
     flat = lambda name, n: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-    return flat("_r", width), batch.column("_y").to_numpy(zero_copy_only=False), flat("_in", sets), flat("_out", sets)
+    return flat("_r", width), batch.column("_y").to_numpy(zero_copy_only=False), flat("_in", sets), flat("_out", sets), batch.column("_n").to_numpy().astype(float)
 
 
-def summed(rows: DataFrame, size: int, width: int, sets: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def summed(rows: DataFrame, size: int, width: int, sets: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all rows of a vector of ``size`` that ``add`` makes of a batch: one vector per partition, added by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +90,7 @@ def summed(rows: DataFrame, size: int, width: int, sets: int, add: Callable[[np.
                 total += add(*arrays_of(b, width, sets))
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(size), pa.int32()), "v": pa.array(total)})
 
-    found = rows.select("_r", "_y", "_in", "_out").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    found = rows.select("_r", "_y", "_in", "_out", "_n").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(size)
     out[found["at"].to_numpy()] = found["v"].to_numpy()
     return out
@@ -98,30 +103,38 @@ def transforms(rows: DataFrame, design: Design, sets: int, mark_categories: bool
     spread, then scaled indicators where the set has gaps. Categories: one
     column per level of the set, gaps filled with its commonest (of equals the
     first), with an indicator under ``mark_categories`` where the set has gaps.
-    One aggregate gives counts and moments, one more the median of a column
-    that has gaps.
+    One pass gives counts and sums, a second the squares about the means, one
+    more the median of a column that has gaps.
     """
     m, width = len(design.numeric), design.width
-    own = rows.select("_r", "_y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(sets - 1)), lambda s: F.get("_in", s))).alias("set"))
-    r = [F.col("_r")[j] for j in range(width)]
-    moments = [f(F.when(r[m + i] == 0, r[i])).alias(f"{n}{i}") for i in range(m) for n, f in (("mean", F.avg), ("var", F.var_pop))]
-    facts = own.groupBy("set").agg(F.count("*").alias("n"), *[F.sum(r[j]).alias(f"s{j}") for j in range(m, width)], *moments, *[F.sum((F.col("_y") == a).cast("long")).alias(f"y{a}") for a in range(K)]).collect()
-    of = {f["set"]: f for f in facts}
-    if len(of) < sets or any(f[f"y{a}"] == 0 for f in facts for a in range(K)):
+
+    def count(r: np.ndarray, y: np.ndarray, inside: np.ndarray, _: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return ((inside * n[:, None]).T @ np.column_stack([r, np.eye(K)[y]])).ravel()
+
+    sums = summed(rows, sets * (width + K), width, sets, count).reshape(sets, width + K)
+    if not sums[:, width:].all():
         raise ContractError("every action must occur in each training set")
+    known = sums[:, [width - 1]] - sums[:, m: 2 * m]
+    means = sums[:, :m] / np.maximum(known, 1)
+
+    def spread_out(r: np.ndarray, _: np.ndarray, inside: np.ndarray, __: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.array([(inside[:, s] * n) @ ((r[:, :m] - means[s]) ** 2 * (r[:, m: 2 * m] == 0)) for s in range(sets)]).ravel()
+
+    variances = (summed(rows, sets * m, width, sets, spread_out).reshape(sets, m) if m else np.zeros((sets, 0))) / np.maximum(known, 1)
     middle: dict[tuple[int, int], float] = {}
     for i in range(m):
-        if any(0 < f[f"s{m + i}"] < f["n"] for f in facts):
-            for q in exact_quantiles(own.filter(r[m + i] == 0), r[i], ["set"], {"m": 0.5}).collect():
+        if ((0 < known[:, i]) & (known[:, i] < sums[:, width - 1])).any():
+            own = rows.filter(F.col("_r")[m + i] == 0).select("_r", "_n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(sets - 1)), lambda s: F.get("_in", s))).alias("set"))
+            for q in exact_quantiles(own, F.col("_r")[i], ["set"], {"m": 0.5}, F.col("_n")).collect():
                 middle[q["set"], i] = q["m"]
     out = []
     for s in range(sets):
-        f, columns = of[s], []
-        n = f["n"]
+        f, columns = sums[s], []
+        n = f[width - 1]
         gaps = []
         for i in range(m):
-            lost = f[f"s{m + i}"]
-            mid, mean, var = middle.get((s, i), 0.0), f[f"mean{i}"] or 0.0, f[f"var{i}"] or 0.0
+            lost = f[m + i]
+            mid, mean, var = middle.get((s, i), 0.0), means[s, i], variances[s, i]
             whole = ((n - lost) * mean + lost * mid) / n
             spread = np.sqrt(((n - lost) * (var + (mean - whole) ** 2) + lost * (mid - whole) ** 2) / n) or 1.0
             t = np.zeros(width)
@@ -136,8 +149,8 @@ def transforms(rows: DataFrame, design: Design, sets: int, mark_categories: bool
         columns += gaps
         at = 2 * m
         for levels in design.levels.values():
-            counts = [f[f"s{at + k}"] for k in range(len(levels))]
-            lost = f[f"s{at + len(levels)}"]
+            counts = f[at: at + len(levels)]
+            lost = f[at + len(levels)]
             mode = int(np.argmax(counts)) if any(counts) else None
             for k in range(len(levels)):
                 if counts[k]:
@@ -171,40 +184,53 @@ class Fitted:
 
 def newton_sums(rows: DataFrame, design: Design, sets: int, of: Sequence[int], weights: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Loss, gradient (width, K) and Hessian (K, K, width, width) of each model (its training set in ``of``) at its raw weights; one job."""
-    d = design.width
+    d, models = design.width, len(of)
     pairs = [(a, b) for a in range(K) for b in range(a, K)]
-    size = 1 + d * K + len(pairs) * d * d
-
-    def add(r: np.ndarray, y: np.ndarray, inside: np.ndarray, _: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(of), size))
-        for i, (s, w) in enumerate(zip(of, weights, strict=True)):
-            x, hit = r[inside[:, s]], y[inside[:, s]]
-            if not len(x):
-                continue
-            scores = x @ w
-            top = scores.max(axis=1)
-            p = softmax_rows(scores)
-            out[i, 0] = (top + np.log(np.exp(scores - top[:, None]).sum(axis=1)) - scores[np.arange(len(x)), hit]).sum()
-            out[i, 1: 1 + d * K] = (x.T @ (p - np.eye(K)[hit])).ravel()
-            out[i, 1 + d * K:] = np.concatenate([((x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x).ravel() for a, b in pairs])
+    i, j = np.triu_indices(d)
+    size = 1 + d * K + len(pairs) * len(i)
+    every = np.concatenate(weights, axis=1)
+    block = max(1, min(BLOCK, HELD // len(i)))
+
+    def part(r: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+        scores = (r @ every).reshape(-1, models, K)
+        top = scores.max(axis=2, keepdims=True)
+        grown = np.exp(scores - top)
+        whole = grown.sum(axis=2, keepdims=True)
+        p, hit = grown / whole, np.eye(K)[y][:, None, :]
+        loss = (times * (top + np.log(whole) - (scores * hit).sum(axis=2, keepdims=True))[..., 0]).sum(axis=0)
+        gradient = r.T @ (times[..., None] * (p - hit)).reshape(-1, models * K)
+        bent = np.stack([times * (p[..., a] * ((a == b) - p[..., b])) for a, b in pairs], axis=2).reshape(-1, models * len(pairs))
+        hessian = bent.T @ (r[:, i] * r[:, j])
+        return np.column_stack([loss, gradient.reshape(d, models, K).swapaxes(0, 1).reshape(models, -1), hessian.reshape(models, -1)])
+
+    def add(r: np.ndarray, y: np.ndarray, inside: np.ndarray, _: np.ndarray, n: np.ndarray) -> np.ndarray:
+        times, out = inside[:, list(of)] * n[:, None], np.zeros((models, size))
+        for k in range(0, len(y), block):
+            out += part(r[k: k + block], y[k: k + block], times[k: k + block])
         return out.ravel()
 
-    flat = summed(rows, len(of) * size, d, sets, add).reshape(len(of), size)
+    flat = summed(rows, models * size, d, sets, add).reshape(models, size)
     found = []
     for v in flat:
-        blocks = v[1 + d * K:].reshape(len(pairs), d, d)
         hessian = np.zeros((K, K, d, d))
-        for (a, b), block in zip(pairs, blocks, strict=True):
-            hessian[a, b], hessian[b, a] = block, block.T
+        for (a, b), half in zip(pairs, v[1 + d * K:].reshape(len(pairs), -1), strict=True):
+            for at in ((a, b), (b, a)):
+                hessian[at][i, j] = hessian[at][j, i] = half
         found.append((float(v[0]), v[1: 1 + d * K].reshape(d, K), hessian))
     return found
 
 
+def stalled(step: np.ndarray, before: np.ndarray | float) -> bool:
+    """Whether a Newton step is rounding only: near the end each is far smaller than the full one before, until sums over many rows can't tell."""
+    now = np.abs(step).max()
+    return bool(now < 1e-6 and now > np.abs(before).max() / 2)
+
+
 def fit_models(rows: DataFrame, design: Design, turned: Sequence[np.ndarray], cs: Sequence[float]) -> Fitted:
     """A model for every training set and penalty: c times the summed loss and half the squared weights, the intercept free, by Newton steps of all at once.
 
     A step that raises a model's loss is halved in the next job; models that
-    have settled keep their weights.
+    have settled or whose steps no longer shrink keep their weights.
     """
     of = [(s, float(c)) for s in range(len(turned)) for c in cs]
     w = [np.zeros((turned[s].shape[1], K)) for s, _ in of]
@@ -234,7 +260,10 @@ def fit_models(rows: DataFrame, design: Design, turned: Sequence[np.ndarray], cs
                 continue
             d = t.shape[1]
             h = np.block([[c * t.T @ hessian[a, b] @ t for b in range(K)] for a in range(K)]) + np.diag(penalty.T.ravel())
-            step[i], last[i], size[i] = np.linalg.lstsq(h, g.T.ravel(), rcond=None)[0].reshape(K, d).T, (now, w[i]), 1.0
+            ahead = np.linalg.lstsq(h, g.T.ravel(), rcond=None)[0].reshape(K, d).T
+            if last[i] is not None and size[i] == 1.0 and stalled(ahead, step[i]):
+                continue
+            step[i], last[i], size[i] = ahead, (now, w[i]), 1.0
             w[i] = w[i] - step[i]
             still.append(i)
         busy = still
@@ -244,13 +273,13 @@ def fit_models(rows: DataFrame, design: Design, turned: Sequence[np.ndarray], cs
 def held_out_losses(rows: DataFrame, fitted: Fitted, sets: int) -> np.ndarray:
     """Mean log loss of every model over the rows held out of its training set; one job."""
 
-    def add(r: np.ndarray, y: np.ndarray, _: np.ndarray, out: np.ndarray) -> np.ndarray:
+    def add(r: np.ndarray, y: np.ndarray, _: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
         found = np.zeros((len(fitted.raw), 2))
         for i, s in enumerate(fitted.sets):
-            x, hit = r[out[:, s]], y[out[:, s]]
+            x, hit, times = r[out[:, s]], y[out[:, s]], n[out[:, s]]
             if len(x):
                 p = softmax_rows(fitted.scores(x, i))
-                found[i] = -np.log(np.clip(p[np.arange(len(x)), hit], 1e-15, 1)).sum(), len(x)
+                found[i] = -(times * np.log(np.clip(p[np.arange(len(x)), hit], 1e-15, 1))).sum(), times.sum()
         return found.ravel()
 
     found = summed(rows, 2 * len(fitted.raw), fitted.design.width, sets, add).reshape(-1, 2)
@@ -260,30 +289,32 @@ def held_out_losses(rows: DataFrame, fitted: Fitted, sets: int) -> np.ndarray:
 def fit_sigmoids(rows: DataFrame, fitted: Fitted, sets: int, chosen: Sequence[int]) -> np.ndarray:
     """(models, K, 2): a and b of 1 / (1 + exp(a s + b)) per chosen model and action, on the rows held out of it, by Newton steps of all at once."""
 
-    def count(_: np.ndarray, y: np.ndarray, __: np.ndarray, out: np.ndarray) -> np.ndarray:
-        return np.array([[np.sum(out[:, fitted.sets[i]] & (y == a)) for a in range(K)] for i in chosen], dtype=float).ravel()
+    def count(_: np.ndarray, y: np.ndarray, __: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.array([[n[out[:, fitted.sets[i]] & (y == a)].sum() for a in range(K)] for i in chosen]).ravel()
 
     yes = summed(rows, len(chosen) * K, fitted.design.width, sets, count).reshape(-1, K)
     no = yes.sum(axis=1, keepdims=True) - yes
     goals = np.stack([1 / (no + 2), (yes + 1) / (yes + 2)], axis=-1)
-    w = np.stack([np.zeros_like(yes), np.log((no + 1) / (yes + 1))], axis=-1)
+    w, before = np.stack([np.zeros_like(yes), np.log((no + 1) / (yes + 1))], axis=-1), np.inf
     for _ in range(STEPS):
         at = w.copy()
 
-        def add(r: np.ndarray, y: np.ndarray, _: np.ndarray, out: np.ndarray) -> np.ndarray:
+        def add(r: np.ndarray, y: np.ndarray, _: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
             found = np.zeros((len(chosen), K, 6))
             for j, i in enumerate(chosen):
                 part = out[:, fitted.sets[i]]
-                scores, hit = fitted.scores(r[part], i), y[part]
+                scores, hit, times = fitted.scores(r[part], i), y[part], n[part]
                 for a in range(K):
                     x = np.column_stack([scores[:, a], np.ones(len(hit))])
                     p = 1 / (1 + np.exp(np.clip(x @ at[j, a], -500, 500)))
-                    found[j, a] = np.concatenate([x.T @ (goals[j, a][(hit == a).astype(int)] - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+                    found[j, a] = np.concatenate([x.T @ (times * (goals[j, a][(hit == a).astype(int)] - p)), ((x * (times * p * (1 - p))[:, None]).T @ x).ravel()])
             return found.ravel()
 
         sums = summed(rows, len(chosen) * K * 6, fitted.design.width, sets, add).reshape(len(chosen), K, 6)
         step = np.linalg.solve(sums[..., 2:].reshape(len(chosen), K, 2, 2) + 1e-12 * np.eye(2), sums[..., :2, None])[..., 0]
-        w = w - step
+        if stalled(step, before):
+            break
+        w, before = w - step, step
         if np.abs(step).max() < 1e-12:
             break
     return w
@@ -318,13 +349,13 @@ def with_probabilities(df: DataFrame, models: Sequence[Ensemble], which: Column,
     sent = df.sparkSession.sparkContext.broadcast(list(models))
     width = models[0].fitted.design.width
 
-    @F.pandas_udf("array<double>")
-    def of(r: pd.Series, no: pd.Series) -> pd.Series:
-        x, at = np.stack(r.to_list()).reshape(-1, width) if len(r) else np.zeros((0, width)), no.to_numpy()
+    @F.arrow_udf("array<double>")
+    def of(r: pa.Array, no: pa.Array) -> pa.Array:
+        x, at = r.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), no.to_numpy(zero_copy_only=False)
         out = np.zeros((len(x), K))
         for k in np.unique(at):
             out[at == k] = sent.value[k].predict(x[at == k])
-        return pd.Series(list(out))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, K), pa.int32()), pa.array(out.ravel()))
 
     return df.withColumn(name, of(models[0].fitted.design.column(), which))
 

@@ -21,18 +21,21 @@ CUTS = 64
 ACCURACY = 2000
 
 
-def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: dict[str, float], times: Column | None = None) -> DataFrame:
     """keys and a column per name: the quantile of the values that aren't null, null where there are none.
 
     ``named`` gives the quantiles, 1 for the maximum. Values must not be NaN.
-    Null keys are a group. Values and cuts are written once: a sketch merges
+    Null keys are a group. A row counts ``times`` times, by default once. Values and cuts are written once: a sketch merges
     in the order in which its parts come, so cuts made anew may differ, and
     counts by one set of cuts don't fit buckets by another.
     """
-    rows = settled(df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null"))
+    many = [] if times is None else [times.cast("long").alias("_w")]
+    count = F.sum("_w") if many else F.count("*")
+    weight = ["_w"] if many else []
+    rows = settled(df.select(*keys, value.cast("double").alias("_v"), *many).filter("_v is not null"))
     marks = [i / CUTS for i in range(1, CUTS)]
     of = {k: f"_of_{k}" for k in keys}
-    sketch = settled(rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), F.lit(ACCURACY)).alias("_cuts"), F.count("*").alias("_n")).withColumnsRenamed(of))
+    sketch = settled(rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), F.lit(ACCURACY)).alias("_cuts"), count.alias("_n")).withColumnsRenamed(of))
 
     def same(left: DataFrame, right: DataFrame) -> Column:
         on = F.lit(True)
@@ -41,9 +44,9 @@ def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: di
         return on
 
     met = rows.join(sketch, same(rows, sketch)) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
-    met = met.select(*keys, "_v", "_n", place_in(F.col("_cuts"), F.size("_cuts"), F.col("_v"), CUTS).alias("_b"))
+    met = met.select(*keys, "_v", *weight, "_n", place_in(F.col("_cuts"), F.size("_cuts"), F.col("_v"), CUTS).alias("_b"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = met.groupBy(*keys, "_b").agg(F.count("*").alias("_s"), F.max("_n").alias("_n")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    whole = met.groupBy(*keys, "_b").agg(count.alias("_s"), F.max("_n").alias("_n")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0)))
     at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in named.items()}
     wanted = F.lit(False)
     for r in (f(a) for a in at.values() for f in (F.floor, F.ceil)):
@@ -58,7 +61,7 @@ def exact_quantiles(df: DataFrame, value: Column, keys: Sequence[str], named: di
     base = settled((cuts.join(sketch, on) if keys else cuts.crossJoin(F.broadcast(sketch))).select(*of.values(), "_ob", "_base", "_n", *ends))
     inside = (F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to")))
     picked = rows.join(F.broadcast(base) if not keys else base, same(rows, base) & inside)
-    counted = picked.select(*keys, F.col("_ob").alias("_b"), "_v", "_n", "_base").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_base").alias("_base"))
+    counted = picked.select(*keys, F.col("_ob").alias("_b"), "_v", *weight, "_n", "_base").groupBy(*keys, "_b", "_v").agg(count.alias("_c"), F.max("_n").alias("_n"), F.max("_base").alias("_base"))
     upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
     out = []

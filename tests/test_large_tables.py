@@ -11,6 +11,7 @@ from rolloutlab import learner_queries, policy_queries
 from rolloutlab.operators import boosted as B
 from rolloutlab.operators import diagnostics as D
 from rolloutlab.operators import fqe, quantiles
+from rolloutlab.operators import logistic as L
 from rolloutlab.operators.booster import BoostConfig, Booster
 from rolloutlab.operators.digests import line_digest
 from rolloutlab.schema import ACTION, EPISODE, STEP
@@ -145,3 +146,54 @@ def test_boosted_passes(spark, monkeypatch):
     table = rows.toPandas()
     x = np.stack(table["x"].to_list())
     assert np.allclose(model.predict(x), Booster(BoostConfig(3, 0.3, 2, 20)).fit(x, table["y"].to_numpy()).predict(x))
+
+
+def test_equal_rows_are_kept_once(spark, monkeypatch):
+    rows = [(f"e{i}", None if i % 7 == 0 else float(i % 4), str(i % 2), i % 3, i % 5 % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, f"{EPISODE} string, x double, c string, action_no int, fold int").repartition(5)
+    design = L.raw_design(df, ["x"], ["c"])
+    kept = L.prepared(df, design, "action_no", [], *L.fold_marks(F.col("fold"), 3))
+    passed = spark.sparkContext.accumulator(0)
+
+    def add(r, y, inside, out, n):
+        passed.add(len(y))
+        return np.array([n.sum()])
+
+    assert L.summed(kept, 1, design.width, 3, add)[0] == 1200 and passed.value == len({r[1:] for r in rows}) < 300
+    w = [np.random.default_rng(s).normal(size=(design.width, 3)) for s in range(4)]
+    found = L.newton_sums(kept, design, 3, [0, 1, 2, 0], w)
+    monkeypatch.setattr(L, "BLOCK", 7)
+    for (loss, g, h), again, s, v in zip(found, L.newton_sums(kept, design, 3, [0, 1, 2, 0], w), (0, 1, 2, 0), w):
+        own = [r for r in rows if r[4] != s]
+        x = np.array([[r[1] or 0, r[1] is None, r[2] == "0", r[2] == "1", 0, 1] for r in own], dtype=float)
+        p, hit = np.exp(x @ v) / np.exp(x @ v).sum(axis=1, keepdims=True), np.eye(3)[[r[3] for r in own]]
+        assert loss == pytest.approx(-np.log((p * hit).sum(axis=1)).sum()) and np.allclose(g, x.T @ (p - hit))
+        assert np.allclose(h, [[(x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x for b in range(3)] for a in range(3)])
+        assert np.allclose(again[1], g) and np.allclose(again[2], h)
+    own = [r[1] for r in rows if r[4] != 1 and r[1] is not None]
+    filled = [r[1] if r[1] is not None else np.median(own) for r in rows if r[4] != 1]
+    t = L.transforms(kept, design, 3)[1]
+    assert t[[0, 1, -1], 0] == pytest.approx([1 / np.std(filled), np.median(own) / np.std(filled), -np.mean(filled) / np.std(filled)])
+
+
+def test_rounding_does_not_prolong_a_fit(spark, monkeypatch):
+    """Sums over many rows round, so that steps stay larger than any fixed bound."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(rng.normal()), int(rng.integers(3))) for _ in range(400)], "x double, action_no int")
+    exact = L.fit_clone(df, ["x"], [], "action_no", 1.0).fitted.own[0]
+    calls, sums = [], L.newton_sums
+
+    def rounded(*a):
+        calls.append(len(a[-1]))
+        return [(loss, g + rng.normal(size=g.shape) * 1e-8, h) for loss, g, h in sums(*a)]
+
+    monkeypatch.setattr(L, "newton_sums", rounded)
+    assert np.allclose(L.fit_clone(df, ["x"], [], "action_no", 1.0).fitted.own[0], exact, atol=1e-7) and len(calls) < 12
+
+
+def test_quantiles_of_counted_rows(spark):
+    rows = [(i % 2, float(i * 37 % 101), i % 9) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "g int, x double, n int").repartition(4)
+    named = {f"q{k}": k / 8 for k in range(9)}
+    for r in quantiles.exact_quantiles(df, F.col("x"), ["g"], named, F.col("n")).collect():
+        assert [r[k] for k in named] == pytest.approx(np.quantile([x for g, x, n in rows if g == r.g for _ in range(n)], list(named.values())))
