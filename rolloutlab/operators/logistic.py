@@ -30,8 +30,10 @@ from .quantiles import exact_quantiles
 
 K = len(ACTIONS)
 STEPS, HALVINGS = 100, 40
-#: Rows that a pass looks at together, and numbers that it may hold for them.
-BLOCK, HELD = 4096, 2_000_000
+#: Rows that a pass looks at together, few enough for a core's cache and for products in one thread, and numbers that it may hold for them.
+BLOCK, HELD = 1024, 2_000_000
+#: Columns of the chunks in which rows are kept, and the types of their numbers.
+CHUNK = {"_r": "<f8", "_y": "<i4", "_in": "?", "_out": "?", "_n": "<i8"}
 
 
 @dataclass(frozen=True)
@@ -67,35 +69,61 @@ def raw_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 def prepared(df: DataFrame, design: Design, action_no: str, keys: Sequence[str], training: Column, held_out: Column) -> DataFrame:
-    """keys, raw design, action and, as arrays of booleans, for which training sets the row trains and is held out; equal rows once, with how many they are; written once."""
+    """Raw design, action and, as booleans, for which training sets the row trains and is held out; rows that are equal, also in ``keys``, once, with how many they are.
+
+    Written once, in chunks of many rows each: passes over them cost Spark little a row.
+    """
     used = [F.col(c).cast("double").alias(c) for c in design.numeric] + [F.col(c).cast("string").alias(c) for c in design.levels]
     rows = df.select(*keys, *used, F.col(action_no).cast("int").alias("_y"), training.alias("_in"), held_out.alias("_out"))
     different = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
-    return settled(different.select(*keys, design.column().alias("_r"), "_y", "_in", "_out", "_n"))
+    width = design.width
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                plain = {c: batch.column(c) if c in ("_y", "_n") else batch.column(c).flatten() for c in CHUNK}
+                found = {c: v.to_numpy(zero_copy_only=False).astype(CHUNK[c]) for c, v in plain.items()}
+                found["_r"] = found["_r"].reshape(-1, width).T  # a column's values lie together
+                yield pa.RecordBatch.from_pydict({c: [v.tobytes()] for c, v in found.items()})
 
+    return settled(different.select(design.column().alias("_r"), "_y", "_in", "_out", "_n").mapInArrow(pack, ", ".join(f"{c} binary" for c in CHUNK)))
 
-def arrays_of(batch: pa.RecordBatch, width: int, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Raw design, actions, training and held-out marks and numbers of equal rows of a batch."""
-    flat = lambda name, n: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-    return flat("_r", width), batch.column("_y").to_numpy(zero_copy_only=False), flat("_in", sets), flat("_out", sets), batch.column("_n").to_numpy().astype(float)
 
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Raw design, actions, training and held-out marks and numbers of equal rows of each chunk."""
+    for batch in batches:
+        for chunk in zip(*(batch.column(c) for c in CHUNK)):
+            r, y, inside, out, n = [np.frombuffer(v.as_buffer(), dtype=t) for v, t in zip(chunk, CHUNK.values())]
+            yield r.reshape(width, -1).T, y, inside.reshape(len(n), -1), out.reshape(len(n), -1), n
 
-def summed(rows: DataFrame, size: int, width: int, sets: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of a vector of ``size`` that ``add`` makes of a batch: one vector per partition, added by place."""
+
+def summed(rows: DataFrame, size: int, width: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of a vector of ``size`` that ``add`` makes of a chunk: one vector per partition, added by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for b in batches:
-            if b.num_rows:
-                total += add(*arrays_of(b, width, sets))
+        for chunk in unpacked(batches, width):
+            total += add(*chunk)
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(size), pa.int32()), "v": pa.array(total)})
 
-    found = rows.select("_r", "_y", "_in", "_out", "_n").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    found = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(size)
     out[found["at"].to_numpy()] = found["v"].to_numpy()
     return out
 
 
+def known_values(rows: DataFrame, design: Design, i: int) -> DataFrame:
+    """set, v and n: the values of a numeric column, gaps left out, in each training set, and how often a row has them."""
+    width, gap = design.width, len(design.numeric) + i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, _, inside, _, n in unpacked(batches, width):
+            at, sets = np.nonzero(inside & (r[:, [gap]] == 0))
+            yield pa.RecordBatch.from_pydict({"set": sets.astype(np.int32), "v": r[at, i], "n": n[at]})
+
+    return rows.mapInArrow(run, "set int, v double, n long")
+
+
 def transforms(rows: DataFrame, design: Design, sets: int, mark_categories: bool = False) -> list[np.ndarray]:
     """Per training set the matrix from the raw design to its own, whose last column is the intercept.
 
@@ -111,7 +139,7 @@ def transforms(rows: DataFrame, design: Design, sets: int, mark_categories: bool
     def count(r: np.ndarray, y: np.ndarray, inside: np.ndarray, _: np.ndarray, n: np.ndarray) -> np.ndarray:
         return ((inside * n[:, None]).T @ np.column_stack([r, np.eye(K)[y]])).ravel()
 
-    sums = summed(rows, sets * (width + K), width, sets, count).reshape(sets, width + K)
+    sums = summed(rows, sets * (width + K), width, count).reshape(sets, width + K)
     if not sums[:, width:].all():
         raise ContractError("every action must occur in each training set")
     known = sums[:, [width - 1]] - sums[:, m: 2 * m]
@@ -120,12 +148,11 @@ def transforms(rows: DataFrame, design: Design, sets: int, mark_categories: bool
     def spread_out(r: np.ndarray, _: np.ndarray, inside: np.ndarray, __: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.array([(inside[:, s] * n) @ ((r[:, :m] - means[s]) ** 2 * (r[:, m: 2 * m] == 0)) for s in range(sets)]).ravel()
 
-    variances = (summed(rows, sets * m, width, sets, spread_out).reshape(sets, m) if m else np.zeros((sets, 0))) / np.maximum(known, 1)
+    variances = (summed(rows, sets * m, width, spread_out).reshape(sets, m) if m else np.zeros((sets, 0))) / np.maximum(known, 1)
     middle: dict[tuple[int, int], float] = {}
     for i in range(m):
         if ((0 < known[:, i]) & (known[:, i] < sums[:, width - 1])).any():
-            own = rows.filter(F.col("_r")[m + i] == 0).select("_r", "_n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(sets - 1)), lambda s: F.get("_in", s))).alias("set"))
-            for q in exact_quantiles(own, F.col("_r")[i], ["set"], {"m": 0.5}, F.col("_n")).collect():
+            for q in exact_quantiles(known_values(rows, design, i), F.col("v"), ["set"], {"m": 0.5}, F.col("n")).collect():
                 middle[q["set"], i] = q["m"]
     out = []
     for s in range(sets):
@@ -188,28 +215,28 @@ def newton_sums(rows: DataFrame, design: Design, sets: int, of: Sequence[int], w
     pairs = [(a, b) for a in range(K) for b in range(a, K)]
     i, j = np.triu_indices(d)
     size = 1 + d * K + len(pairs) * len(i)
-    every = np.concatenate(weights, axis=1)
+    of_action = [np.stack([w[:, a] for w in weights]) for a in range(K)]
     block = max(1, min(BLOCK, HELD // len(i)))
 
-    def part(r: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
-        scores = (r @ every).reshape(-1, models, K)
-        top = scores.max(axis=2, keepdims=True)
-        grown = np.exp(scores - top)
-        whole = grown.sum(axis=2, keepdims=True)
-        p, hit = grown / whole, np.eye(K)[y][:, None, :]
-        loss = (times * (top + np.log(whole) - (scores * hit).sum(axis=2, keepdims=True))[..., 0]).sum(axis=0)
-        gradient = r.T @ (times[..., None] * (p - hit)).reshape(-1, models * K)
-        bent = np.stack([times * (p[..., a] * ((a == b) - p[..., b])) for a, b in pairs], axis=2).reshape(-1, models * len(pairs))
-        hessian = bent.T @ (r[:, i] * r[:, j])
-        return np.column_stack([loss, gradient.reshape(d, models, K).swapaxes(0, 1).reshape(models, -1), hessian.reshape(models, -1)])
+    def part(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+        scores = [w @ x for w in of_action]
+        top = np.maximum.reduce(scores)
+        grown = [np.exp(s - top) for s in scores]
+        whole = sum(grown)
+        p = [g / whole for g in grown]
+        loss = (times * (top + np.log(whole) - np.choose(y, scores))).sum(axis=1)
+        gradient = np.stack([(times * (p[a] - (y == a))) @ x.T for a in range(K)], axis=2)
+        products = (x[i] * x[j]).T
+        hessian = np.stack([(times * p[a] * ((a == b) - p[b])) @ products for a, b in pairs], axis=1)
+        return np.column_stack([loss, gradient.reshape(models, -1), hessian.reshape(models, -1)])
 
     def add(r: np.ndarray, y: np.ndarray, inside: np.ndarray, _: np.ndarray, n: np.ndarray) -> np.ndarray:
-        times, out = inside[:, list(of)] * n[:, None], np.zeros((models, size))
+        x, times, out = r.T, (inside * n[:, None]).T[list(of)], np.zeros((models, size))
         for k in range(0, len(y), block):
-            out += part(r[k: k + block], y[k: k + block], times[k: k + block])
+            out += part(x[:, k: k + block], y[k: k + block], times[:, k: k + block])
         return out.ravel()
 
-    flat = summed(rows, models * size, d, sets, add).reshape(models, size)
+    flat = summed(rows, models * size, d, add).reshape(models, size)
     found = []
     for v in flat:
         hessian = np.zeros((K, K, d, d))
@@ -282,7 +309,7 @@ def held_out_losses(rows: DataFrame, fitted: Fitted, sets: int) -> np.ndarray:
                 found[i] = -(times * np.log(np.clip(p[np.arange(len(x)), hit], 1e-15, 1))).sum(), times.sum()
         return found.ravel()
 
-    found = summed(rows, 2 * len(fitted.raw), fitted.design.width, sets, add).reshape(-1, 2)
+    found = summed(rows, 2 * len(fitted.raw), fitted.design.width, add).reshape(-1, 2)
     return found[:, 0] / found[:, 1]
 
 
@@ -292,7 +319,7 @@ def fit_sigmoids(rows: DataFrame, fitted: Fitted, sets: int, chosen: Sequence[in
     def count(_: np.ndarray, y: np.ndarray, __: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.array([[n[out[:, fitted.sets[i]] & (y == a)].sum() for a in range(K)] for i in chosen]).ravel()
 
-    yes = summed(rows, len(chosen) * K, fitted.design.width, sets, count).reshape(-1, K)
+    yes = summed(rows, len(chosen) * K, fitted.design.width, count).reshape(-1, K)
     no = yes.sum(axis=1, keepdims=True) - yes
     goals = np.stack([1 / (no + 2), (yes + 1) / (yes + 2)], axis=-1)
     w, before = np.stack([np.zeros_like(yes), np.log((no + 1) / (yes + 1))], axis=-1), np.inf
@@ -310,7 +337,7 @@ def fit_sigmoids(rows: DataFrame, fitted: Fitted, sets: int, chosen: Sequence[in
                     found[j, a] = np.concatenate([x.T @ (times * (goals[j, a][(hit == a).astype(int)] - p)), ((x * (times * p * (1 - p))[:, None]).T @ x).ravel()])
             return found.ravel()
 
-        sums = summed(rows, len(chosen) * K * 6, fitted.design.width, sets, add).reshape(len(chosen), K, 6)
+        sums = summed(rows, len(chosen) * K * 6, fitted.design.width, add).reshape(len(chosen), K, 6)
         step = np.linalg.solve(sums[..., 2:].reshape(len(chosen), K, 2, 2) + 1e-12 * np.eye(2), sums[..., :2, None])[..., 0]
         if stalled(step, before):
             break

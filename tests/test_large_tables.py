@@ -159,7 +159,7 @@ def test_equal_rows_are_kept_once(spark, monkeypatch):
         passed.add(len(y))
         return np.array([n.sum()])
 
-    assert L.summed(kept, 1, design.width, 3, add)[0] == 1200 and passed.value == len({r[1:] for r in rows}) < 300
+    assert L.summed(kept, 1, design.width, add)[0] == 1200 and passed.value == len({r[1:] for r in rows}) < 300
     w = [np.random.default_rng(s).normal(size=(design.width, 3)) for s in range(4)]
     found = L.newton_sums(kept, design, 3, [0, 1, 2, 0], w)
     monkeypatch.setattr(L, "BLOCK", 7)
